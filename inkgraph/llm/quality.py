@@ -68,8 +68,8 @@ class Ordinal:
 
 def fit(rows: list[tuple[list[int], int]], bits: int = BITS, grades: int = 3, steps: int = STEPS, ridge: float = RIDGE, min_docs: int = MIN_DOCS) -> Ordinal:
     """Full-batch Adam on the cumulative-link likelihood with class-balanced rows; features in fewer than min_docs
-    rows, or whose rows' mean grade lies within SIGNAL standard errors of the whole mean, get no weight, so that long
-    texts do not add up noise. Without rows every document gets the prior of even grades."""
+    rows, or whose rows lie within SIGNAL standard errors of the whole at every cut between grades, get no weight, so
+    that long texts do not add up noise. Without rows every document gets the prior of even grades."""
     import numpy as np
 
     size = 1 << bits
@@ -81,8 +81,12 @@ def fit(rows: list[tuple[list[int], int]], bits: int = BITS, grades: int = 3, st
     y = np.asarray([g for _, g in rows])
     pairs = np.unique(own * np.int64(size) + idx)
     n = np.bincount(pairs % size, minlength=size)
-    apart = np.abs(np.bincount(pairs % size, weights=(y - y.mean())[pairs // size], minlength=size))
-    common = (n >= min_docs) & (apart >= SIGNAL * max(float(y.std()), 1e-9) * np.sqrt(n))
+    telling = np.zeros(size, bool)
+    for k in range(grades - 1):
+        below = (y <= k).astype(float)
+        apart = np.abs(np.bincount(pairs % size, weights=(below - below.mean())[pairs // size], minlength=size))
+        telling |= apart >= SIGNAL * max(float(below.std()), 1e-9) * np.sqrt(n)
+    common = (n >= min_docs) & telling
     keep = common[idx]
     idx, own = idx[keep], own[keep]
     per = np.bincount(y, minlength=grades)
