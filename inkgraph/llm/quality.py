@@ -131,7 +131,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
     # picked has at most about max_train rows, so it may be broadcast
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
-    return [(list(r["f"]), r["grade"]) for r in chosen.mapInArrow(run, "f array<int>, grade int").toLocalIterator()]
+    table = chosen.mapInArrow(run, "f array<int>, grade int").toArrow()
+    return [(f.values.to_numpy(), g) for f, g in zip(table.column(0), table.column(1).to_pylist(), strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS) -> Ordinal:
