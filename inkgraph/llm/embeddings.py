@@ -191,7 +191,7 @@ def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.cut(named.select("v", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = named.join(least, "root").select("v", "n_links", "component_id")
     linked = good.join(named, F.col("embedding") == F.col("v"))
     return linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).unionByName(alone)
