@@ -112,7 +112,8 @@ def classes(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
     roots = components(links(least, threshold), scratch)
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.cut(rooted, "roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    names = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = rooted.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
