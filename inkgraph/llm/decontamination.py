@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Scratch, ascii_lower, check_columns, read
+from .common import WORD, Scratch, ascii_lower, check_columns, key_of, read
 
 WIDTH, NEAR, RAREST = 10, 0.8, 2
 
@@ -20,11 +20,6 @@ def words_of(text: str):
     return F.coalesce(F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """What tells documents apart, null and repeated ids included: rows equal in it have equal results."""
-    return F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"))
-
-
 def items_of(items: DataFrame, width: int) -> DataFrame:
     """(item_id, w, at, words): every window of every item; an item with fewer words than width is one window."""
     w = items.select("item_id", words_of("text").alias("w")).filter(F.size("w") > 0)
@@ -127,8 +122,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without a hit word, with their own columns."""
     hit = matches(docs, items, width).filter(F.size("spans") > 0).select("key").distinct()
     # hashing the removed keys leaves the texts unsorted
-    keyed = docs.withColumn("_key", key_of())
-    return keyed.join(hit.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left_anti").drop("_key")
+    return docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(hit.hint("shuffle_hash"), "key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,10 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFr
     found = plan(sized(docs, Scratch(docs.sparkSession, "mix")), list(weights))
     if not found:
         return docs
-    table = _by_source(docs.sparkSession, found, "_source_size long, _target double, _copies int, _edge long").withColumnRenamed("key", "_key")
-    times = F.col("_copies") + (place_of(F.col("doc_id")) < F.col("_edge")).cast("int")
-    kept = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["_key"])).withColumn("_times", times).filter("_times > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), "source", place_of(F.col("doc_id")).alias("place"))
+    times = F.col("copies") + (F.col("place") < F.col("edge")).cast("int")
+    kept = _attach(rows, _by_source(docs.sparkSession, found, KINDS)).withColumn("times", times).filter("times > 0")
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, check_columns, read
+from .common import Scratch, by_value, check_columns, key_of, read
 from .graph import components
 
 by_value(__name__)
@@ -48,16 +48,17 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row, fp as a signed long. Texts pass through Arrow in batches and are never gathered."""
+    """(doc_id, text_key, fp) for every row, fp as a signed long. Texts pass through Arrow in batches and are never
+    gathered; text_key is a hash of the text and tells rows with one doc_id apart."""
     check_columns(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [_signed(fingerprint(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def _syndrome(x: Column) -> Column:
@@ -100,46 +101,41 @@ def links(fps: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
     return met.filter("fp <> to").select(F.col("fp").alias("u"), F.col("to").alias("v"))
 
 
-def classes(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
-    """One row per row of docs (doc_id, text): fingerprint in hex and component_id, the least doc_id reachable by links.
-
-    Null, empty and white texts have fingerprint zero and link like any other. Null doc_ids take part in links but never
-    name a component unless all its ids are null. Equal texts and repeated rows share fingerprint and component. Empty
-    tables give no rows; other columns are ignored."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _classed(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) for every row; root is a fingerprint that the component shares."""
     rows = scratch.cut(fingerprints(docs), "fingerprints")
     least = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least, threshold), scratch)
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.cut(rooted, "roots")
     names = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def classes(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
+    """One row per row of docs (doc_id, text): fingerprint in hex and component_id, the least doc_id reachable by links.
+
+    Null, empty and white texts have fingerprint zero and link like any other. Null doc_ids take part in links but never
+    name a component unless all its ids are null. Equal texts and repeated rows share fingerprint and component. Empty
+    tables give no rows; other columns are ignored."""
+    found = _classed(docs, threshold, Scratch(docs.sparkSession, "simhash"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs less all but one document of each component (the least doc_id), with their own columns.
-
-    Rows that repeat a kept doc_id are a group as well: one of them stays. Null doc_ids stay only if no document of their
-    component has an id, one row for each such component's text."""
-    found = Scratch(docs.sparkSession, "keep").cut(classes(docs, threshold), "classes")
-    gone = found.filter("doc_id is null or doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.filter("doc_id is not null").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    kept = kept.filter("doc_id is not null").union(_unnamed(docs, found))
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
-
-
-def _unnamed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of the components without any doc_id, one row each."""
-    if not found.filter("doc_id is null and component_id is null").limit(1).count():
-        return docs.filter("false")
-    nulls = docs.filter("doc_id is null")
-    fp = fingerprints(nulls.select(F.to_json(F.struct("*")).alias("doc_id"), "text"))
-    lone = found.filter("component_id is null").select("fingerprint").distinct()
-    rows = fp.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
-    one = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("row"))
-    return one.select(F.from_json("row", docs.schema).alias("r")).select("r.*")
+    """The rows of docs less all but one of each component, with their own columns.
+
+    The row with the least doc_id stays (nulls last: one without an id stays only if its whole component has none); of
+    several texts with that doc_id, the one with the least hash; of rows equal in doc_id and text, one. A doc_id that
+    names rows of several components is judged in each of them by itself."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.cut(_classed(docs, threshold, scratch).select("doc_id", "text_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")), "classes")
+    # written: the join may split a component with very many rows
+    first = scratch.cut(found.filter("least").groupBy("root").agg(F.min("text_key").alias("first")), "first")
+    gone = found.join(first, "root").filter(~F.col("least") | (F.col("text_key") != F.col("first"))).select(F.struct("doc_id", "text_key").alias("key")).distinct()
+    kept = docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(gone.hint("shuffle_hash"), "key", "left_anti")
+    repeated = found.filter("least").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["key"]) if repeated else kept).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
