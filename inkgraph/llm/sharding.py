@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import check_columns, read
+from .common import Scratch, check_columns, read
 
-SLOTS, SHARDS, OVERHEAD = 4096, 40, 16
+SLOTS, SHARDS, OVERHEAD, PARTS, PIECE = 4096, 40, 16, 64, 4096
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -79,10 +79,12 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """One row per row of docs (doc_id, text): size, crc, shard, its place in the shard and the shard after growth.
 
-    The law is `key`: doc_id and the shard count decide. Places within a shard run gapless from 0 by virtual slot,
-    doc_id, crc and size; equal rows share those values, so any order among them is the same result. Null doc_id is a
-    key of its own; null text has 0 bytes and a null crc; an empty table gives no rows; other columns are ignored.
-    Shuffles carry four narrow columns and split by virtual slot, never by shard."""
+    The law is `key`: doc_id and the shard count decide. Places within a shard run gapless from 0 by virtual slot, part
+    of the slot, doc_id, crc and size; equal rows share those values, so any order among them is the same result. Null
+    doc_id is a key of its own; null text has 0 bytes and a null crc; an empty table gives no rows; other columns are
+    ignored. Texts are read once; narrow rows are shuffled, equal ones as one row with a count. A doc_id that very many
+    rows share lies in one virtual slot, which is numbered in PARTS parts: different texts are parted by crc, equal ones
+    in pieces of at most PIECE rows."""
     check_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
     owners = shard_map(shards, slots)
@@ -93,17 +95,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
         F.crc32("text").alias("text_crc32"),
         slot_of(F.col("doc_id"), slots).alias("vslot"),
     )
+    equal = rows.groupBy("doc_id", "size", "text_crc32", "vslot").agg(F.count("*").alias("n"))
+    pieces = equal.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    by_crc = F.shiftright(F.coalesce("text_crc32", F.lit(0).cast("long")), 26)
+    pieces = pieces.withColumn("n", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("int")).withColumn("part", F.pmod(by_crc + F.col("piece"), F.lit(PARTS)).cast("int"))
+    pieces = Scratch(spark, "shards").cut(pieces, "pieces")
     owned = spark.range(1).select(F.posexplode(F.arrays_zip(now.alias("a"), then.alias("b"))).alias("vslot", "o")).select("vslot", F.col("o.a").alias("shard"), F.col("o.b").alias("grown_shard"))
-    counts = rows.groupBy("vslot").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = owned.join(counts, "vslot", "left").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("vslot", "shard", "grown_shard", "start")
-    place = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    # starts has one row for each of the fixed slots, so its size is known before it is broadcast
-    return (
-        rows.withColumn("at", F.row_number().over(place) - 1)
-        .join(F.broadcast(starts), "vslot")
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard", "vslot")
-    )
+    counts = pieces.groupBy("vslot", "part").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # owned has one row for each of the fixed slots, starts PARTS at most, so their sizes are known before they are broadcast
+    starts = counts.join(F.broadcast(owned), "vslot").withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
+    place = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0))).join(F.broadcast(starts), ["vslot", "part"])
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
