@@ -21,7 +21,7 @@ ODD = [(1, "Under the MIT License.", "x"), (2, None, None), (3, "", "x"), (3, ""
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
-    return df.withColumns({c: F.lit("clash") for c in ("size", "n", "key", "label", "place", "line", "fp", "w")})
+    return df.withColumns({c: F.lit("clash") for c in ("size", "n", "key", "label", "place", "line", "fp", "w", "row", "root", "times", "gone", "_key")})
 
 
 @pytest.fixture(scope="module")
@@ -221,6 +221,12 @@ def test_simhash_against_brute_force(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5", "6", "None"]
 
 
+def test_keep_one_judges_a_repeated_id_in_each_component(spark):
+    docs = [(2, "alpha beta gamma delta"), (5, "ALPHA beta gamma delta"), (5, "some wholly other words here"), (5, "some wholly other words here"), (7, "some wholly other Words here"), (None, "alpha beta gamma delta"), (None, "lone text without id"), (None, "lone text without id")]
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [docs[0], docs[2], docs[6]]))
+
+
 # 8
 
 def test_embeddings_against_brute_force(spark):
@@ -284,6 +290,18 @@ def test_sharding_laws(spark, odd, empty):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(empty).count() == 0
 
 
+def test_sharding_numbers_a_hot_key_in_parts(spark):
+    """Null ids with one text, null ids with many texts, and others: slots are gapless and every row stays."""
+    hot = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 9 > 0, "copy").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    rows = sharding.assign(hot.union(spark.range(500).select("id", F.lit(None).cast("string")))).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 9500 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sum(r["doc_id"] is None and r["text_crc32"] == zlib.crc32(b"copy") for r in rows) == 8000
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
+
+
 def test_rebalance_and_map_table(spark):
     owners = sharding.shard_map(4, 64)
     loads = [1000 if k < 4 else 10 for k in range(64)]
