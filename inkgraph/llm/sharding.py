@@ -103,12 +103,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
     owned = spark.range(1).select(F.posexplode(F.arrays_zip(now.alias("a"), then.alias("b"))).alias("vslot", "o")).select("vslot", F.col("o.a").alias("shard"), F.col("o.b").alias("grown_shard"))
     counts = pieces.groupBy("vslot", "part").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # owned has one row for each of the fixed slots, starts PARTS at most, so their sizes are known before they are broadcast
-    starts = counts.join(F.broadcast(owned), "vslot").withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
+    # owned and starts have one row for each of the fixed slots, with PARTS numbers at most, so their sizes are known before they are broadcast
+    starts = counts.join(F.broadcast(owned), "vslot").withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    starts = starts.groupBy("vslot", "shard", "grown_shard").agg(F.map_from_entries(F.collect_list(F.struct("part", "start"))).alias("starts"))
     place = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0))).join(F.broadcast(starts), ["vslot", "part"])
+    placed = pieces.withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0))).join(F.broadcast(starts), "vslot")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.element_at("starts", F.col("part")) + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
