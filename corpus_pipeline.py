@@ -18,7 +18,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each component of near copies: SimHash within two bits, or five-word shingles alike by 4/5."""
     return simhash.keep_one(docs)
 
 

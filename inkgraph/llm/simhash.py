@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, check_columns, key_of, read
 from .graph import components
+from .near import near_links
 
 by_value(__name__)
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -101,35 +102,44 @@ def links(fps: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
     return met.filter("fp <> to").select(F.col("fp").alias("u"), F.col("to").alias("v"))
 
 
-def _classed(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_key, fp, root, component_id) for every row; root is a fingerprint that the component shares."""
+def _classed(docs: DataFrame, threshold: int, scratch: Scratch, near: bool) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) for every row; root is a fingerprint that the component shares.
+
+    near: near copies (near.py) are linked too, however far their fingerprints are apart."""
     rows = scratch.cut(fingerprints(docs), "fingerprints")
     least = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least, threshold), scratch)
+    found = links(least, threshold)
+    if near:
+        of = scratch.cut(rows.select("text_key", "fp").distinct(), "fp-of")
+        ends = near_links(docs, scratch).join(of.select(F.col("text_key").alias("u"), F.col("fp").alias("a")), "u").join(of.select(F.col("text_key").alias("v"), F.col("fp").alias("b")), "v")
+        found = found.union(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(found, scratch)
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.cut(rooted, "roots")
     names = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     return rows.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
-def classes(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
+def classes(docs: DataFrame, threshold: int = MAX_DISTANCE, near: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): fingerprint in hex and component_id, the least doc_id reachable by links.
 
+    Links join fingerprints within the threshold and, if near, texts that are near copies by five-word shingles.
+
     Null, empty and white texts have fingerprint zero and link like any other. Null doc_ids take part in links but never
     name a component unless all its ids are null. Equal texts and repeated rows share fingerprint and component. Empty
     tables give no rows; other columns are ignored."""
-    found = _classed(docs, threshold, Scratch(docs.sparkSession, "simhash"))
+    found = _classed(docs, threshold, Scratch(docs.sparkSession, "simhash"), near)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs less all but one of each component, with their own columns.
+def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE, near: bool = True) -> DataFrame:
+    """The rows of docs less all but one of each component of classes(), with their own columns.
 
     The row with the least doc_id stays (nulls last: one without an id stays only if its whole component has none); of
     several texts with that doc_id, the one with the least hash; of rows equal in doc_id and text, one. A doc_id that
     names rows of several components is judged in each of them by itself."""
     scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.cut(_classed(docs, threshold, scratch).select("doc_id", "text_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")), "classes")
+    found = scratch.cut(_classed(docs, threshold, scratch, near).select("doc_id", "text_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")), "classes")
     # written: the join may split a component with very many rows
     first = scratch.cut(found.filter("least").groupBy("root").agg(F.min("text_key").alias("first")), "first")
     gone = found.join(first, "root").filter(~F.col("least") | (F.col("text_key") != F.col("first"))).select(F.struct("doc_id", "text_key").alias("key")).distinct()
@@ -139,4 +149,4 @@ def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read(spark, sf_dir, "documents"))
+    return classes(read(spark, sf_dir, "documents"), near=False)  # the contract: fingerprints within two bits only

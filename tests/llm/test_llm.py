@@ -227,6 +227,49 @@ def test_keep_one_judges_a_repeated_id_in_each_component(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [docs[0], docs[2], docs[6]]))
 
 
+def test_near_copies_against_brute_force(spark):
+    """Texts with changed words, a large group, a common passage and copies: all components by five-word Jaccard >= 4/5."""
+    import random
+
+    from inkgraph.llm import near
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    common = [word() for _ in range(30)]
+    texts = []
+    for size in [3, 5, 6, 30, 60, 100, 200, 200] * 4:
+        base = [word() for _ in range(size)] + (common if size > 90 else [])
+        texts.append(base)
+        for changes in (1, 2, 3, 4, 6):
+            texts.append([word() if k in set(rng.sample(range(len(base)), min(changes, len(base)))) else w for k, w in enumerate(base)])
+    base = [word() for _ in range(120)]
+    for _ in range(40):
+        base = list(base)
+        base[rng.randrange(120)] = word()
+        texts.append(base)
+    docs = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(900, None), (901, ""), (902, " ".join(texts[30]).upper()), (903, " ".join(texts[30]))]
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in docs if (w := (t or "").lower().split())}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+                far += (simhash.fingerprint(dict(docs)[a]) ^ simhash.fingerprint(dict(docs)[b])).bit_count() > 2
+    assert far > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 0).collect()}
+    assert {d: got[d] for d in sets} == {d: find(d) for d in sets} and got[900] == got[901] == 900
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, 0).collect()) == sorted({find(d) for d in sets} | {900})
+    assert len(near.shingles("a b c")) == 1 and len(near.shingles("")) == 0
+
+
 # 8
 
 def test_embeddings_against_brute_force(spark):
