@@ -74,10 +74,6 @@ def rules() -> list[Rule]:
     return list(dict.fromkeys(out))
 
 
-#: Every rule's text has one of these; other texts skip the rules.
-GATE = r"(?i)licen|cc|creative|public|spdx|terms|reserved|permission|redistribution|under"
-
-
 def searched(text: Column) -> Column:
     """The text as " w " units."""
     spaced = F.regexp_replace(F.concat(F.lit("\n"), ascii_lower(text), F.lit("\n")), NON_WORD, "  ")
@@ -110,7 +106,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     df = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
     if not known:
         return df.withColumn("found", F.array().cast(kind)).withColumn("kept", F.array().cast(kind))
-    df = df.withColumn("_form", F.when(text.rlike(GATE), searched(text)))
+    df = df.withColumn("_form", searched(text))
     hits = F.filter(_rule_table(known), lambda r: (F.instr(F.col("_form"), r["kw"]) > 0) & F.rlike(F.col("_form"), r["rx"]))
     df = df.withColumn("_hits", hits)
     found = F.array_sort(F.flatten(F.transform("_hits", lambda r: _places(F.col("_form"), r))))

@@ -68,6 +68,19 @@ def test_license_rules_suppress_and_count(spark, odd, empty):
     assert "kept" in licenses.scan(odd).columns
 
 
+def test_bare_license_names_match_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["GPL v3", "Apache 2.0", "LGPL 2.1", "AGPL v3", "Artistic 2", "Open Database 1", "GNU Free Documentation 1.3", "no name at all", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licenses(df).collect()}
+    assert [got[k]["labels"] for k in range(9)] == ["gpl-3", "apache-2", "lgpl-2", "agpl-3", "artistic-2", "odbl-1", "gfdl-1", "", ""] and got[0]["score"] == 0.9
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    cur = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(licenses.SQL)
+    names = [c[0] for c in cur.description]
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in got.values())
+
+
 # 2
 
 def test_line_dedup_against_brute_force(spark, odd, empty):
