@@ -50,15 +50,18 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, near: float =
     there, spans (start, end) of exact windows and near_starts of windows with at least the share near of their words in
     place. docs: (doc_id, text); items: (item_id, text).
 
-    Equal windows are searched once, by the first item that holds them, and count for all items that do. Spark
+    Equal windows are searched once, by the first test that holds them, and count for all items that do; a test is an
+    item_id with one text, so an item_id that stands for several texts has all their windows. Spark
     broadcasts a join's test side only if it is below the session's limit; else it sorts, splitting frequent terms."""
     check_columns(docs, "doc_id", "text")
     check_columns(items, "item_id", "text")
     scratch = Scratch(docs.sparkSession, "decontaminate")
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").filter("item_id is not null")
-    each = items_of(items, width).withColumn("win", F.sha2(F.concat_ws(" ", "words"), 256))
+    # inside, item_id is a test's (item_id, text_key)
+    kind = items.schema["item_id"].dataType
+    each = items_of(items.select(F.struct("item_id", F.xxhash64("text").alias("text_key")).alias("item_id"), "text"), width).withColumn("win", F.sha2(F.concat_ws(" ", "words"), 256))
     each = scratch.cut(each.groupBy("item_id", "at", "w", "words", "win").agg(F.count("*").alias("n")).drop("n"), "windows")
-    grouped = each.groupBy("win").agg(F.min(F.struct("item_id", "at")).alias("home"), F.collect_set("item_id").alias("holders"))
+    grouped = each.groupBy("win").agg(F.min(F.struct("item_id", "at")).alias("home"), F.collect_set("item_id.item_id").alias("holders"))
     homes = each.join(grouped.select("win", F.col("home.item_id").alias("item_id"), F.col("home.at").alias("at")), ["win", "item_id", "at"], "left_semi")
     anchors = anchors_of(homes, docs, scratch, rarest)
     index = scratch.cut(tokens(docs).join(anchors.select("term").distinct(), "term", "left_semi"), "postings")
@@ -85,7 +88,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, near: float =
     others = F.flatten(F.transform(F.filter("shared", lambda s: F.array_contains("exact", s["at"])), lambda s: s["holders"]))
     found = scored.select(
         "key",
-        F.when(F.size("exact") > 0, F.array_union(F.array("item_id"), others)).otherwise(F.array().cast(T.ArrayType(items.schema["item_id"].dataType))).alias("item_ids"),
+        F.when(F.size("exact") > 0, F.array_union(F.array("item_id.item_id"), others)).otherwise(F.array().cast(T.ArrayType(kind))).alias("item_ids"),
         F.transform("exact", lambda p: F.struct((p + F.col("shift")).alias("start"), (p + F.col("shift") + F.col("length")).alias("end"))).alias("spans"),
         "near_starts",
     )

@@ -203,6 +203,17 @@ def test_decontamination_against_brute_force(spark, odd, empty):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 7, 8, 8]
 
 
+def test_decontamination_with_an_item_id_of_several_texts(spark):
+    a, b, c = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "zz m n o p q r s t u v w")
+    items = [(1, a), (1, b), (1, "the"), (2, c), (3, b), (1, a)]
+    docs = [(1, a), (2, b), (3, "one the two"), (4, c), (5, "a b c d e f g h i j"), (6, f"{a} {b}"), (7, "q")]
+    for turned in (items, items[::-1]):
+        d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(turned, "item_id long, text string")
+        got = [tuple(r)[:5] for r in decontamination.contamination(d, t).collect()]
+        assert sorted(map(repr, got)) == brute_hits(docs, items)
+        assert [r["doc_id"] for r in decontamination.clean(d, t).collect()] == [7]
+
+
 # 7
 
 def test_simhash_against_brute_force(spark, odd, empty):
