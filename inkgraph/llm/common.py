@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,10 +59,28 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, key: Column, scratch: Scratch) -> DataFrame:
+    """(row, key, copy): the packed rows of docs, those of one key numbered from 0 in copy.
+
+    Rows whose key is their own are not moved unless Spark has to sort for the join. The others are numbered within the
+    part of the input they come from and by the rows of its earlier parts, so a key with very many rows is split."""
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    again = scratch.cut(docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
+    first = F.lit(0).cast("long").alias("copy")
+    if again.isEmpty():
+        return keyed.select("row", "key", first)
+    twice = scratch.cut(keyed.withColumn("part", F.spark_partition_id()).join(again, "key"), "twice")
+    here = Window.partitionBy("key", "part").orderBy(F.to_json(F.struct("row")))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = twice.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    late = twice.withColumn("at", F.row_number().over(here)).join(starts, ["key", "part"]).select("row", "key", (F.col("start") + F.col("at") - 1).alias("copy"))
+    return keyed.join(again, "key", "left_anti").select("row", "key", first).unionByName(late)
 
 
 def check_columns(df: DataFrame, *names: str) -> None:

@@ -83,45 +83,101 @@ def test_bare_license_names_match_as_in_sql(spark, tmp_path):
 
 # 2
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def within_edits(a, b, k):
+    """Whether k edits at most part two texts, by trying each edit where they first differ."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[n:], b[n:]
+    if not a or not b or not k:
+        return max(len(a), len(b)) <= k
+    return within_edits(a[1:], b[1:], k - 1) or within_edits(a[1:], b, k - 1) or within_edits(a, b[1:], k - 1)
+
+
+def classes_of(names, linked):
+    """The least name of each name's class, by brute force over all pairs."""
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in names:
+        for b in names:
+            if a < b and find(a) != find(b) and linked(a, b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in names}
+
+
 def test_line_dedup_against_brute_force(spark, odd, empty):
     a, b = "the quick brown fox jumps over", "a rather long other line of text"
-    docs = [(1, f"{a}\n{b}\nshort"), (2, f"{a}!\nnew line number one here\n\n"), (3, f"{b[:10]}{b[11:]}\nshort"), (4, f"{a[:5]}X{a[6:]}\n{a[:5]}X{a[6:]}"), (5, None), (6, "short\nshor")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
-    assert got == {1: f"{a}\n{b}\nshort", 2: "new line number one here\n\n", 3: "", 4: "", 5: None, 6: "shor"}
-    assert lines.dedup_lines(odd).columns == odd.columns and lines.summary(odd).count() == len(ODD) and lines.summary(empty).count() == 0
+    docs = [(1, f"{a}\n{b}\nshort"), (2, f"{a}!\nnew line number one here\n\n"), (3, f"{b[:10]}{b[11:]}\nshort"), (4, f"{a[:5]}X{a[6:]}\n{a[:5]}X{a[6:]}"), (5, None), (6, "short\nshor"), (7, "lone\n\nother"), (7, "lone\n\nother"), (None, "lone"), (8, ""), (8, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("x.y", F.lit(1))
+    got = sorted(((r["doc_id"] or 99, str(r["text"])) for r in lines.dedup_lines(df).collect()))
+    assert got == [(1, f"{a}\n{b}\nshort"), (2, "new line number one here\n\n"), (3, ""), (4, ""), (5, "None"), (6, "shor"), (7, ""), (7, "lone\n\nother"), (8, ""), (8, ""), (99, "")]
+    seen = sorted(tuple(-1 if x is None else x for x in r) for r in lines.summary(df).collect())
+    assert seen == [(-1, 1, 1, 0, 0), (1, 3, 0, 0, -1), (2, 4, 1, 1, 0), (3, 2, 2, 1, 0), (4, 2, 2, 2, 0), (5, 0, 0, 0, -1), (6, 2, 1, 0, 0), (7, 3, 0, 0, -1), (7, 3, 2, 0, 0), (8, 1, 0, 0, -1), (8, 1, 0, 0, -1)]
+    assert lines.dedup_lines(empty).count() == 0
+    assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in lines.summary(odd).collect()) == [("1", 0), ("2", 0), ("3", 0), ("3", 0), ("5", 0), ("6", 0), ("6", 1), ("None", 0)]
 
 
 @pytest.mark.parametrize("edits", [1, 2])
-def test_edit_join_finds_all_links(spark, edits):
+def test_edit_classes_equal_brute_force(spark, edits):
+    """Random lines with edits, short and long ones, and four hundred lines that are all near each other."""
     import random
 
     rng = random.Random(5)
-    words, seen = [], set()
-    for _ in range(25):
-        base = "".join(rng.choice("abcd") for _ in range(rng.randint(20, 26)))
+    words = set()
+    for _ in range(40):
+        base = "".join(rng.choice("abcd") for _ in range(rng.choice([3, 19, 20, 21, 24, 39, 41, 60])))
         for _ in range(6):
             s = list(base)
             for _ in range(rng.randint(0, 3)):
                 k = rng.randrange(len(s))
-                rng.choice([lambda s=s, k=k: s.pop(k), lambda s=s, k=k: s.insert(k, "z"), lambda s=s, k=k: s.__setitem__(k, "y")])()
-            t = "".join(s)
-            if t not in seen:
-                seen.add(t)
-                words.append(t)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
-
-    want = {(i, j) for i in range(len(words)) for j in range(i) if min(len(words[i]), len(words[j])) >= 20 and distance(words[i], words[j]) <= edits}
+                rng.choice([lambda s=s, k=k: s.pop(k) if len(s) > 2 else None, lambda s=s, k=k: s.insert(k, "z"), lambda s=s, k=k: s.__setitem__(k, "\u00e9")])()
+            words.add("".join(s))
+    one = "x" * 30 + "".join(rng.choice("mnopq") for _ in range(70))
+    places = range(0, 100, 1 if edits == 1 else 12)
+    words |= {one[:k] + c + one[k + 1 :] for k in places for c in "12"} | {one[:k] + c + one[k:] for k in places for c in "34"} | {one[:k] + one[k + 1 :] for k in places}
+    words |= {one[:50] + "".join(rng.choice("rstuv") for _ in range(50)) for _ in places}  # half a line in common, no more
+    words = sorted(words)
+    near = lambda i, j: abs(len(words[i]) - len(words[j])) <= edits and within_edits(words[i], words[j], min(edits, min(len(words[i]), len(words[j])) // 20))
     df = spark.createDataFrame(list(enumerate(words)), "id long, line string")
-    got = {(max(r), min(r)) for r in lines.edit_links(df, Scratch(spark, "t"), edits).collect()}
-    assert got == want and want
+    scratch = Scratch(spark, "t")
+    found = lines.edit_links(df, scratch, edits)
+    pairs = [tuple(r) for r in found.collect()]
+    assert all(near(*p) for p in pairs)
+    roots = {r["node"]: r["root"] for r in components(found, scratch).collect()}
+    assert {i: roots.get(i, i) for i in range(len(words))} == classes_of(range(len(words)), near)
+    if edits == 1:
+        assert len(pairs) < 30 * len(words)
+
+
+def test_banded_distance(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(0, 9)))
+    pairs = [(word(), word()) for _ in range(600)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2, 4):
+        for r in df.select("a", "b", lines.within(F.col("a"), F.col("b"), edits).alias("d")).collect():
+            want = edits_between(r["a"], r["b"])
+            assert r["d"] == (want if want <= edits else None), (r, want)
+
+
+def test_a_very_long_line(spark):
+    text = "".join(chr(97 + k * k % 23) for k in range(60_000))
+    df = spark.createDataFrame([(k, text[:k] + "!" + text[k:]) for k in range(12)] + [(50, text)], "doc_id long, text string")
+    assert sorted(r["n_dropped"] for r in lines.summary(df).collect()) == [0] + [1] * 12
 
 
 # 3
