@@ -24,54 +24,228 @@ class Rule(NamedTuple):
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# License names as words, the label of each, and the word that gates its rules.
-NAMES = {
-    "mit": ("mit", "mit"), "x11": ("x11", "x11"), "isc": ("isc", "isc"), "zlib": ("zlib", "zlib"), "unlicense": ("unlicense", "unlicense"),
-    "apache": ("apache", "apache"), "apache software": ("apache", "apache"), "bsd": ("bsd", "bsd"), "bsd 2 clause": ("bsd-2-clause", "bsd"), "bsd 3 clause": ("bsd-3-clause", "bsd"),
-    "simplified bsd": ("bsd-2-clause", "bsd"), "new bsd": ("bsd-3-clause", "bsd"), "boost software": ("bsl", "boost"), "artistic": ("artistic", "artistic"), "mozilla public": ("mpl", "mozilla"),
-    "eclipse public": ("epl", "eclipse"), "common development and distribution": ("cddl", "cddl|development"), "gnu general public": ("gpl", "gnu"), "gnu lesser general public": ("lgpl", "gnu"), "gnu affero general public": ("agpl", "gnu"),
-    "gnu free documentation": ("gfdl", "gnu"), "gpl": ("gpl", "gpl"), "lgpl": ("lgpl", "lgpl"), "agpl": ("agpl", "agpl"), "european union public": ("eupl", "european"),
-    "open database": ("odbl", "database"), "open government": ("ogl", "government"), "microsoft public": ("ms-pl", "microsoft"), "python software foundation": ("psf", "python"), "sil open font": ("ofl", "font"),
-}
-VERSIONED = {"apache": ("1", "2"), "mpl": ("1", "2"), "epl": ("1", "2"), "gpl": ("1", "2", "3"), "lgpl": ("2", "3"), "agpl": ("1", "3"), "gfdl": ("1",), "eupl": ("1",), "bsl": ("1",), "cddl": ("1",), "artistic": ("1", "2"), "odbl": ("1",), "ogl": ("1", "2", "3"), "ofl": ("1",)}
-CREATIVE = {"by": "by", "by sa": "by-sa", "by nd": "by-nd", "by nc": "by-nc", "by nc sa": "by-nc-sa", "by nc nd": "by-nc-nd"}
-LONG = {"attribution": "by", "attribution sharealike": "by-sa", "attribution share alike": "by-sa", "attribution noderivatives": "by-nd", "attribution noncommercial": "by-nc", "attribution non commercial": "by-nc", "attribution noncommercial sharealike": "by-nc-sa", "attribution noncommercial noderivatives": "by-nc-nd"}
-
-
-def unit(words: str) -> str:
-    """A phrase in the searched form; a|b is either word, a? may be missing."""
+#: The rules after the base phrases: label; keyword; priority; weight; phrase. In a phrase a|b is either word, a? may be
+#: missing, and * stands for one word of digits or nothing. A rule's keyword is a word of every text that it matches.
+RULES = """
+mit; mit; 1; 0.95; spdx license identifier mit
+mit; mit; 1; 0.9; licensed|licenced|released|distributed|available|published under the? terms? of? the? mit license|licence
+mit; mit; 2; 0.8; mit license|licence
+mit; expat; 2; 0.7; expat license|licence
+mit; mit; 2; 0.6; mit licensed|licenced
+x11; x11; 2; 0.7; x11 license|licence
+mit-text; permission; 3; 0.5; permission is hereby granted free of charge to any person obtaining a copy
+mit-text; warranty; 3; 0.4; the software is provided as is without warranty of any kind
+isc; isc; 1; 0.95; spdx license identifier isc
+isc; isc; 2; 0.8; isc license|licence
+isc-text; permission; 3; 0.5; permission to use copy modify and or? distribute this software for any purpose with or without fee
+zlib; zlib; 1; 0.95; spdx license identifier zlib
+zlib; zlib; 2; 0.8; zlib libpng? license|licence
+unlicense; unlicense; 1; 0.95; spdx license identifier unlicense
+unlicense; unlicense; 2; 0.7; the unlicense
+unlicense; unencumbered; 3; 0.6; this is free and unencumbered software released into the public domain
+apache-2; apache; 1; 0.95; spdx license identifier apache 2 *
+apache-2; apache; 1; 0.9; apache license|licence version|v? 2|v2 *
+apache-2; apache; 1; 0.9; apache software license|licence version|v? 2|v2 *
+apache-2; apache; 1; 0.8; apache 2|v2 *
+apache-1; apache; 1; 0.9; apache software? license|licence version|v? 1|v1 *
+apache; apache; 2; 0.7; apache software? license|licence
+apache; apache; 2; 0.6; licensed|licenced|released|distributed under the? apache
+asl; asl; 2; 0.6; asl 2|v2 *
+bsd-2-clause; bsd; 1; 0.95; spdx license identifier bsd 2 clause
+bsd-3-clause; bsd; 1; 0.95; spdx license identifier bsd 3 clause
+bsd-0-clause; 0bsd; 1; 0.9; 0bsd
+bsd-2-clause; bsd; 1; 0.9; bsd 2|two clause license|licence?
+bsd-3-clause; bsd; 1; 0.9; bsd 3|three clause license|licence?
+bsd-4-clause; bsd; 1; 0.9; bsd 4|four clause license|licence?
+bsd-2-clause; bsd; 1; 0.9; 2|two clause bsd license|licence?
+bsd-3-clause; bsd; 1; 0.9; 3|three clause bsd license|licence?
+bsd-4-clause; bsd; 1; 0.9; 4|four clause bsd license|licence?
+bsd-2-clause; bsd; 1; 0.8; simplified|freebsd bsd license|licence
+bsd-3-clause; bsd; 1; 0.8; new|modified|revised bsd license|licence
+bsd-4-clause; bsd; 1; 0.8; original|old bsd license|licence
+bsd; bsd; 2; 0.7; bsd license|licence
+bsd; bsd; 2; 0.7; bsd style license|licence
+bsd; bsd; 2; 0.6; licensed|licenced|released|distributed under the? bsd
+bsd-text; redistribution; 3; 0.5; redistribution and use in source and binary forms
+bsd-text; endorse; 3; 0.4; may be used to endorse or promote products derived from this software
+bsl-1; bsl; 1; 0.95; spdx license identifier bsl 1 *
+bsl-1; boost; 1; 0.9; boost software license|licence version|v? 1|v1 *
+bsl; boost; 2; 0.7; boost software? license|licence
+artistic-1; artistic; 1; 0.9; artistic license|licence? version|v? 1|v1 *
+artistic-2; artistic; 1; 0.9; artistic license|licence? version|v? 2|v2 *
+artistic; artistic; 2; 0.7; artistic license|licence
+perl; perl; 2; 0.5; under the same terms as perl itself?
+mpl-2; mpl; 1; 0.95; spdx license identifier mpl 2 *
+mpl-1; mpl; 1; 0.95; spdx license identifier mpl 1 *
+mpl-2; mozilla; 1; 0.9; mozilla public license|licence version|v? 2|v2 *
+mpl-1; mozilla; 1; 0.9; mozilla public license|licence version|v? 1|v1 *
+mpl-2; mpl; 1; 0.8; mpl version|v? 2|v2 *
+mpl-1; mpl; 1; 0.8; mpl version|v? 1|v1 *
+mpl; mozilla; 2; 0.7; mozilla public license|licence
+epl-1; epl; 1; 0.95; spdx license identifier epl 1 *
+epl-2; epl; 1; 0.95; spdx license identifier epl 2 *
+epl-1; eclipse; 1; 0.9; eclipse public license|licence version|v? 1|v1 *
+epl-2; eclipse; 1; 0.9; eclipse public license|licence version|v? 2|v2 *
+epl-1; epl; 1; 0.8; epl version|v? 1|v1 *
+epl-2; epl; 1; 0.8; epl version|v? 2|v2 *
+epl; eclipse; 2; 0.7; eclipse public license|licence
+edl; eclipse; 2; 0.7; eclipse distribution license|licence
+cddl-1; cddl; 1; 0.95; spdx license identifier cddl 1 *
+cddl-1; development; 1; 0.9; common development and distribution license|licence version|v? 1|v1 *
+cddl-1; cddl; 1; 0.8; cddl version|v? 1|v1 *
+cddl; development; 2; 0.7; common development and distribution license|licence
+cpl; common; 2; 0.7; common public license|licence
+gpl-2; gpl; 1; 0.95; spdx license identifier gpl 2 *
+gpl-3; gpl; 1; 0.95; spdx license identifier gpl 3 *
+lgpl-2; lgpl; 1; 0.95; spdx license identifier lgpl 2 *
+lgpl-3; lgpl; 1; 0.95; spdx license identifier lgpl 3 *
+agpl-3; agpl; 1; 0.95; spdx license identifier agpl 3 *
+gpl-1; gnu; 1; 0.9; gnu general public license|licence version|v? 1|v1 *
+gpl-2; gnu; 1; 0.9; gnu general public license|licence version|v? 2|v2 *
+gpl-3; gnu; 1; 0.9; gnu general public license|licence version|v? 3|v3 *
+gpl-2; gnu; 1; 0.85; gnu general public license|licence as published by the free software foundation either? version 2 *
+gpl-3; gnu; 1; 0.85; gnu general public license|licence as published by the free software foundation either? version 3 *
+lgpl-2; gnu; 1; 0.9; gnu lesser|library general public license|licence version|v? 2|v2 *
+lgpl-3; gnu; 1; 0.9; gnu lesser general public license|licence version|v? 3|v3 *
+lgpl-2; gnu; 1; 0.85; gnu lesser|library general public license|licence as published by the free software foundation either? version 2 *
+lgpl-3; gnu; 1; 0.85; gnu lesser general public license|licence as published by the free software foundation either? version 3 *
+agpl-1; affero; 1; 0.9; affero general public license|licence version|v? 1|v1 *
+agpl-3; affero; 1; 0.9; affero general public license|licence version|v? 3|v3 *
+gpl-1; gpl; 1; 0.8; gpl version|v? 1|v1 *
+gpl-2; gpl; 1; 0.8; gpl version|v? 2|v2 *
+gpl-3; gpl; 1; 0.8; gpl version|v? 3|v3 *
+gpl-2; gplv2; 1; 0.8; gplv2
+gpl-3; gplv3; 1; 0.8; gplv3
+lgpl-2; lgpl; 1; 0.8; lgpl version|v? 2|v2 *
+lgpl-3; lgpl; 1; 0.8; lgpl version|v? 3|v3 *
+lgpl-2; lgplv2; 1; 0.8; lgplv2
+lgpl-3; lgplv3; 1; 0.8; lgplv3
+agpl-1; agpl; 1; 0.8; agpl version|v? 1|v1 *
+agpl-3; agpl; 1; 0.8; agpl version|v? 3|v3 *
+agpl-3; agplv3; 1; 0.8; agplv3
+gpl; gnu; 2; 0.7; gnu general public license|licence
+gpl; gnu; 2; 0.6; gnu gpl
+gpl; gpl; 2; 0.6; gpl license|licence|licensed|compatible
+gpl; gpl; 2; 0.6; licensed|licenced|released|distributed under the? gpl
+lgpl; gnu; 2; 0.7; gnu lesser|library general public license|licence
+lgpl; lgpl; 2; 0.6; lgpl license|licence|licensed
+lgpl; lgpl; 2; 0.6; licensed|licenced|released|distributed under the? lgpl
+agpl; affero; 2; 0.7; affero general public license|licence
+agpl; agpl; 2; 0.6; agpl license|licence|licensed
+gfdl-1; gnu; 1; 0.9; gnu free documentation license|licence? version|v? 1|v1 *
+gfdl-1; gfdl; 1; 0.8; gfdl version|v? 1|v1 *
+gfdl; gnu; 2; 0.7; gnu free documentation license|licence
+gpl-text; redistribute; 3; 0.4; this program is free software you can redistribute it and or? modify it
+gpl-text; merchantability; 3; 0.3; implied warranty of merchantability or fitness for a particular purpose
+eupl-1; eupl; 1; 0.9; eupl version|v? 1|v1 *
+eupl-1; european; 1; 0.9; european union public license|licence version|v? 1|v1 *
+eupl; european; 2; 0.7; european union public license|licence
+cecill; cecill; 2; 0.7; cecill free? software? license|licence
+odbl-1; odbl; 1; 0.9; odbl version|v? 1|v1 *
+odbl-1; database; 1; 0.9; open database license|licence? version|v? 1|v1 *
+odbl; database; 2; 0.7; open database license|licence
+odc-by; commons; 2; 0.7; open data commons attribution license|licence
+pddl; commons; 2; 0.7; open data commons public domain dedication
+ogl-1; government; 1; 0.9; open government license|licence version|v? 1|v1 *
+ogl-2; government; 1; 0.9; open government license|licence version|v? 2|v2 *
+ogl-3; government; 1; 0.9; open government license|licence version|v? 3|v3 *
+ogl; government; 2; 0.7; open government license|licence
+ms-pl; microsoft; 2; 0.7; microsoft public license|licence
+ms-rl; microsoft; 2; 0.7; microsoft reciprocal license|licence
+psf-2; python; 1; 0.9; python software foundation license|licence version|v? 2|v2 *
+psf; python; 2; 0.7; python software foundation license|licence
+php-3; php; 1; 0.9; php license|licence version|v? 3|v3 *
+php; php; 2; 0.7; php license|licence
+ruby; ruby; 2; 0.7; ruby license|licence
+vim; vim; 2; 0.7; vim license|licence
+openssl; openssl; 2; 0.7; openssl license|licence
+postgresql; postgresql; 2; 0.7; postgresql license|licence
+ncsa; illinois; 2; 0.7; university of illinois ncsa? open source license|licence
+curl; curl; 2; 0.7; curl license|licence
+wtfpl; wtfpl; 2; 0.8; wtfpl
+wtfpl; want; 2; 0.6; do what the fuck you want to public license|licence
+beerware; beerware; 2; 0.7; beerware license|licence
+beerware; beer; 2; 0.7; beer ware license|licence
+ofl-1; ofl; 1; 0.9; ofl version|v? 1|v1 *
+ofl-1; font; 1; 0.9; sil open font license|licence version|v? 1|v1 *
+ofl; font; 2; 0.7; open font license|licence
+blueoak-1; oak; 1; 0.9; blue oak model license|licence 1 *
+upl-1; upl; 1; 0.9; upl version|v? 1|v1 *
+upl; universal; 2; 0.7; universal permissive license|licence
+elastic-2; elastic; 1; 0.9; elastic license|licence version|v? 2|v2 *
+sspl-1; side; 1; 0.9; server side public license|licence version|v? 1|v1 *
+sspl; sspl; 2; 0.7; sspl
+busl-1; business; 1; 0.9; business source license|licence version|v? 1|v1 *
+openrail; openrail; 2; 0.7; openrail m? license|licence?
+llama; llama; 2; 0.7; llama 2|3 community license|licence agreement?
+cc0; cc0; 1; 0.95; spdx license identifier cc0 1 *
+cc0; cc0; 2; 0.8; cc0 1? *
+cc0; zero; 2; 0.8; creative commons zero
+cc-by-1; cc; 1; 0.9; cc by international? license|licence? 1 *
+cc-by-2; cc; 1; 0.9; cc by international? license|licence? 2 *
+cc-by-3; cc; 1; 0.9; cc by unported? license|licence? 3 *
+cc-by-4; cc; 1; 0.9; cc by international? license|licence? 4 *
+cc-by-sa-2; cc; 1; 0.9; cc by sa license|licence? 2 *
+cc-by-sa-3; cc; 1; 0.9; cc by sa license|licence? 3 *
+cc-by-sa-4; cc; 1; 0.9; cc by sa license|licence? 4 *
+cc-by-nd-4; cc; 1; 0.9; cc by nd license|licence? 4 *
+cc-by-nc-3; cc; 1; 0.9; cc by nc license|licence? 3 *
+cc-by-nc-4; cc; 1; 0.9; cc by nc license|licence? 4 *
+cc-by-nc-sa-3; cc; 1; 0.9; cc by nc sa license|licence? 3 *
+cc-by-nc-sa-4; cc; 1; 0.9; cc by nc sa license|licence? 4 *
+cc-by-nc-nd-3; cc; 1; 0.9; cc by nc nd license|licence? 3 *
+cc-by-nc-nd-4; cc; 1; 0.9; cc by nc nd license|licence? 4 *
+cc-by; cc; 2; 0.8; cc by
+cc-by-sa; cc; 2; 0.8; cc by sa
+cc-by-nd; cc; 2; 0.8; cc by nd
+cc-by-nc-sa; cc; 2; 0.8; cc by nc sa
+cc-by-nc-nd; cc; 2; 0.8; cc by nc nd
+cc-by-3; attribution; 1; 0.9; creative commons attribution unported? license|licence? 3 *
+cc-by-4; attribution; 1; 0.9; creative commons attribution international? license|licence? 4 *
+cc-by-sa-3; attribution; 1; 0.9; creative commons attribution sharealike|share alike? unported? license|licence? 3 *
+cc-by-sa-4; attribution; 1; 0.9; creative commons attribution sharealike|share alike? international? license|licence? 4 *
+cc-by-nc-4; attribution; 1; 0.9; creative commons attribution noncommercial international? license|licence? 4 *
+cc-by; attribution; 2; 0.8; creative commons attribution
+cc-by-sa; attribution; 2; 0.8; creative commons attribution sharealike|share alike?
+cc-by-nd; attribution; 2; 0.8; creative commons attribution noderivatives|noderivs
+cc-by-nc; attribution; 2; 0.8; creative commons attribution noncommercial
+cc-by-nc-sa; attribution; 2; 0.8; creative commons attribution noncommercial sharealike
+cc-by-nc-nd; attribution; 2; 0.8; creative commons attribution noncommercial noderivatives|noderivs
+creative-commons; creative; 3; 0.5; creative commons license|licence
+public-domain; domain; 2; 0.7; public domain dedication
+public-domain; domain; 2; 0.7; dedicated|released in|into|to the public domain
+all-rights-reserved; reserved; 3; 0.4; all rights reserved
+proprietary; proprietary; 3; 0.4; proprietary and confidential
+unknown-license; licensed; 3; 0.4; licensed under
+unknown-license; license; 3; 0.4; see the? license file
+unknown-license; license; 3; 0.4; terms of the? license
+unknown-license; licence; 3; 0.4; terms of the? licence
+"""
+
+
+def unit(phrase: str) -> str:
+    """A phrase's regular expression over the searched form."""
     out = []
-    for w in words.split():
+    for w in phrase.split():
         core, maybe = w.removesuffix("?"), w.endswith("?")
-        body = f" (?:{core}) " if "|" in core else f" {core} "
-        out.append(f"(?:{body})?" if maybe else body)
+        body = " [0-9] " if w == "*" else f" (?:{core}) " if "|" in core else f" {core} "
+        out.append(f"(?:{body})?" if maybe or w == "*" else body)
     return "".join(out)
 
 
+def example(phrase: str) -> str:
+    """A text that the phrase matches: first alternatives, no optional words."""
+    return " ".join(w.split("|")[0] for w in phrase.split() if w != "*" and not w.endswith("?"))
+
+
+def signatures() -> list[tuple[str, str, int, float, str]]:
+    """(label, keyword, priority, weight, phrase) in order: the base phrases, then RULES."""
+    base = [(label, {"mit": "mit", "apache-2": "apache", "cc-by-nc": "cc"}[label], 0, 1.0, phrase) for phrase, label in BASE.items()]
+    return base + [(a, k, int(p), float(w), phrase) for a, k, p, w, phrase in (line.split("; ") for line in RULES.strip().split("\n"))]
+
+
 def rules() -> list[Rule]:
-    """The rules in order: base phrases, versioned names, names, generic wording."""
-    out = [Rule(label, unit(p), f" {p.split()[0] if label == 'cc-by-nc' else p.split()[-2] if label == 'mit' else 'apache'} ", 0, 1.0) for p, label in BASE.items()]
-    lead = "licensed|licenced|released|distributed|available|published|provided|covered"
-    for name, (label, word) in NAMES.items():
-        gate = f" {word.split('|')[-1]} "
-        for v in VERSIONED.get(label, ()):
-            for middle in ("license|licence? version|v|ver?", "public? license|licence or any later version"):
-                out.append(Rule(f"{label}-{v}", unit(f"{name} {middle}") + f" v?{v} (?: [0-9] )?", gate, 1, 0.9))
-        out.append(Rule(label, unit(f"{name} license|licence|licensed"), gate, 2, 0.7))
-        out.append(Rule(label, unit(f"{lead} under the? {name}"), gate, 2, 0.7))
-        out.append(Rule(label, unit(f"spdx license identifier {name}"), gate, 1, 0.95))
-        out.append(Rule(label, unit(f"the? terms of the? {name} license|licence?"), gate, 2, 0.7))
-    for words, kind in {**{f"cc {k}": v for k, v in CREATIVE.items()}, **{f"creative commons {k}": v for k, v in (CREATIVE | LONG).items()}}.items():
-        gate = f" {words.split()[0]} "
-        for v in ("1", "2", "3", "4"):
-            out.append(Rule(f"cc-{kind}-{v}", unit(words) + f"(?: international )?(?: license )? v?{v} (?: 0 )?", gate, 1, 0.9))
-        out.append(Rule(f"cc-{kind}", unit(words), gate, 2, 0.8))
-    for words, label in {"cc0": "cc0", "creative commons zero": "cc0", "public domain dedication": "public-domain", "released into|to the public domain": "public-domain"}.items():
-        out.append(Rule(label, unit(words), f" {words.split()[-1]} ", 2, 0.7))
-    for words in ("licensed under", "released under the?", "distributed under the?", "terms of the? license", "see the? license file", "all rights reserved", "permission is hereby granted free of charge", "redistribution and use in source and binary forms"):
-        label = {"all": "all-rights-reserved", "permission": "mit-text", "redistribution": "bsd-text"}.get(words.split()[0], "unknown-license")
-        out.append(Rule(label, unit(words), f" {words.split()[0]} ", 3, 0.4))
-    return list(dict.fromkeys(out))
+    return [Rule(label, unit(phrase), f" {keyword} ", priority, weight) for label, keyword, priority, weight, phrase in signatures()]
 
 
 def searched(text: Column) -> Column:
@@ -80,9 +254,13 @@ def searched(text: Column) -> Column:
     return F.regexp_replace(spaced, "^ | $", "")
 
 
-def _rule_table(table: list[Rule]) -> Column:
-    row = lambda k, r: F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("rx"), F.lit(r.keyword).alias("kw"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(k).alias("nr"))
-    return F.array(*(row(k, r) for k, r in enumerate(table)))
+def _opened(form: Column, table: list[Rule]) -> Column:
+    """The rules whose keyword the text has: one search for each distinct keyword, whatever the number of rules."""
+    row = lambda k, r: F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("rx"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(k).alias("nr"))
+    by: dict[str, list[Column]] = {}
+    for k, r in enumerate(table):
+        by.setdefault(r.keyword, []).append(row(k, r))
+    return F.flatten(F.array_compact(F.array(*(F.when(F.contains(form, F.lit(word)), F.array(*own)) for word, own in by.items()))))
 
 
 def _places(form: Column, rule: Column) -> Column:
@@ -94,23 +272,25 @@ def _places(form: Column, rule: Column) -> Column:
 
 
 def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
-    """docs (doc_id, text) with n_words, found (all matches) and kept (those not suppressed), in order of place.
+    """docs (text, others) with n_words, found (all matches) and kept (those not suppressed), in order of place.
 
-    Matches of one rule do not overlap each other. Null text counts as empty; texts without words have no matches; equal
-    rows have equal results; the document's other columns stay, but those with a new column's name are replaced."""
+    Matches of one rule do not overlap each other. Null text counts as empty; texts without words have no matches; very
+    long texts are read whole; equal rows have equal results and empty tables none. The document's other columns stay,
+    whatever their names, except that columns named n_words, found or kept are replaced."""
     check_columns(docs, "text")
     known = table if table is not None else rules()
     levels = 1 + max((r.priority for r in known), default=0)
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce("row.text", F.lit(""))
     kind = "array<struct<start:bigint,minus_end:bigint,priority:int,nr:int,label:string,weight:double>>"
-    df = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    own = [c for c in docs.columns if c not in ("n_words", "found", "kept")]
+    back = [F.col("row").getField(c).alias(c) for c in own]
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
     if not known:
-        return df.withColumn("found", F.array().cast(kind)).withColumn("kept", F.array().cast(kind))
-    df = df.withColumn("_form", searched(text))
-    hits = F.filter(_rule_table(known), lambda r: (F.instr(F.col("_form"), r["kw"]) > 0) & F.rlike(F.col("_form"), r["rx"]))
-    df = df.withColumn("_hits", hits)
-    found = F.array_sort(F.flatten(F.transform("_hits", lambda r: _places(F.col("_form"), r))))
-    df = df.withColumn("found", F.when(F.size("_hits") > 0, found).otherwise(F.array().cast(kind)))
+        return df.select(*back, "n_words", F.array().cast(kind).alias("found"), F.array().cast(kind).alias("kept"))
+    df = df.withColumn("form", searched(text)).withColumn("open", _opened(F.col("form"), known))
+    df = df.withColumn("hits", F.filter("open", lambda r: F.rlike(F.col("form"), r["rx"])))
+    found = F.array_sort(F.flatten(F.transform("hits", lambda r: _places(F.col("form"), r))))
+    df = df.withColumn("found", F.when(F.size("hits") > 0, found).otherwise(F.array().cast(kind)))
     start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), levels).alias("to"), F.array().cast(kind).alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
@@ -118,7 +298,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
         to = F.transform(acc["to"], lambda x, p: F.when(p == d["priority"], F.greatest(x, -d["minus_end"])).otherwise(x))
         return F.struct(to.alias("to"), F.when(free | (d["priority"] == 0), F.concat(acc["kept"], F.array(d))).otherwise(acc["kept"]).alias("kept"))
 
-    return df.withColumn("kept", F.aggregate("found", start, step, lambda acc: acc["kept"])).drop("_form", "_hits")
+    return df.withColumn("kept", F.aggregate("found", start, step, lambda acc: acc["kept"])).select(*back, "n_words", "found", "kept")
 
 
 def licenses(docs: DataFrame) -> DataFrame:
