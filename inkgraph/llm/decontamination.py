@@ -124,8 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without a hit word, with their own columns."""
     hit = matches(docs, items, width).filter(F.size("spans") > 0).select("key").distinct()
-    # hashing the removed keys leaves the texts unsorted
-    return docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(hit.hint("shuffle_hash"), "key", "left_anti").select("row.*")
+    hit = Scratch(docs.sparkSession, "clean").cut(hit, "hit")
+    return docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(hit, "key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -160,12 +161,25 @@ def _compare(members: DataFrame, dim: int, k: int, tables: int, count: int, cosi
     return members.mapInPandas(run, "rep long, to long, links long")
 
 
+def _links(reps: DataFrame, dim: int, n: int, cosine: float, recall: float, scratch: Scratch) -> DataFrame:
+    """(rep, to, links) among n distinct vectors of one length."""
+    k, tables, count = plan(n, cosine, recall)
+    cells = scratch.cut(_cells(reps, dim, k, tables), f"cells-{dim}")
+    full = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = cells.join(full, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # a cell beyond BLOCK rows is compared as pairs of parts, each a task's share of its own
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = members.select("rep", "t", "cell", "part", other.alias("o")).select("rep", "t", "cell", "part", F.least("part", "o").alias("a"), F.greatest("part", "o").alias("b"))
+    fat = members.join(reps.select("rep", "v", "m"), "rep").repartition("t", "cell", "a", "b").sortWithinPartitions("t", "cell", "a", "b")
+    return scratch.cut(_compare(fat, dim, k, tables, count, cosine), f"links-{dim}")
+
+
 def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): n_links, component_id, kept.
 
     Equal vectors link with each other and are compared once; their number counts as links. Null, zero and non-finite
-    vectors link with nothing and are components of their own. Null vec_ids take part but name no component. Vectors of
-    other lengths than most cannot be compared and raise. An empty table gives no rows; other columns are ignored."""
+    vectors link with nothing and are components of their own. Null vec_ids take part but name no component. Vectors
+    are compared with those of their own length; of two lengths there is no cosine and no link. An empty table gives no rows; other columns are ignored."""
     check_columns(vectors, "vec_id", "embedding")
     scratch = Scratch(vectors.sparkSession, "embeddings")
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -173,20 +187,10 @@ def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     good = rows.filter(valid())
     reps = good.groupBy(F.col("embedding").alias("v")).agg(F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
     reps = scratch.cut(reps, "distinct")
-    n, low, high = reps.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
-    if not n:
+    lengths = reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()  # as a rule one
+    if not lengths:
         return alone
-    if low != high:
-        raise ValueError(f"vectors of {low} to {high} components")
-    k, tables, count = plan(n, cosine, recall)
-    cells = scratch.cut(_cells(reps, low, k, tables), "cells")
-    full = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = cells.join(full, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # a cell beyond BLOCK rows is compared as pairs of parts, each a task's share of its own
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = members.select("rep", "t", "cell", "part", other.alias("o")).select("rep", "t", "cell", "part", F.least("part", "o").alias("a"), F.greatest("part", "o").alias("b"))
-    fat = members.join(reps.select("rep", "v", "m"), "rep").repartition("t", "cell", "a", "b").sortWithinPartitions("t", "cell", "a", "b")
-    found = scratch.cut(_compare(fat, low, k, tables, count, cosine), "links")
+    found = reduce(DataFrame.union, (_links(reps.filter(F.size("v") == r["dim"]), r["dim"], r["n"], cosine, recall, scratch) for r in lengths))
     roots = components(found.select(F.col("rep").alias("u"), F.col("to").alias("v")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

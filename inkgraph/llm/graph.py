@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -28,14 +29,15 @@ def _star(edges: DataFrame, large: bool, cut: Callable[[DataFrame], DataFrame] =
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (u long, v long) to (node, root) for every node with an edge; root is the least node reachable.
 
     Self-loops, repeated and reversed edges and nulls are allowed (edges with a null end are no links).
-    Only two counters reach the driver per round. Raises if max_rounds do not suffice."""
+    Only two counters reach the driver per round. Rounds go on until the edges settle,
+    after about the logarithm of the longest chain."""
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen = scratch.cut(edges, "edges-0"), None
-    for k in range(1, max_rounds + 1):
+    for k in itertools.count(1):
         large = _star(now, True, lambda df, name=f"least-{k}": scratch.cut(df, name))
         after = scratch.cut(_star(large, False), f"edges-{k}")
         mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
@@ -44,4 +46,3 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         if tuple(mark) == seen:
             return after.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(after.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("root")))
         now, seen = after, tuple(mark)
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -83,12 +83,10 @@ class Profiles:
 def profiles(docs: DataFrame, top: int = TOP, max_per_lang: int = MAX_PER_LANG) -> dict[str, list[int]]:
     """Ranked n-gram codes by language from docs (doc_id, text, lang) with a lang.
 
-    Each language is learned from about max_per_lang of its documents, chosen by a hash of doc_id; the bound is on the
-    profiles only. Counts are summed per task and then per language and n-gram; top codes a language reach the driver."""
+    Each language is learned from about max_per_lang of its documents, chosen by a hash of doc_id, and at most MAX_LANGS
+    languages, the most frequent, are learned; the bounds are on the profiles only. Counts are summed per task and then per language and n-gram; top codes a language reach the driver."""
     rows = docs.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return {}
     limit = F.element_at(F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int((1 << 20) * min(1.0, max_per_lang / n)))))), F.col("lang"))

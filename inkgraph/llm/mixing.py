@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Scratch, check_columns, read
+from .common import NON_SPACE, Scratch, check_columns, numbered, read
 
 BITS, LEVEL_BITS, CAP = 60, 12, 3
-MAX_SOURCES = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -19,105 +18,108 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NON_SPACE)), F.lit(0)).cast("long")
 
 
-def place_of(doc_id: Column) -> Column:
-    """A row's fixed place in [0, 2**60): 15 hex digits of the md5 of its doc_id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def place_of(doc_id: Column, text_md5: Column, copy: Column) -> Column:
+    """A row's fixed place in [0, 2**60), from its doc_id, its text and its number among rows equal in these and source."""
+    word = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", word(doc_id), word(text_md5), copy.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: list[float], cap: float = CAP) -> dict[str | None, float]:
-    """Shares of the whole by weight (in code point order, null last, weights repeating), none above cap times its size."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8")) + [None] * (None in sizes)
-    weight = {s: float(weights[k % len(weights)]) for k, s in enumerate(order)}
-    left, open_, out = float(sum(sizes.values())), list(order), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if weight[s] * unit > cap * sizes[s]]
-        if not over:
-            return out | {s: weight[s] * unit for s in open_}
-        for s in over:
-            out[s] = float(cap * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in over]
-    return out
+def _ranked(totals: DataFrame, scratch: Scratch) -> DataFrame:
+    """totals with rank: the sources in code point order from 0, null last, numbered by ranges."""
+    order = F.col("source").asc_nulls_last()
+    parts = scratch.cut(totals.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = parts.groupBy("part").agg(F.count("*").alias("held")).select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    return parts.join(starts, "part").withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).drop("part", "start")
 
 
-def _by_source(spark: SparkSession, values: dict, kinds: str) -> DataFrame:
-    """A table of one row per source from literals; at most MAX_SOURCES rows, so it may be broadcast."""
-    names = [k.split()[0] for k in kinds.split(", ")]
-    rows = [F.struct(F.lit(s).cast("string").alias("key"), *(F.lit(v).cast(k.split()[1]).alias(n) for v, n, k in zip(vs, names, kinds.split(", "), strict=True))) for s, vs in values.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def targets(totals: DataFrame, weights: list[float], scratch: Scratch, cap: int = CAP) -> DataFrame:
+    """(source, n, target) from (source, n): shares of the whole by weight (by rank, repeating), none above cap * n.
+
+    Each round fills the sources that are not full up to one level; three numbers a round reach the driver."""
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    state = scratch.cut(_ranked(totals, scratch).select("source", "n", weight.alias("weight")), "weights")
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(level) > cap * F.col("n")
+        found = state.agg(F.sum("n"), F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if found[2] is None or found[3] == n_full:
+            break
+        level, n_full = ((found[0] or 0) - cap * (found[1] or 0)) / found[2], found[3]
+    return state.select("source", "n", F.when(full, (cap * F.col("n")).cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _attach(df: DataFrame, table: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(table), df["source"].eqNullSafe(table["key"])).drop("key")
+    """df with the written table's columns by source, null to null. Spark broadcasts the table below its own limit only."""
+    other = table.withColumnRenamed("source", "_source")
+    return df.join(other, df["source"].eqNullSafe(other["_source"])).drop("_source")
 
 
-def plan(sizes: DataFrame, weights: list[float]) -> dict:
-    """From (source, size, place): per source (size, target, whole copies, edge); rows with a place below the edge are
-    taken once more than the whole copies.
+def plan(sizes: DataFrame, weights: list[float], scratch: Scratch) -> DataFrame:
+    """From (source, size, place): (source, source_size, target, copies, edge); rows with a place below the edge are taken
+    once more than the whole copies.
 
     One histogram of 4,096 buckets per source, then one of the boundary bucket alone, until that holds a single place.
-    The rows on that place go in if this brings the sum nearer to the budget. Per level one row a source reaches the
-    driver."""
-    spark = sizes.sparkSession
-    found = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    total = {r["source"]: r["n"] for r in found}
-    target = targets(total, weights)
-    copies = {s: min(CAP, int(target[s] // n)) if n else 0 for s, n in total.items()}
-    want = {s: max(0.0, target[s] - copies[s] * n) for s, n in total.items()}
-    edge, have, width = dict.fromkeys(total, 0), dict.fromkeys(total, 0), BITS
-    open_ = [s for s in total if total[s] > 0]
-    while open_:
-        width -= LEVEL_BITS
-        at = _attach(sizes, _by_source(spark, {s: (edge[s], have[s], want[s]) for s in open_}, "low long, have long, want double"))
-        inside = at.filter(F.shiftright("place", width + LEVEL_BITS) == F.shiftright("low", width + LEVEL_BITS))
-        buckets = inside.groupBy("source", "have", "want", F.shiftright("place", width).alias("bucket")).agg(F.sum("size").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
-        sums = buckets.withColumn("upto", F.col("have") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
-        over = sums.filter("upto > want").groupBy("source").agg(F.min_by(F.struct("first", "last", "n", "upto"), "bucket").alias("b")).collect()
-        done = set()
-        for r in over:
-            s, b = r["source"], r["b"]
-            edge[s], have[s] = b["first"], b["upto"] - b["n"]
-            if b["first"] == b["last"]:
-                done.add(s)
-                if abs(b["upto"] - want[s]) < abs(have[s] - want[s]):
-                    edge[s] += 1
-        open_ = [s for s in open_ if s not in done]
-    return {s: (total[s], target[s], copies[s], edge[s]) for s in total}
-
-
-KINDS = "source_size long, target double, copies int, edge long"
+    The rows on that place go in if this brings the sum nearer to the budget. Any number of sources: plans are tables."""
+    aim = targets(sizes.groupBy("source").agg(F.sum("size").alias("n")), weights, scratch)
+    copies = F.when(F.col("n") > 0, F.least(F.lit(CAP), F.floor(F.col("target") / F.col("n")))).otherwise(0).cast("int")
+    state = aim.withColumn("copies", copies).withColumn("want", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("n")))
+    none = F.lit(0).cast("long")
+    state = scratch.cut(state.select("source", F.col("n").alias("source_size"), "target", "copies", "want", none.alias("edge"), none.alias("have"), ((F.col("n") == 0) | (F.col("want") <= 0)).alias("done")), "plan-0")
+    for level in range(1, BITS // LEVEL_BITS + 1):
+        if state.filter(~F.col("done")).isEmpty():
+            break
+        width = BITS - LEVEL_BITS * level
+        at = _attach(sizes, state.filter(~F.col("done")).select("source", "edge", "have", "want"))
+        inside = at.filter(F.shiftright("place", width + LEVEL_BITS) == F.shiftright("edge", width + LEVEL_BITS))
+        buckets = inside.groupBy("source", "have", "want", F.shiftright("place", width).alias("bucket")).agg(F.sum("size").alias("here"), F.min("place").alias("first"), F.max("place").alias("last"))
+        sums = buckets.withColumn("upto", F.col("have") + F.sum("here").over(Window.partitionBy("source").orderBy("bucket")))  # at most 4,096 rows a source
+        over = sums.filter("upto > want").groupBy("source").agg(F.min_by(F.struct("first", "last", "here", "upto"), "bucket").alias("b"))
+        joined = state.withColumnRenamed("source", "_s").join(over, F.col("_s").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("_s", "source")
+        b, single = F.col("b"), F.col("b.first") == F.col("b.last")
+        before = F.col("b.upto") - F.col("b.here")
+        nearer = (F.abs(F.col("b.upto") - F.col("want")) < F.abs(before - F.col("want"))).cast("long")
+        edge = F.when(F.col("done"), F.col("edge")).when(b.isNull(), F.lit(1 << BITS)).when(single, F.col("b.first") + nearer).otherwise(F.col("b.first"))
+        state = scratch.cut(joined.select("source", "source_size", "target", "copies", "want", edge.alias("edge"), F.when(F.col("done") | b.isNull(), F.col("have")).otherwise(before).alias("have"), (F.col("done") | b.isNull() | single).alias("done")), f"plan-{level}")
+    return state.select("source", "source_size", "target", "copies", "edge")
+
+
+def _places(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, place) for every row of docs (doc_id, source, text_md5)."""
+    rows = numbered(docs, F.struct("doc_id", "source", "text_md5"), scratch)
+    return rows.select("row", place_of(F.col("row.doc_id"), F.col("row.text_md5"), F.col("copy")).alias("place"))
 
 
 def sized(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, source, size, place), counted once over the whole texts and written."""
     check_columns(docs, "doc_id", "source", "text")
-    return scratch.cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("place")), "sizes")
+    narrow = scratch.cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5("text").alias("text_md5")), "narrow")
+    return scratch.cut(_places(narrow, scratch).select("row.doc_id", "row.source", "row.size", "place"), "sizes")
+
+
+def times() -> Column:
+    return F.col("copies") + (F.col("place") < F.col("edge")).cast("int")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """One row per row of docs (doc_id, source, text): size, source_size, target, taken words and times it is taken.
 
-    A document is taken whole, 0 to CAP times. Repeated doc_ids share a place and are taken alike. Null text has size 0;
-    a null source is a source of its own; an empty table gives no rows; other columns are ignored."""
-    rows = sized(docs, Scratch(docs.sparkSession, "mix"))
-    found = plan(rows, list(weights))
-    if not found:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"))
-    times = F.col("copies") + (F.col("place") < F.col("edge")).cast("int")
-    return _attach(rows, _by_source(rows.sparkSession, found, KINDS)).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    A document is taken whole, 0 to CAP times. Rows equal in doc_id, source and text have places of their own, so one
+    document that makes up a source is taken in part of its rows. Null text has size 0 and is never taken more than CAP
+    times either; a null source is a source of its own; an empty table gives no rows; other columns are ignored."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = sized(docs, scratch)
+    return _attach(rows, plan(rows, list(weights), scratch)).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"), times().alias("times"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their own columns. Texts are neither joined nor shuffled."""
-    found = plan(sized(docs, Scratch(docs.sparkSession, "mix")), list(weights))
-    if not found:
-        return docs
-    rows = docs.select(F.struct("*").alias("row"), "source", place_of(F.col("doc_id")).alias("place"))
-    times = F.col("copies") + (F.col("place") < F.col("edge")).cast("int")
-    kept = _attach(rows, _by_source(docs.sparkSession, found, KINDS)).withColumn("times", times).filter("times > 0")
+    """The rows of docs, each as often as the mix takes it, with their own columns, whatever their names. Texts are moved
+    only where rows are equal in doc_id, source and text."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    found = plan(sized(docs, scratch), list(weights), scratch)
+    rows = numbered(docs, F.struct("doc_id", "source", F.md5("text").alias("text_md5")), Scratch(docs.sparkSession, "mix-rows"))
+    rows = rows.select("row", F.col("row.source").alias("source"), place_of(F.col("key.doc_id"), F.col("key.text_md5"), F.col("copy")).alias("place"))
+    kept = _attach(rows, found).withColumn("times", times()).filter("times > 0")
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
@@ -128,7 +130,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null') || ':' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)), 1, 15))::BIGINT AS place
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
@@ -148,7 +150,7 @@ c AS (
   SELECT p.source, p.place, p.here, sum(p.here) OVER (PARTITION BY p.source ORDER BY p.place) AS upto FROM p),
 e AS (  -- the first place that goes beyond the budget, and whether it is nearer with it
   SELECT b.source, min(c.place) AS edge, arg_min(abs(c.upto - b.want) < abs(c.upto - c.here - b.want), c.place) AS with_it
-  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE c.upto > b.want GROUP BY b.source)
+  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE c.upto > b.want AND b.want > 0 GROUP BY b.source)
 SELECT d.doc_id, d.size, b.n AS source_size, b.target AS target,
        (d.size * (b.copies + CASE WHEN e.edge IS NOT NULL AND (d.place < e.edge OR (d.place = e.edge AND e.with_it)) THEN 1 ELSE 0 END))::BIGINT AS taken,
        (b.copies + CASE WHEN e.edge IS NOT NULL AND (d.place < e.edge OR (d.place = e.edge AND e.with_it)) THEN 1 ELSE 0 END)::INTEGER AS times

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_value, check_columns, read
 
@@ -117,20 +118,19 @@ def fit(rows: list[tuple[list[int], int]], bits: int = BITS, grades: int = 3, st
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS) -> list[tuple[list[int], int]]:
-    """About max_train labelled rows, by hash of doc_id, as hashed features; only features reach the driver.
+    """At most max_train labelled documents, the first by hash of doc_id, as hashed features; only features reach the driver.
 
-    A doc_id labelled twice takes its lowest grade. The bound is on rows for the model alone; scoring covers every row."""
-    graded = labels.select("doc_id", grade_of().alias("grade")).filter("grade is not null and doc_id is not null")
-    n = graded.count()
-    share = min(1.0, max_train / n) if n else 0.0
-    picked = graded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    A doc_id labelled twice takes its lowest grade, one that stands for several texts the least of them. The bound is on
+    rows for the model alone; scoring covers every row."""
+    graded = labels.select("doc_id", grade_of().alias("grade")).filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    picked = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py(), bits) for t in b.column(0)], pa.list_(pa.int32())), b.column(1)], names=["f", "grade"])
 
-    # picked has at most about max_train rows, so it may be broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
+    # picked has at most max_train rows, so it may be broadcast
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
     table = chosen.mapInArrow(run, "f array<int>, grade int").toArrow()
     return [(f.values.to_numpy(), g) for f, g in zip(table.column(0), table.column(1).to_pylist(), strict=True)]
 
@@ -139,25 +139,30 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
     return fit(training_rows(docs, labels, max_train, bits), bits)
 
 
-def grade(docs: DataFrame, model: Ordinal, keep_at: float = KEEP_AT, bits: int = BITS) -> DataFrame:
-    """The rows of docs with expected_grade (0 to 2), tail (probability of the highest grade) and kept (tail >= keep_at).
+def graded(docs: DataFrame, model: Ordinal, keep_at: float = KEEP_AT, bits: int = BITS) -> DataFrame:
+    """(row, expected_grade, tail, kept) for every row of docs, the row packed, so that no column name can clash.
 
-    Null text counts as empty. Texts are read whole, in Arrow batches; rows keep their own columns, of which those named
-    like a new one are replaced."""
+    expected_grade is 0 to 2, tail the probability of the highest grade, kept is tail >= keep_at. Null text counts as
+    empty; texts are read whole, in Arrow batches; equal rows have equal results; empty tables give no rows."""
     check_columns(docs, "text")
-    new = ["expected_grade", "tail", "kept"]
-    own = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + ["expected_grade double", "tail double", "kept boolean"])
+    new = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Ordinal(*shared.value)
         for b in batches:
-            tails = [m.tails(m.score(features(t.as_py(), bits))) for t in b.column(b.schema.get_field_index("text"))]
+            tails = [m.tails(m.score(features(t.as_py(), bits))) for t in b.column(1)]
             extra = [pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64()), pa.array([t[-1] >= keep_at for t in tails], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*own, *new])
+            yield pa.RecordBatch.from_arrays([b.column(0), *extra], names=["row", "expected_grade", "tail", "kept"])
+
+    packed = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], *new]))
 
-    return docs.select(*own).mapInArrow(run, schema)
+
+def grade(docs: DataFrame, model: Ordinal, keep_at: float = KEEP_AT, bits: int = BITS) -> DataFrame:
+    """graded() with the rows' own columns, of which those named like a new one are replaced."""
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("expected_grade", "tail", "kept")]
+    return graded(docs, model, keep_at, bits).select(*own, "expected_grade", "tail", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

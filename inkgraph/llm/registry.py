@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_sharding": sharding.query,
 }
-ORACLE_SQL = {"op1_licenses": licenses.SQL, "op4_mixing": mixing.SQL, "op5_chat": chat.SQL, "op6_decontamination": decontamination.SQL}
+ORACLE_SQL = {"op1_licenses": licenses.SQL, "op4_mixing": mixing.SQL, "op5_chat": chat.SQL, "op6_decontamination": decontamination.SQL, "op10_sharding": sharding.SQL}

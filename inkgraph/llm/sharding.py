@@ -3,6 +3,8 @@ versioned slot-to-shard map says where each slot lives. Growing or rebalancing e
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,19 +78,36 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.groupBy(slot_of(F.col("doc_id"), slots).alias("slot")).agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes"))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def stored_maps(docs: DataFrame, scratch: Scratch, shards: int, slots: int, law: str) -> DataFrame:
+    """(vslot, shard, grown_shard) from the stored map. Version 1 is grown to the shard count. Under the law `key` version
+    2 grows it by one shard; under `bytes` version 2 is version 1 edited by the bytes per slot, and rows live by it."""
+    first = shard_map(shards, slots)
+    if law == "key":
+        second = grow(first) if shards < slots else first
+    else:
+        held = dict.fromkeys(range(slots), 0) | {r["slot"]: r["bytes"] for r in slot_bytes(docs, slots).collect()}  # one number a slot
+        second = rebalance(first, [held[k] for k in range(slots)])
+    stored = scratch.cut(map_table(docs.sparkSession, [(1, first), (2, second)]), "map")
+    at = lambda v: F.max(F.when(F.col("version") == v, F.col("shard")))
+    by = stored.groupBy(F.col("slot").alias("vslot")).agg(at(1).alias("one"), at(2).alias("two"))
+    return by.select("vslot", F.col("one" if law == "key" else "two").alias("shard"), (F.col("two") if law == "key" else F.lit(None).cast("int")).alias("grown_shard"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, law: str = "key") -> DataFrame:
     """One row per row of docs (doc_id, text): size, crc, shard, its place in the shard and the shard after growth.
 
-    The law is `key`: doc_id and the shard count decide. Places within a shard run gapless from 0 by virtual slot, part
-    of the slot, doc_id, crc and size; equal rows share those values, so any order among them is the same result. Null
-    doc_id is a key of its own; null text has 0 bytes and a null crc; an empty table gives no rows; other columns are
-    ignored. Texts are read once; narrow rows are shuffled, equal ones as one row with a count. A doc_id that very many
-    rows share lies in one virtual slot, which is numbered in PARTS parts: different texts are parted by crc, equal ones
-    in pieces of at most PIECE rows."""
+    Under the law `key` doc_id and the shard count decide, and grown_shard says where one more shard would put the row;
+    under `bytes` the map is rebalanced by the bytes that its slots hold, and grown_shard is null. Places within a shard run
+    gapless from 0 by virtual slot, part of the slot, doc_id, crc and size; equal rows share those values, so any order
+    among them is the same result. Null doc_id is a key of its own; null text has 0 bytes and a null crc; an empty table
+    gives no rows; other columns are ignored. Texts are read once (twice under `bytes`); narrow rows are shuffled, equal
+    ones as one row with a count. A doc_id that very many rows share lies in one virtual slot, which is numbered in PARTS
+    parts: different texts are parted by crc, equal ones in pieces of at most PIECE rows."""
     check_columns(docs, "doc_id", "text")
-    spark = docs.sparkSession
-    owners = shard_map(shards, slots)
-    now, then = (F.array(*map(F.lit, m)) for m in (owners, grow(owners) if shards < slots else owners))
+    if law not in ("key", "bytes"):
+        raise ValueError("the law is key or bytes")
+    scratch = Scratch(docs.sparkSession, "shards")
+    owned = stored_maps(docs, scratch, shards, slots, law)
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
@@ -99,8 +118,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
     pieces = equal.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
     by_crc = F.shiftright(F.coalesce("text_crc32", F.lit(0).cast("long")), 26)
     pieces = pieces.withColumn("n", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("int")).withColumn("part", F.pmod(by_crc + F.col("piece"), F.lit(PARTS)).cast("int"))
-    pieces = Scratch(spark, "shards").cut(pieces, "pieces")
-    owned = spark.range(1).select(F.posexplode(F.arrays_zip(now.alias("a"), then.alias("b"))).alias("vslot", "o")).select("vslot", F.col("o.a").alias("shard"), F.col("o.b").alias("grown_shard"))
+    pieces = scratch.cut(pieces, "pieces")
     counts = pieces.groupBy("vslot", "part").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     # owned and starts have one row for each of the fixed slots, with PARTS numbers at most, so their sizes are known before they are broadcast
@@ -109,8 +127,27 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
     place = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0))).join(F.broadcast(starts), "vslot")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.element_at("starts", F.col("part")) + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.element_at("starts", F.col("part")) + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(read(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same rows. The CRC goes byte by byte through its table of 256 remainders, a string of eight digits each."""
+    now = shard_map(SHARDS)
+    crc = "".join(f"{zlib.crc32(bytes([k ^ 255])) ^ 0xFF000000:08X}" for k in range(256))
+    return f"""
+WITH d AS (SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) + {OVERHEAD} AS size, ('0x' || left(md5(coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT % {SLOTS} AS vslot FROM documents),
+t AS (SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda c, b: xor(('0x' || substr('{crc}', (xor(c, b) & 255) * 8 + 1, 8))::BIGINT, c >> 8)), 4294967295::BIGINT) AS crc FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT d.doc_id, d.size, d.vslot, t.crc, (row_number() OVER (PARTITION BY d.doc_id, d.size, t.crc) - 1) // {PIECE} AS piece FROM d LEFT JOIN t USING (text)),
+p AS (SELECT *, ((coalesce(crc, 0) >> 26) + piece) % {PARTS} AS part, {now}[vslot + 1] AS shard, {grow(now)}[vslot + 1] AS grown_shard FROM c)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY vslot, part, doc_id NULLS FIRST, crc NULLS FIRST, size, piece) - 1 AS slot, grown_shard::INTEGER AS grown_shard, vslot::INTEGER AS vslot
+FROM p
+"""
+
+
+SQL = _sql()

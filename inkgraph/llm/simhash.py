@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, check_columns, key_of, read
+from .common import Scratch, by_value, check_columns, key_of, numbered, read
 from .graph import components
 from .near import near_links
 
@@ -136,16 +136,17 @@ def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE, near: bool = True)
     """The rows of docs less all but one of each component of classes(), with their own columns.
 
     The row with the least doc_id stays (nulls last: one without an id stays only if its whole component has none); of
-    several texts with that doc_id, the one with the least hash; of rows equal in doc_id and text, one. A doc_id that
+    several texts with that doc_id, the one with the least hash; of rows equal in doc_id and text, the
+    first in the order of the input's parts and of the rows' JSON. A doc_id that
     names rows of several components is judged in each of them by itself."""
     scratch = Scratch(docs.sparkSession, "keep")
     found = scratch.cut(_classed(docs, threshold, scratch, near).select("doc_id", "text_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")), "classes")
     # written: the join may split a component with very many rows
     first = scratch.cut(found.filter("least").groupBy("root").agg(F.min("text_key").alias("first")), "first")
     gone = found.join(first, "root").filter(~F.col("least") | (F.col("text_key") != F.col("first"))).select(F.struct("doc_id", "text_key").alias("key")).distinct()
-    kept = docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(gone.hint("shuffle_hash"), "key", "left_anti")
+    kept = docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(scratch.cut(gone, "gone"), "key", "left_anti").select("row.*")
     repeated = found.filter("least").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["key"]) if repeated else kept).select("row.*")
+    return numbered(kept, key_of(), scratch).filter("copy = 0").select("row.*") if repeated else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,8 +201,14 @@ def test_language_id(spark, odd, empty):
 # 4
 
 def test_mix_targets_and_nearness(spark, odd, empty):
-    t = mixing.targets({"a": 100, "b": 10, None: 50}, [1, 2, 3])
-    assert abs(sum(t.values()) - 160) < 1e-9 and t["b"] == 30
+    totals = spark.createDataFrame([("a", 100), ("b", 10), (None, 50), ("\U0001f600", 0)], "source string, n long")
+    t = {r["source"]: r["target"] for r in mixing.targets(totals, [1, 2, 3], Scratch(spark, "t")).collect()}
+    assert abs(sum(t.values()) - 160) < 1e-9 and t["b"] == 30 and t["\U0001f600"] == 0
+    one = spark.range(100).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 50, "s").otherwise("t").alias("source"), F.when(F.col("id") == 99, "").otherwise("w " * 10).alias("text"))
+    rows = mixing.mix(one).collect()
+    for s in {r["target"] for r in rows}:
+        assert abs(sum(r["taken"] for r in rows if r["target"] == s) - s) <= 10
+    assert len(rows) == 100 and max(r["times"] for r in rows) <= 3 and mixing.apply_mix(one).count() == sum(r["times"] for r in rows)
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), F.col("id") % 4)).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"))
     rows = mixing.mix(docs).collect()
     for s in {r["source_size"] for r in rows}:
@@ -212,7 +218,7 @@ def test_mix_targets_and_nearness(spark, odd, empty):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
     kept = mixing.apply_mix(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["times"] for r in rows)
-    assert mixing.apply_mix(odd).columns == odd.columns and mixing.apply_mix(empty).count() == 0
+    assert mixing.apply_mix(empty).count() == 0
 
 
 # 5
@@ -372,6 +378,8 @@ def test_embeddings_against_brute_force(spark):
     assert 0.9 * want.sum() <= found <= want.sum() and all(got[i]["n_links"] <= want[i] for i in range(len(x)))
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (900, 901, 902, 903))
     assert len(got) == len(rows) and embeddings.classes(df.filter("false")).count() == 0
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (None, [2.0, 4.0, 0.0]), (5, [])], "vec_id long, embedding array<double>")
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in embeddings.classes(mixed).collect()) == [("1", 1, 1), ("2", 1, 1), ("3", 1, 3), ("5", 0, 5), ("None", 1, 3)]
 
 
 # 9
@@ -393,6 +401,11 @@ def test_quality_separates_held_out_grades(spark, odd, empty):
     assert out.count() == len(ODD) and set(odd.columns) <= set(out.columns) and quality.grade(empty, model).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (6, None, None), (77, 1, 0)], "doc_id long, quality int, toxic int")
     assert [g for _, g in quality.training_rows(odd, labels)] == [0]
+    hot = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text")).union(spark.range(50).select("id", F.lit("x")))
+    many = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert len(quality.training_rows(hot, many, max_train=10)) == 10
+    clash = odd.withColumns({"tail": F.lit("mine"), "kept": F.lit("mine"), "x.y": F.lit(1)})
+    assert {tuple(r) for r in quality.graded(clash, model).select("row.tail", "row.kept", "row.`x.y`").collect()} == {("mine", "mine", 1)}
     assert quality.train(odd, labels.filter("false")).tails(0.0)[-1] < 0.5 and quality.train(empty, labels).thresholds
 
 
@@ -416,6 +429,17 @@ def test_sharding_laws(spark, odd, empty):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(empty).count() == 0
 
 
+def test_sharding_by_bytes(spark):
+    """One very large document a few slots share: the map is edited by bytes per slot."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") < 20, 4000).otherwise(60)).alias("text"))
+    by = {law: Counter() for law in ("key", "bytes")}
+    for law, held in by.items():
+        for r in sharding.assign(docs, 8, 512, law).collect():
+            held[r["shard"]] += r["size"]
+            assert (r["grown_shard"] is None) == (law == "bytes")
+    assert max(by["bytes"].values()) <= 1.1 * sum(by["bytes"].values()) / 8 and max(by["bytes"].values()) <= max(by["key"].values())
+
+
 def test_sharding_numbers_a_hot_key_in_parts(spark):
     """Null ids with one text, null ids with many texts, and others: slots are gapless and every row stays."""
     hot = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 9 > 0, "copy").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
@@ -463,3 +487,20 @@ def test_pipeline_stages_take_effect(spark):
             assert out.count() == seen.count()
         seen = out
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, seen.collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names, stage after stage; and an empty table."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ("tail", "kept", "row", "key", "copy", "place", "times", "shard", "gone", "x.y")
+    odd = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (-1, "", "en", None, 0), (-2, "plain words of a long text " * 20_000, "en", "web", 1)], docs.schema))
+    odd = odd.withColumns({n: F.lit("mine") for n in names})
+    scratch = Scratch(spark, "t")
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.cut(stage(spark, odd, FOLDER), name)
+        assert stage(spark, odd.filter("false"), FOLDER).count() == 0
+        if name != "sharding":
+            assert out.columns == odd.columns and out.filter("tail <> 'mine' or kept <> 'mine' or `x.y` <> 'mine'").count() == 0
+            assert name == "mixing" or out.count() > 50
