@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+X = TypeVar("X")
+
 HASHES = "id string, sha256 string"
 PREDICTIONS = "id string, pred_text string, protocol string, _corrupt_record string"
 MANIFEST = "id string, sha256 string, bucket string, n_drawable int, n_elements int, difficulty double, selection_reason string, cluster_pool_idx long, svg_path string, image_path string, source string, svg string"
@@ -72,3 +79,93 @@ def append_log(rows: DataFrame, path: str) -> None:
 def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has no result yet."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+def retry(f: Callable[[], X], attempts: int = 3, base_delay: float = 2.0) -> X:
+    """f's result; a call that fails is made again after base_delay, then twice that, and so on. For catalog calls of the
+    driver only: Spark itself repeats tasks."""
+    for k in range(attempts):
+        try:
+            return f()
+        except Exception as e:  # noqa: BLE001  any failure of a remote call may pass
+            if k == attempts - 1:
+                raise RuntimeError(f"failed after {attempts} attempts: {e}") from e
+            time.sleep(base_delay * 2**k)
+    raise ValueError("attempts must be positive")
+
+
+def pin(spark: SparkSession, path: str, out: str) -> str | None:
+    """Writes the newest modification time of the files under path as the revision that a run reads; None if there is none."""
+    newest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("modificationTime").cast("string")).first()[0] if exists(spark, path) else None
+    if newest is not None:
+        write_report(spark.range(1).select(F.lit(path).alias("path"), F.lit(newest).alias("revision")), out)
+    return newest
+
+
+def ids(rows: DataFrame, key: str = "id") -> DataFrame:
+    return rows.select(key)
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A report of one row as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_splits(rows: DataFrame, path: str, pilot: bool = False) -> None:
+    """A manifest per split; markup stays in the rows of a pilot only."""
+    write_lines(rows if pilot else rows.drop("svg"), path, by="split")
+
+
+def export_files(rows: DataFrame, folder: str, name: Column, content: Column, ext: str = "svg") -> None:
+    """One row per file name as (name, content) under its partition of the name's first two digits. Names come from hashes,
+    since ids may repeat; the payload stays in a table that readers of single files can query by name."""
+    keyed = rows.select(F.concat(name, F.lit(f".{ext}")).alias("name"), content.alias("content"), F.substring(name, 1, 2).alias("part"))
+    keyed.dropDuplicates(["name"]).write.mode("overwrite").partitionBy("part").parquet(folder)
+
+
+def asset_path(path: Column, root: str) -> Column:
+    """A path as it is if absolute or with a scheme, else under root."""
+    return F.when(path.rlike(r"^(/|[a-z][a-z0-9+.-]*:)"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The picks of a run: the full manifest, else the pilot's, else none."""
+    for name in ("train_manifest.jsonl", "candidates_pilot.jsonl"):
+        if exists(spark, f"{folder}/{name}"):
+            return json_lines(spark, f"{folder}/{name}", MANIFEST).withColumnRenamed("cluster_pool_idx", "pool_idx")
+    return spark.createDataFrame([], MANIFEST).withColumnRenamed("cluster_pool_idx", "pool_idx")
+
+
+def triplet_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per image of a directory tree: id, image_path, scene_graph from the sibling triplet file whose extension
+    comes first (txt, triples, triplet), source, and code_path of the first of mmd, dot, puml."""
+    from ..functions.native import triplets
+    from ..operators.graphs import from_triplets
+
+    names = assets(spark, folder, ("png", "txt", "triples", "triplet", "mmd", "dot", "puml")).withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
+    both = with_sidecar(names.filter("ext = 'png'").select("stem", "path"), names, ("txt", "triples", "triplet"), "t")
+    both = with_sidecar(both, names, ("mmd", "dot", "puml"), "c")
+    text = F.coalesce(F.col("t.content").cast("string"), F.lit(""))
+    return both.select(F.regexp_extract("stem", r"([^/]+)$", 1).alias("id"), F.col("path").alias("image_path"), from_triplets(triplets(text)).alias("scene_graph"), F.lit("flowgen").alias("source"), F.col("c.path").alias("code_path"))
+
+
+def curve(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoint curves of a JSON file: run (its path) and arrays pcts, syntax, structure, id_structure, ood_structure."""
+    names = ("pcts", "syntax", "structure", "id_structure", "ood_structure")
+    read = spark.read.schema(", ".join(f"{n} array<double>" for n in names)).option("multiLine", "true").json(path)
+    return read.select(F.col("_metadata.file_path").alias("run"), *names)
+
+
+def config(text: str, needed: tuple[str, ...] = ("model_id",)) -> dict:
+    """A driver-side run configuration from YAML if its parser is installed, else JSON. If only base checkpoints are
+    wanted (use_base_not_it), an instruction-tuned one is refused."""
+    try:
+        from yaml import safe_load as load
+    except ImportError:
+        load = json.loads
+    found = load(text)
+    if missing := [k for k in needed if k not in found]:
+        raise ValueError(f"missing settings {missing}")
+    if found.get("use_base_not_it") and str(found["model_id"]).endswith("-it"):
+        raise ValueError("this checkpoint is instruction-tuned; only base ones are wanted")
+    return found

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from inkgraph.plans import catalog
+from inkgraph.plans import catalog, diagrams  # noqa: F401  diagrams adds its queries to the catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
