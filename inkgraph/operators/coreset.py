@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 REASONS = ("medoid", "complex", "rare", "reserve")
 
 
@@ -59,6 +61,7 @@ def select(rows: DataFrame, target: int, quotas: tuple[int, int, int, int], seed
     seeded reserve, then a seeded fill to target, cut to target. Quotas do not scale with target.
 
     rows: idx, cluster, d2, difficulty, key. Each choice is a total order; picks are limited before they are joined."""
+    rows = written(rows.select("idx", "cluster", "d2", "difficulty", "key"), "selection")  # narrow, read at every stage
     by = sizes(rows)
     order = F.greatest(F.lit(1.0), F.sqrt(F.col("size").cast("double")))
     chosen = medoids(rows).join(by, "cluster").orderBy(order.desc(), "cluster").limit(quotas[0]).select("idx").withColumn("stage", F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import report_columns, with_report
+from ..sources.tables import written
 from .funnel import reject, with_leak_flag
 
 
@@ -20,7 +21,7 @@ def scan(rows: DataFrame, tests: DataFrame, max_chars: int = 20_000) -> DataFram
     early = F.when(F.length("blob") == 0, "no_svg").when(F.length("blob") > max_chars, "too_long")
     short = rows.withColumn("reject_reason", early).filter("reject_reason is not null")
     seen = with_report(rows.withColumn("_early", early).filter("_early is null").drop("_early"), "blob")
-    seen = seen.withColumn("sha256", F.col("report.sha256"))
+    seen = written(seen.withColumn("sha256", F.col("report.sha256")), "reports")  # the parser runs once; rejection reads it twice
     r = F.col("report")
     pool = report_columns(r)
     seen = with_leak_flag(seen.withColumns(pool), tests, "sha256").withColumn("bucket", native.bucket(r["normalized"])).withColumn("id", native.derived_id(F.col("filename")))

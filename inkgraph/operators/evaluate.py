@@ -64,7 +64,7 @@ def bootstrap_by(rows: DataFrame, group: str, value: str, order: str, n_boot: in
     return rows.select(group, value, order).groupBy(group).applyInPandas(run, f"{group} {rows.schema[group].dataType.simpleString()}, mean double, lo double, hi double")
 
 
-def bootstrap_md5(rows: DataFrame, group: str, value: str, order: str, n_boot: int = 200, alpha: float = 0.05) -> DataFrame:
+def bootstrap_md5(rows: DataFrame, group: str, value: str, order: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Intervals from resamples that md5 draws, so any engine repeats them: (group, mean, lo, hi).
 
     Draw i of resample b is value number md5(b:i) mod n of its group. One aggregate per resample and group."""

@@ -16,6 +16,20 @@ LABELS = ("Start", "Ingest", "Validate", "Transform", "Branch", "Merge", "Store"
 PATTERNS = ("chain", "single_branch", "single_merge")
 DECISIONS = ("Branch", "Validate", "Filter")
 RELATIONS = ("left_of", "above", "contains_circle")
+# How each kind of shape is drawn.
+STYLES = {
+    "node": {"rx": 6, "fill": "#bfdbfe", "stroke": "#1e3a8a", "stroke_width": 2},
+    "decision": {"rx": 6, "fill": "#fde68a", "stroke": "#1e3a8a", "stroke_width": 2},
+    "caption": {"text_anchor": "middle", "font_size": 14, "font_family": "Arial"},
+    "edge": {"stroke": "#111827", "stroke_width": 2, "marker_end": "url(#arrow)"},
+    "group": {"fill": "none", "stroke": "#9ca3af", "stroke_dasharray": "6 4"},
+    "marker": {"id": "arrow", "markerWidth": 10, "markerHeight": 10, "refX": 8, "refY": 3, "orient": "auto"},
+    "tip": {"d": "M0,0 L8,3 L0,6 Z", "fill": "#111827"},
+    "point": {"r": 4, "fill": "#111827"},
+    "name": {"font_size": 16, "font_family": "Arial"},
+    "segment": {"stroke": "#1d4ed8", "stroke_width": 2},
+    "circle": {"r": 36, "fill": "none", "stroke": "#dc2626", "stroke_width": 2},
+}
 
 
 def _tag(name: str, text: str | None = None, **attrs) -> str:
@@ -23,6 +37,10 @@ def _tag(name: str, text: str | None = None, **attrs) -> str:
     return f"<{name} {body}/>" if text is None else f"<{name} {body}>{escape(text)}</{name}>"
 
 
+def _around(name: str, inner: str, **attrs) -> str:
+    return f"{_tag(name, **attrs)[:-2].rstrip()}>{inner}</{name}>"
+
+
 def _entity(key: str, kind: str, label: str, x: float, y: float, w: float, h: float) -> dict:
     return {"id": key, "type": kind, "label": label, "bbox": [x, y, w, h], "attrs": {}}
 
@@ -55,16 +73,16 @@ def workflow(idx: int, split: str, seed: int) -> dict:
     pattern = "branch_merge" if ood else rng.choice(PATTERNS)
     labels = rng.sample(LABELS, n)
     places, edges = _layout(pattern, n)
-    ents, drawn = [], ['<defs><marker id="arrow" markerWidth="10" markerHeight="10"><path d="M0,0 L8,3 L0,6 Z"/></marker></defs>']
+    ents, drawn = [], [_around("defs", _around("marker", _tag("path", **STYLES["tip"]), **STYLES["marker"]))]
     if ood:
-        drawn.append('<g data-entity-id="grp0" data-entity-type="group" data-label="cluster"><rect x="140" y="80" width="120" height="320" fill="none" stroke="#9ca3af"/></g>')
+        drawn.append(_around("g", _tag("rect", x=140, y=80, width=120, height=320, **STYLES["group"]), data_entity_id="grp0", data_entity_type="group", data_label="cluster"))
     for k, (label, (x, y)) in enumerate(zip(labels, places, strict=True)):
         kind = "decision" if label in DECISIONS else "node"
         ents.append(_entity(f"n{k}", kind, label, x - 50.0, y - 20.0, 100.0, 40.0))
-        drawn.append(_tag("rect", data_entity_id=f"n{k}", data_entity_type=kind, data_label=label, x=x - 50.0, y=y - 20.0, width=100, height=40, fill="#fde68a" if kind == "decision" else "#bfdbfe", stroke="#1e3a8a"))
-        drawn.append(_tag("text", label, data_entity_id=f"n{k}_t", data_entity_type="label", data_label=label, x=x, y=y + 5))
+        drawn.append(_tag("rect", data_entity_id=f"n{k}", data_entity_type=kind, data_label=label, x=f"{x - 50.0:.1f}", y=f"{y - 20.0:.1f}", width=100.0, height=40.0, **STYLES[kind]))
+        drawn.append(_tag("text", label, data_entity_id=f"n{k}_t", data_entity_type="label", data_label=label, x=f"{x:.1f}", y=f"{y + 5:.1f}", **STYLES["caption"]))
     rels = [{"src": f"n{a}", "dst": f"n{b}", "type": "edge", "label": ""} for a, b in edges]
-    drawn += [_tag("line", data_edge=f"n{a}>n{b}:edge:", x1=places[a][0], y1=places[a][1], x2=places[b][0], y2=places[b][1], stroke="#111827") for a, b in edges]
+    drawn += [_tag("line", data_edge=f"n{a}>n{b}:edge:", x1=f"{places[a][0]:.1f}", y1=f"{places[a][1]:.1f}", x2=f"{places[b][0]:.1f}", y2=f"{places[b][1]:.1f}", **STYLES["edge"]) for a, b in edges]
     if ood:
         ents.append(_entity("grp0", "group", "cluster", 140, 80, 120, 320))
     scene = {"grammar": "workflow", "entities": ents, "relations": rels, "meta": {"pattern": pattern, "split": split, "idx": idx}}
@@ -81,18 +99,18 @@ def geometry(idx: int, split: str, seed: int) -> dict:
     ents, rels, drawn = [], [], []
     for name, (x, y) in points.items():
         ents.append(_entity(f"p{name}", "point", name, x - 4, y - 4, 8, 8))
-        drawn.append(_tag("circle", data_entity_id=f"p{name}", data_entity_type="point", data_label=name, cx=x, cy=y, r=4))
-        drawn.append(_tag("text", name, data_entity_id=f"p{name}_t", data_entity_type="label", data_label=name, x=x + 8, y=y - 8))
+        drawn.append(_tag("circle", data_entity_id=f"p{name}", data_entity_type="point", data_label=name, cx=x, cy=y, **STYLES["point"]))
+        drawn.append(_tag("text", name, data_entity_id=f"p{name}_t", data_entity_type="label", data_label=name, x=x + 8, y=y - 8, **STYLES["name"]))
     for s, t in ("AB", "BC", "CA"):
         (x1, y1), (x2, y2) = points[s], points[t]
         ents.append(_entity(f"s{s}{t}", "segment", s + t, min(x1, x2), min(y1, y2), abs(x2 - x1), abs(y2 - y1)))
         rels += [{"src": f"p{p}", "dst": f"s{s}{t}", "type": "incident", "label": ""} for p in (s, t)]
-        drawn.append(_tag("line", data_entity_id=f"s{s}{t}", data_entity_type="segment", data_label=s + t, data_edge=f"p{s}>p{t}:connects:", x1=x1, y1=y1, x2=x2, y2=y2, stroke="#1d4ed8"))
+        drawn.append(_tag("line", data_entity_id=f"s{s}{t}", data_entity_type="segment", data_label=s + t, data_edge=f"p{s}>p{t}:connects:", x1=x1, y1=y1, x2=x2, y2=y2, **STYLES["segment"]))
     ends = {"left_of": ("pA", "pB", "left_of"), "above": ("pC", "pA", "above"), "contains_circle": ("circ0", "pC", "contains")}
     rels += [dict(zip(("src", "dst", "type"), ends[k], strict=True), label="") for k in chosen]
     if "contains_circle" in chosen:
         ents.append(_entity("circ0", "circle", "ω", c[0] - 36, c[1] - 36, 72, 72))
-        drawn.append(_tag("circle", data_entity_id="circ0", data_entity_type="circle", data_label="ω", cx=c[0], cy=c[1], r=36, fill="none"))
+        drawn.append(_tag("circle", data_entity_id="circ0", data_entity_type="circle", data_label="ω", cx=c[0], cy=c[1], **STYLES["circle"]))
     scene = {"grammar": "geometry", "entities": ents, "relations": rels, "meta": {"split": split, "idx": idx, "relations": chosen}}
     return {"id": f"geo_{split}_{idx:04d}", "split": split, "grammar": "geometry", "pattern": "+".join(chosen), "scene_graph": json.dumps(scene), "svg": _document("geometry", scene, drawn)}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import SCENE, embedded_scene, with_report, with_scene
+from ..sources.tables import written
 from .analysis import gate
 from .evaluate import gold_with_predictions, in_split, safe_mean
 from .graphs import entity_keys, from_json, relation_keys, set_scores, spatial
@@ -52,6 +53,7 @@ def score(gold: DataFrame, predictions: DataFrame, split: str = "all", sidecars:
     both = resolve_gold(both, sidecars).withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
     both = with_scene(both, "pred_text", "predicted").withColumn("blob", native.blob_or_raw(F.col("pred_text")))
     both = with_report(with_report(both, "blob").withColumnRenamed("report", "own"), "svg").withColumn("graph", F.col("id"))
+    both = written(both, "scored")  # parsed once, read for each measure
     f1 = lambda keys: set_scores(keys(F.col("predicted")), keys(F.col("gold")))["f1"]
     there = spatial(both.filter("gold is not null")).select("id", f1(entity_keys).alias("entity_f1"), f1(relation_keys).alias("relation_f1"), "spatial")
     o = F.col("own")

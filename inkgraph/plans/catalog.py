@@ -95,10 +95,9 @@ def near_dedup(spark, d):
 
 @query("""
 WITH k AS (SELECT min(doc_id) AS doc_id, left(sha256(text), 16) AS key FROM documents WHERE text IS NOT NULL GROUP BY text)
-SELECT a.doc_id AS left_id, b.doc_id AS right_id,
-       bit_count(('0x' || substr(a.key, 1, 8))::BIGINT # 0 # 0)::INTEGER * 0 + (bit_count(xor(('0x' || substr(a.key, 1, 8))::BIGINT, ('0x' || substr(b.key, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.key, 9, 8))::BIGINT, ('0x' || substr(b.key, 9, 8))::BIGINT)))::INTEGER AS bits
+SELECT a.doc_id AS left_id, b.doc_id AS right_id, (bit_count(xor(('0x' || substr(a.key, 1, 8))::BIGINT, ('0x' || substr(b.key, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.key, 9, 8))::BIGINT, ('0x' || substr(b.key, 9, 8))::BIGINT)))::INTEGER AS bits
 FROM k a JOIN k b ON left(a.key, 3) = left(b.key, 3) AND a.doc_id < b.doc_id
-""".replace("bit_count(('0x' || substr(a.key, 1, 8))::BIGINT # 0 # 0)::INTEGER * 0 + ", ""))
+""")
 def hash_hamming(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", native.average_hash_key(F.col("text")).alias("key"))
     keyed = docs.withColumn("block", F.substring("key", 1, 3))
@@ -266,10 +265,10 @@ def pca2(spark, d):
     return coreset.pca2(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))).select("vec_id", "x", "y")
 
 
-@query("SELECT 'embed' AS stage, count(*) > 0 AND min(len(embedding)) = max(len(embedding)) AND count(*) FILTER (list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0) = 0 AND min(len(embedding)) >= 256 AS ok, CASE WHEN min(len(embedding)) >= 256 THEN '' ELSE 'dimension' END AS detail FROM embeddings")
+@query("SELECT 'embed' AS stage, count(*) = (SELECT count(*) FROM embeddings) AND min(len(embedding)) = max(len(embedding)) AND count(*) FILTER (list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0) = 0 AND min(len(embedding)) >= 256 AS ok, CASE WHEN min(len(embedding)) >= 256 THEN '' ELSE 'dimension' END AS detail FROM embeddings")
 def embedding_gate(spark, d):
     rows = table(spark, d, "embeddings")
-    return rows.agg(*analysis.gate("embed", (F.count("*") > 0, "rows"), (F.min(F.size("embedding")) == F.max(F.size("embedding")), "one dimension"), (F.min(F.size("embedding")) >= 256, "dimension"), (F.count_if(coreset.norm(F.col("embedding")) == 0) == 0, "zero norms")))
+    return analysis.embedding_gate(rows, rows.count())
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
@@ -315,9 +314,9 @@ def control_delta(spark, d):
 @query("""
 WITH v AS (SELECT quality AS g, 1e0 * toxic AS v, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS i FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 n AS (SELECT g, count(*) AS n, round(avg(v), 9) AS mean FROM v GROUP BY g),
-p AS (SELECT g, b, ('0x' || left(md5(b::VARCHAR || ':' || i::VARCHAR), 8))::BIGINT % n AS i FROM v JOIN n USING (g), (SELECT unnest(range(200)) AS b)),
+p AS (SELECT g, b, ('0x' || left(md5(b::VARCHAR || ':' || i::VARCHAR), 8))::BIGINT % n AS i FROM v JOIN n USING (g), (SELECT unnest(range(1000)) AS b)),
 m AS (SELECT g, b, round(avg(v), 9) AS m FROM p JOIN v USING (g, i) GROUP BY ALL)
-SELECT g AS quality, any_value(mean) AS mean, list_sort(list(m))[6] AS lo, list_sort(list(m))[195] AS hi FROM m JOIN n USING (g) GROUP BY g""")
+SELECT g AS quality, any_value(mean) AS mean, list_sort(list(m))[26] AS lo, list_sort(list(m))[975] AS hi FROM m JOIN n USING (g) GROUP BY g""")
 def bootstrap_md5(spark, d):
     return evaluate.bootstrap_md5(table(spark, d, "labels").filter("quality is not null"), "quality", "toxic", "doc_id")
 
@@ -444,20 +443,21 @@ def edge_syntax(spark, d):
 
 @query()
 def generate_corpus(spark, d):
-    return generate.corpus(spark, 200, 40, 40)
+    return generate.corpus(spark)
 
 
 @query()
 def validate_markup(spark, d):
-    rows = generate.corpus(spark, 200, 40, 40).select(F.xxhash64("id").alias("row_pos"), F.concat("id", F.lit(".svg")).alias("filename"), "svg")
+    rows = generate.corpus(spark).select(F.xxhash64("id").alias("row_pos"), F.concat("id", F.lit(".svg")).alias("filename"), "svg")
     return curate.scan(rows, rows.select(F.lit("-").alias("sha256")).limit(1)).select("id", "bucket", "reject_reason", "sha256", "vfig_clean", "difficulty")
 
 
-@query()
+@query("""WITH s AS (SELECT * FROM (VALUES ('train', 2000), ('id', 250), ('ood', 250)) v(split, n)), r AS (SELECT split, n, unnest(range(n)) AS i FROM s)
+SELECT CASE WHEN i < n // 2 THEN 'wf_' ELSE 'geo_' END || split || '_' || lpad(i::VARCHAR, 4, '0') AS id, CASE WHEN i < n // 2 THEN 'workflow' ELSE 'geometry' END AS grammar, 1e0 AS entity_f1, 1e0 AS relation_f1, 1e0 AS spatial FROM r""")
 def gold_recovery(spark, d):
     from ..functions.markup import with_scene
 
-    rows = with_scene(generate.corpus(spark, 100, 20, 20), col="predicted").withColumn("gold", graphs.from_json(F.col("scene_graph"))).withColumn("graph", F.col("id"))
+    rows = with_scene(generate.corpus(spark), col="predicted").withColumn("gold", graphs.from_json(F.col("scene_graph"))).withColumn("graph", F.col("id"))
     e = graphs.set_scores(graphs.entity_keys(F.col("predicted")), graphs.entity_keys(F.col("gold")))["f1"]
     r = graphs.set_scores(graphs.relation_keys(F.col("predicted")), graphs.relation_keys(F.col("gold")))["f1"]
     return graphs.spatial(rows).select("id", "grammar", e.alias("entity_f1"), r.alias("relation_f1"), "spatial")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -26,6 +30,20 @@ def json_lines(spark: SparkSession, path: str, schema: str, trusted: bool = True
     return spark.read.schema(schema).option("mode", "FAILFAST" if trusted else "PERMISSIVE").json(path)
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows written in the folder that all executors share and read again, so that what is dear is done once and survives a
+    lost executor. A temporary folder serves only where the session names none (spark.checkpoint.dir), as in tests."""
+    spark = rows.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="inkgraph-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        atexit.register(shutil.rmtree, root, True)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -147,3 +148,65 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_text(name)
     side = tables.with_sidecar(tables.assets(spark, str(tmp_path), ("png",)), tables.assets(spark, str(tmp_path), ("txt", "triples")), ("txt", "triples"), "t")
     assert {r["stem"]: r["t"] and bytes(r["t"]["content"]).decode() for r in side.collect()} == {"a": "a.txt", "b": None}
+
+
+def test_a_whole_drawing():
+    """Every attribute of a generated diagram, in canonical form."""
+    e = generate.workflow(0, "ood", 42)
+    assert e["svg"].startswith('<svg data-grammar="workflow" height="512" viewBox="0 0 512 512" width="512" xmlns="http://www.w3.org/2000/svg"><desc data-scenegraph="1">')
+    for piece in (
+        '<defs><marker id="arrow" markerHeight="10" markerWidth="10" orient="auto" refX="8" refY="3"><path d="M0,0 L8,3 L0,6 Z" fill="#111827" /></marker></defs><g data-entity-id="grp0" data-entity-type="group" data-label="cluster"><rect fill="none" height="320" stroke="#9ca3af" stroke-dasharray="6 4" width="120" x="140" y="80" /></g>',
+        'height="40" rx="6" stroke="#1e3a8a" stroke-width="2" width="100" x="10" y="220" />',
+        'font-family="Arial" font-size="14" text-anchor="middle" x="60" y="245">',
+        '<line data-edge="n0&gt;n1:edge:" marker-end="url(#arrow)" stroke="#111827" stroke-width="2" x1="60" x2="180" y1="240" y2="120" />',
+    ):
+        assert piece in e["svg"]
+    g = generate.geometry(3, "ood", 42)["svg"]
+    assert 'fill="none" r="36" stroke="#dc2626" stroke-width="2" />' in g and 'stroke="#1d4ed8" stroke-width="2"' in g and 'fill="#111827" r="4" />' in g and 'font-family="Arial" font-size="16"' in g
+
+
+def test_readers_and_writers_end_to_end(spark, tmp_path):
+    from inkgraph.operators import materialize
+    from inkgraph.sources import tables
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("later")
+        return 7
+
+    assert tables.retry(flaky, 3, 0.0) == 7
+    with pytest.raises(RuntimeError):
+        tables.retry(lambda: 1 / 0, 2, 0.0)
+    assert tables.config('{"model_id": "a-it"}')["model_id"] == "a-it"
+    with pytest.raises(ValueError):
+        tables.config('{"model_id": "a-it", "use_base_not_it": true}')
+    root = str(tmp_path)
+    for name, text in (("x/a.png", "png"), ("x/a.txt", "p\tgoes\tq"), ("x/a.triples", "z\ty\tx"), ("x/a.dot", "d"), ("x/b.png", "png")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r["id"]: r for r in tables.triplet_manifest(spark, f"{root}/x").collect()}
+    assert [e["id"] for e in got["a"]["scene_graph"]["entities"]] == ["p", "q"] and got["a"]["code_path"].endswith("x/a.dot")
+    assert got["b"]["scene_graph"]["relations"] == [] and got["b"]["code_path"] is None
+    (tmp_path / "c.json").write_text('{"pcts": [0, 50],\n "syntax": [0.1, 0.9], "structure": [0.0, 0.5]}')
+    r = tables.curve(spark, f"{root}/c.json").first()
+    assert r["syntax"] == [0.1, 0.9] and r["id_structure"] is None
+    assert tables.pin(spark, f"{root}/none", f"{root}/rev") is None and tables.pin(spark, f"{root}/x", f"{root}/rev") and tables.exists(spark, f"{root}/rev")
+    rows = spark.createDataFrame([("a", "s1", "id", "<svg/>", 5), ("b", "s2", "ood", "<svg/>", 6)], "id string, sha256 string, split string, svg string, cluster_pool_idx long")
+    assert tables.selection(spark, f"{root}/run").count() == 0
+    tables.write_lines(rows, f"{root}/run/candidates_pilot.jsonl")
+    assert [r["pool_idx"] for r in tables.selection(spark, f"{root}/run").orderBy("id").collect()] == [5, 6]
+    tables.write_lines(rows.filter("id = 'a'"), f"{root}/run/train_manifest.jsonl")
+    assert [r["pool_idx"] for r in tables.selection(spark, f"{root}/run").collect()] == [5]
+    tables.write_splits(rows, f"{root}/splits")
+    assert "svg" not in spark.read.json(f"{root}/splits").columns
+    tables.export_files(rows, f"{root}/files", F.col("sha256"), F.col("svg"))
+    assert sorted(r["name"] for r in spark.read.parquet(f"{root}/files").collect()) == ["s1.svg", "s2.svg"]
+    assert [r[0] for r in rows.select(tables.asset_path(F.col("id"), "/r/")).collect()] == ["/r/a", "/r/b"]
+    assert tables.ids(rows).columns == ["id"]
+    bad = spark.createDataFrame([(1, "x", "<svg"), (2, "y", '<svg xmlns="http://www.w3.org/2000/svg"><rect/><rect/></svg>')], "pool_idx long, id string, svg string")
+    good, failed = materialize.materialized(bad, bad.select("pool_idx", F.lit("medoid").alias("reason"), F.col("pool_idx").alias("place")).limit(1), 5)
+    assert [(r["id"], r["selection_reason"]) for r in good.collect()] == [("broad_y", "unknown")] and [r["row_id"] for r in failed.collect()] == ["broad_x"]
+    assert materialize.run_gates(spark, {}, "nope").first()["detail"] == "unknown stage"
