@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, WORD, ascii_lower, check_columns, read
+from .common import NON_WORD, ascii_lower, check_columns, read
 
 
 class Rule(NamedTuple):
@@ -254,13 +254,9 @@ def searched(text: Column) -> Column:
     return F.regexp_replace(spaced, "^ | $", "")
 
 
-def _opened(form: Column, table: list[Rule]) -> Column:
-    """The rules whose keyword the text has: one search for each distinct keyword, whatever the number of rules."""
-    row = lambda k, r: F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("rx"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(k).alias("nr"))
-    by: dict[str, list[Column]] = {}
-    for k, r in enumerate(table):
-        by.setdefault(r.keyword, []).append(row(k, r))
-    return F.flatten(F.array_compact(F.array(*(F.when(F.contains(form, F.lit(word)), F.array(*own)) for word, own in by.items()))))
+def _rule_table(table: list[Rule]) -> Column:
+    row = lambda k, r: F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("rx"), F.lit(r.keyword.strip()).alias("kw"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(k).alias("nr"))
+    return F.array(*(row(k, r) for k, r in enumerate(table)))
 
 
 def _places(form: Column, rule: Column) -> Column:
@@ -284,11 +280,14 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     kind = "array<struct<start:bigint,minus_end:bigint,priority:int,nr:int,label:string,weight:double>>"
     own = [c for c in docs.columns if c not in ("n_words", "found", "kept")]
     back = [F.col("row").getField(c).alias(c) for c in own]
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).withColumn("form", searched(text)).withColumn("words", F.split(F.trim("form"), "  "))
+    df = df.withColumn("n_words", F.when(F.col("form") == "", 0).otherwise(F.size("words")).cast("long"))
     if not known:
         return df.select(*back, "n_words", F.array().cast(kind).alias("found"), F.array().cast(kind).alias("kept"))
-    df = df.withColumn("form", searched(text)).withColumn("open", _opened(F.col("form"), known))
-    df = df.withColumn("hits", F.filter("open", lambda r: F.rlike(F.col("form"), r["rx"])))
+    # one pass over the words says which keywords stand in the text, whatever the number of rules
+    there = F.array_intersect(F.array(*(F.lit(w) for w in dict.fromkeys(r.keyword.strip() for r in known))), "words")
+    df = df.withColumn("there", there).drop("words")
+    df = df.withColumn("hits", F.when(F.size("there") > 0, F.filter(_rule_table(known), lambda r: F.array_contains("there", r["kw"]) & F.rlike(F.col("form"), r["rx"]))))
     found = F.array_sort(F.flatten(F.transform("hits", lambda r: _places(F.col("form"), r))))
     df = df.withColumn("found", F.when(F.size("hits") > 0, found).otherwise(F.array().cast(kind)))
     start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), levels).alias("to"), F.array().cast(kind).alias("kept"))
