@@ -96,6 +96,15 @@ def _alike(a: str, b: str) -> Column:
     return (F.col(a) * PARTS >= F.col(b) * OF) & (F.col(b) * PARTS >= F.col(a) * OF)
 
 
+def _enough(a: str, b: str, shared: str) -> Column:
+    """Whether texts of sizes a and b that share so many shingles of their prefixes can be near copies.
+
+    Of the text whose prefix ends first in the common order, every shared shingle of the prefix is in the other prefix too,
+    so all that they share is at most this number and the rest of that text. Near copies share 4/9 of both sizes added."""
+    rest = lambda n: F.col(n) - F.floor(F.col(n) / PARTS) - 1
+    return (F.col(shared) + F.greatest(rest(a), rest(b))) * (OF + PARTS) >= (F.col(a) + F.col(b)) * OF
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of text ids that are near copies."""
     import numpy as np
@@ -122,7 +131,10 @@ def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = _prefixes(texts, _common(texts)).withColumns({"hub": F.min("id").over(at), "hi": F.max("id").over(at)})
     met = scratch.cut(rows.filter("hub < hi").select("h", "id", "n", "hub").distinct(), "met")
     sizes = scratch.cut(met.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).distinct(), "sizes")
-    stars = met.filter("id <> hub").join(sizes, "hub").filter(_alike("n", "hub_n"))
+    # Of a text's prefix shingles, its hub may have those whose hub is the hub itself or a lesser one, and no others.
+    up_to = Window.partitionBy("id").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0)
+    counted = met.groupBy("id", "n", "hub").agg(F.count("*").alias("of_hub")).withColumn("shared", F.sum("of_hub").over(up_to))
+    stars = counted.filter("id <> hub").join(sizes, "hub").filter(_alike("n", "hub_n") & _enough("n", "hub_n", "shared"))
     star = _verified(stars.select(F.col("hub").alias("u"), F.col("id").alias("v")), texts, scratch, "star")
     roots = scratch.cut(components(star, scratch), "star-roots")
     left = met.filter(F.col("id") != F.col("hub")).join(roots, met["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
@@ -131,4 +143,6 @@ def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = scratch.cut(left.join(scratch.cut(mixed, "mixed"), "h", "left_semi"), "apart")
     a, b = (left.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "root"))) for s in "ab")
     pairs = a.join(b, "h").filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b"))
+    # a pair that shares a shingle of which one of them is the hub counts short here, but it has been judged above
+    pairs = pairs.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(_enough("n_a", "n_b", "shared"))
     return star.union(_verified(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), texts, scratch, "rest"))
