@@ -65,6 +65,35 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a filter of ids, in maps of 32,768: 8 MB at most, however many ids there are.
+FILTER_BITS, MAP_BITS = 1 << 26, 1 << 15
+
+
+def maybe_in(df: DataFrame, of: Column, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """df with a boolean column `maybe`: false only where the value of `of` (a long) is nowhere in the one column of ids.
+
+    One hashed bit per id, broadcast as at most 2,048 maps of 4 KB. What it lets through has still to be joined; what it does
+    not need not be moved. A filter that very many ids fill lets more through, and the result after the join is the same."""
+    place = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(FILTER_BITS)) + 1
+    bit = place(F.col(ids.columns[0]))
+    maps = scratch.cut(ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), name)
+    at = F.col("at")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(at, F.lit(8)).cast("int"))) != 0, F.lit(False))
+    packed = df.select(F.struct("*").alias("row"), F.bitmap_bucket_number(place(of)).alias("map"), F.bitmap_bit_position(place(of)).alias("at"))
+    return packed.join(F.broadcast(maps), "map", "left").select("row", is_set.alias("maybe"))
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs, packed in `row`, whose key (a struct) is not in the written column `key` of gone.
+
+    Only rows that the filter of ids lets through take part in the join."""
+    digest = lambda c: F.xxhash64(F.lit(5), c)
+    flagged = maybe_in(docs.select(F.struct("*").alias("row"), key.alias("key")), digest(F.col("key")), gone.select(digest(F.col("key")).alias("id")), scratch, "gone-maps")
+    doubt = flagged.filter("maybe").select("row.row", "row.key").join(gone, "key", "left_anti").select("row")
+    return flagged.filter("not maybe").select("row.row").union(doubt)
+
+
 def numbered(docs: DataFrame, key: Column, scratch: Scratch) -> DataFrame:
     """(row, key, copy): the packed rows of docs, those of one key numbered from 0 in copy.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Scratch, ascii_lower, check_columns, key_of, read
+from .common import WORD, Scratch, ascii_lower, check_columns, key_of, read, without
 
 WIDTH, NEAR, RAREST = 10, 0.8, 2
 
@@ -124,8 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without a hit word, with their own columns."""
     hit = matches(docs, items, width).filter(F.size("spans") > 0).select("key").distinct()
-    hit = Scratch(docs.sparkSession, "clean").cut(hit, "hit")
-    return docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(hit, "key", "left_anti").select("row.*")
+    scratch = Scratch(docs.sparkSession, "clean")
+    return without(docs, key_of(), scratch.cut(hit, "hit"), scratch).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

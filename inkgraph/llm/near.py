@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value
+from .common import Scratch, by_value, maybe_in
 from .graph import components
 
 by_value(__name__)
@@ -106,7 +106,7 @@ def _enough(a: str, b: str, shared: str) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) of text ids that are near copies."""
+    """Those of the distinct pairs (u, v) of text ids that are near copies."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
             sets = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    pairs = scratch.cut(pairs.distinct(), f"{name}-pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(run, "id long, s array<long>")
-    sets = scratch.cut(sets, f"{name}-sets")
+    pairs = scratch.cut(pairs, f"{name}-pairs")
+    ids = scratch.cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), f"{name}-ids")
+    # only texts that may be among them move, equal ones once from each part of the input
+    some = maybe_in(texts, F.col("id"), ids, scratch, f"{name}-maps").filter("maybe").select("row.*").groupBy("id").agg(F.first("text").alias("text"))
+    sets = scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return scratch.cut(both.filter(same * PARTS >= (F.size("a") + F.size("b") - same) * OF).select("u", "v"), f"{name}-links")
@@ -128,13 +129,13 @@ def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs of near copies. Null texts and those without words have no links."""
     texts = _texts(docs)
     at = Window.partitionBy("h")
-    rows = _prefixes(texts, _common(texts)).withColumns({"hub": F.min("id").over(at), "hi": F.max("id").over(at)})
-    met = scratch.cut(rows.filter("hub < hi").select("h", "id", "n", "hub").distinct(), "met")
-    sizes = scratch.cut(met.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).distinct(), "sizes")
+    rows = _prefixes(texts, _common(texts)).withColumns({"least": F.min(F.struct("id", "n")).over(at), "hi": F.max("id").over(at)})
+    met = rows.filter("least.id < hi").select("h", "id", "n", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n")).distinct()
+    met = scratch.cut(met, "met")
     # Of a text's prefix shingles, its hub may have those whose hub is the hub itself or a lesser one, and no others.
     up_to = Window.partitionBy("id").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0)
-    counted = met.groupBy("id", "n", "hub").agg(F.count("*").alias("of_hub")).withColumn("shared", F.sum("of_hub").over(up_to))
-    stars = counted.filter("id <> hub").join(sizes, "hub").filter(_alike("n", "hub_n") & _enough("n", "hub_n", "shared"))
+    counted = met.groupBy("id", "n", "hub", "hub_n").agg(F.count("*").alias("of_hub")).withColumn("shared", F.sum("of_hub").over(up_to))
+    stars = counted.filter("id <> hub").filter(_alike("n", "hub_n") & _enough("n", "hub_n", "shared"))
     star = _verified(stars.select(F.col("hub").alias("u"), F.col("id").alias("v")), texts, scratch, "star")
     roots = scratch.cut(components(star, scratch), "star-roots")
     left = met.filter(F.col("id") != F.col("hub")).join(roots, met["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, check_columns, key_of, numbered, read
+from .common import Scratch, by_value, check_columns, key_of, numbered, read, without
 from .graph import components
 from .near import near_links
 
@@ -144,7 +144,7 @@ def keep_one(docs: DataFrame, threshold: int = MAX_DISTANCE, near: bool = True)
     # written: the join may split a component with very many rows
     first = scratch.cut(found.filter("least").groupBy("root").agg(F.min("text_key").alias("first")), "first")
     gone = found.join(first, "root").filter(~F.col("least") | (F.col("text_key") != F.col("first"))).select(F.struct("doc_id", "text_key").alias("key")).distinct()
-    kept = docs.select(F.struct("*").alias("row"), key_of().alias("key")).join(scratch.cut(gone, "gone"), "key", "left_anti").select("row.*")
+    kept = without(docs, key_of(), scratch.cut(gone, "gone"), scratch).select("row.*")
     repeated = found.filter("least").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     return numbered(kept, key_of(), scratch).filter("copy = 0").select("row.*") if repeated else kept
 
