@@ -66,7 +66,7 @@ class Scratch:
 
 
 #: Bits of a filter of ids, in maps of 32,768: 8 MB at most, however many ids there are.
-FILTER_BITS, MAP_BITS = 1 << 26, 1 << 15
+FILTER_BITS = 1 << 26
 
 
 def maybe_in(df: DataFrame, of: Column, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:

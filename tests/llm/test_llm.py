@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgraph.llm import chat, decontamination, embeddings, langid, licenses, lines, mixing, quality, sharding, simhash
-from inkgraph.llm.common import Scratch
+from inkgraph.llm.common import Scratch, key_of, maybe_in, without
 from inkgraph.llm.graph import components
 from inkgraph.llm.registry import ORACLE_SQL, QUERIES
 
@@ -29,6 +29,23 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string")
 
 
+def test_filter_of_ids_loses_no_row(spark, odd, empty, monkeypatch):
+    """It lets every id through, and little else unless it is full; without() equals a plain anti join either way."""
+    rows = spark.range(-2000, 2000).select(F.col("id").alias("x"), F.lit("mine").alias("row"), F.lit(1).alias("map"))
+    ids = rows.filter("x % 7 = 0").select(F.col("x").alias("id")).union(spark.createDataFrame([(None,)], "id long"))
+    for bits in (1 << 26, 1 << 4):
+        monkeypatch.setattr("inkgraph.llm.common.FILTER_BITS", bits)
+        got = maybe_in(rows, F.col("x"), ids, Scratch(spark, "t"), "maps")
+        assert got.count() == 4000 and got.filter("row.x % 7 = 0 and not maybe").count() == 0
+        assert (got.filter("row.x % 7 <> 0 and maybe").count() < 10) == (bits > 16)
+        for docs in (odd, empty):
+            for gone in (docs.filter("doc_id is null or doc_id in (2, 6)"), docs.filter("false"), docs):
+                keys = gone.select(key_of().alias("key")).distinct()
+                want = docs.select(F.struct("*").alias("packed"), key_of().alias("of")).join(keys.select(F.col("key").alias("of")), "of", "left_anti").select("packed.*")
+                left = without(docs, key_of(), keys, Scratch(spark, "t")).select("row.*")
+                assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_matches_sql(spark, name):
     import duckdb
