@@ -18,6 +18,8 @@ from .graph import components
 
 by_value(__name__)
 WIDTH, SEED, OF, PARTS = 5, 42, 4, 5
+#: Longs of 64 bits in a text's sketch.
+LONGS = 32
 #: Texts sampled for common shingles, and how many shingles at most are put last.
 SAMPLE, MOST_COMMON = 4000, 20_000
 
@@ -105,20 +107,44 @@ def _enough(a: str, b: str, shared: str) -> Column:
     return (F.col(shared) + F.greatest(rest(a), rest(b))) * (OF + PARTS) >= (F.col(a) + F.col(b)) * OF
 
 
+def _bits(s):
+    """A set of hashes as one bit each in LONGS longs."""
+    import numpy as np
+
+    on = np.zeros(LONGS * 64, dtype=np.uint8)
+    on[(s % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.int64)
+
+
+def _may_be(u: str, v: str) -> Column:
+    """Whether texts with these sketches and sizes can be near copies.
+
+    Each bit that only one has is at least one shingle that the other lacks, so the others of that text are all they share."""
+    lacks = lambda a, b: F.aggregate(
+        F.zip_with(f"bits_{a}", f"bits_{b}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x
+    )
+    n, m = F.col(f"n_{u}"), F.col(f"n_{v}")
+    return F.least(n - lacks(u, v), m - lacks(v, u)) * (OF + PARTS) >= (n + m) * OF
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the distinct pairs (u, v) of text ids that are near copies."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            bits = [_bits(s) for s in sets]
+            sets = [s.view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "s", "bits"])
 
     pairs = scratch.cut(pairs, f"{name}-pairs")
     ids = scratch.cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), f"{name}-ids")
     # only texts that may be among them move, equal ones once from each part of the input
     some = maybe_in(texts, F.col("id"), ids, scratch, f"{name}-maps").filter("maybe").select("row.*").groupBy("id").agg(F.first("text").alias("text"))
-    sets = scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), f"{name}-sets")
+    sets = scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>, bits array<long>").withColumn("n", F.size("s")), f"{name}-sets")
+    u, v = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
+    pairs = scratch.cut(pairs.join(u, "u").join(v, "v").filter(_may_be("u", "v")).select("u", "v"), f"{name}-likely")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return scratch.cut(both.filter(same * PARTS >= (F.size("a") + F.size("b") - same) * OF).select("u", "v"), f"{name}-links")
