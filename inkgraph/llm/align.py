@@ -186,7 +186,7 @@ def counted(rows: DataFrame, scratch: Scratch) -> DataFrame:
     total = scratch.cut(pairs.groupBy("id_a", "id_b").agg(F.sum("docs").alias("count")), "pair-counts")
     best = total.groupBy("id_a").agg(F.max("count").alias("best"))
     judged = total.join(best, "id_a").select("id_a", "id_b", F.when(F.col("count") == F.col("best"), F.col("count")).otherwise(-F.col("count")).alias("count"))
-    back = pairs.join(judged, ["id_a", "id_b"]).select("part", "at", "count")
+    back = pairs.join(judged, ["id_a", "id_b"]).select(F.col("part").alias("of_part"), "at", "count")
     docs = rows.filter("docs is null").drop("id_a", "id_b", "docs")
     kept = [c for c in docs.columns if c not in ("part", "pairs", "times")]
     schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in kept)}, n_best long, count_sum long"
@@ -204,7 +204,7 @@ def counted(rows: DataFrame, scratch: Scratch) -> DataFrame:
             total.append(int((n * np.abs(found)).sum()))
         return pa.table({**{c: left.column(c) for c in kept}, "n_best": pa.array(best, pa.int64()), "count_sum": pa.array(total, pa.int64())})
 
-    return docs.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(run, schema)
+    return docs.groupBy("part").cogroup(back.groupBy("of_part")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
