@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, check_columns, read
 from .tokenfiles import slices
-from .vocabulary import BYTE_VOCABULARY, PIECE_VOCABULARY, ByteLevel, SentencePiece, content
+from .vocabulary import BYTE_VOCABULARY, PIECE_VOCABULARY, ByteLevel, SentencePiece, content, shared
 
 by_value(__name__)
 #: Labels of a byte: nothing, the end of an A token, of a B token, of both.
@@ -48,7 +48,7 @@ class Aligner:
     def __init__(self, a: bytes, b: bytes):
         import numpy as np
 
-        self.a, self.b, self.counts = ByteLevel(a, plain=True), SentencePiece(b), Counts()
+        self.a, self.b, self.counts = shared(ByteLevel, a, plain=True), shared(SentencePiece, b), Counts()
         self.size_a, self.size_b = len(self.a.bytes), len(self.b.bytes)
         self.length_a, self.length_b = (np.array([len(t) for t in x.bytes], dtype=np.int64) for x in (self.a, self.b))
         # an id with what follows it: in its group, then at its end

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, check_columns, read, scratch_root
-from .vocabulary import BYTE_VOCABULARY, ByteLevel, content
+from .vocabulary import BYTE_VOCABULARY, ByteLevel, content, shared
 
 by_value(__name__)
 END = 2
 #: Ids in a frame: a frame ends with the first document that reaches them; longer documents go over several frames.
 FRAME_IDS = 1 << 16
-#: Characters encoded at a time.
-AT_A_TIME = 4_000_000
+#: Bytes of text encoded at a time.
+AT_A_TIME = 1_000_000
 SKIPPABLE, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part long, file string, width int, documents long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, file string, width int, at long"
@@ -153,7 +153,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        tokens, fs, path = ByteLevel(model), *opened(target)
+        tokens, (fs, path) = shared(ByteLevel, model), opened(target)
         width = 2 if max(len(tokens.bytes), end + 1) <= 1 << 16 else 4
         last, writer, stream = np.array([end], dtype="<u4").tobytes(), None, None
         part = TaskContext.get().partitionId()

@@ -11,8 +11,10 @@ import sys
 from .common import by_value
 
 by_value(__name__)
-#: Pieces remembered at most, and the characters in them; a batch may exceed them, then they are forgotten.
-REMEMBERED, CHARACTERS = 600_000, 12_000_000
+#: Pieces remembered at most, and the characters in them (about 100 MB); a batch may exceed them, then they are forgotten.
+REMEMBERED, CHARACTERS = 400_000, 8_000_000
+#: New pieces that the library encodes in one call.
+AT_ONCE = 10_000
 #: White space of any engine, and characters that some engine may take for it.
 BLANK = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) | {"᠎", "​", "﻿"}
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -69,8 +71,8 @@ class ByteLevel:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         new = set().union(*(p[1:] for p in cut)).difference(self.ids)
         new = [p for p in new if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
-        if new:
-            self.learn(new)
+        for k in range(0, len(new), AT_ONCE):
+            self.learn(new[k : k + AT_ONCE])
         out = []
         for text, (first, *rest) in zip(texts, cut, strict=True):
             try:
@@ -93,6 +95,15 @@ class ByteLevel:
         return out
 
 
+def shared(kind: type, model: bytes, **options):
+    """One tool in each worker process: Spark reuses its workers, so a task finds what earlier ones have learned."""
+    tools = vars(sys).setdefault("_shared_vocabularies", {})
+    key = (kind.__name__, hash(model), *options.items())
+    if key not in tools:
+        tools[key] = kind(model, **options)
+    return tools[key]
+
+
 class SentencePiece:
     """Encodes with a sentencepiece vocabulary, which puts a space before the text."""
 
