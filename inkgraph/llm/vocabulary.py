@@ -11,8 +11,9 @@ import sys
 from .common import by_value
 
 by_value(__name__)
-#: Pieces remembered at most, and the characters in them (about 100 MB); a batch may exceed them, then they are forgotten.
-REMEMBERED, CHARACTERS = 400_000, 8_000_000
+#: Pieces remembered at most, and the characters in them (about 150 MB); a batch may exceed them, then those that were met
+#: once only are forgotten.
+REMEMBERED, CHARACTERS = 600_000, 12_000_000
 #: New pieces that the library encodes in one call.
 AT_ONCE = 10_000
 #: White space of any engine, and characters that some engine may take for it.
@@ -44,6 +45,7 @@ class ByteLevel:
         self.library = Tokenizer.from_buffer(model)
         self.library.encode_special_tokens = plain
         self.ids: dict[str, bytes] = {}  # by piece: those of a space and the piece, or of the piece if a line feed begins it
+        self.again: set[str] = set()  # pieces met in more than one batch
         self.characters = 0
         self.bytes = self.token_bytes()
         self.begins = np.array([b[:1] in (b" ", b"\n") for b in self.bytes])
@@ -66,11 +68,14 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of four an id."""
         if len(self.ids) > REMEMBERED or self.characters > CHARACTERS:
-            self.ids.clear()
-            self.characters = 0
+            few = self.again if len(self.again) < REMEMBERED // 2 else ()
+            self.ids, self.again = {p: self.ids[p] for p in few}, set()
+            self.characters = sum(map(len, self.ids))
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in cut)).difference(self.ids)
-        new = [p for p in new if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
+        met = set().union(*(p[1:] for p in cut))
+        known = met & self.ids.keys()
+        self.again |= known
+        new = [p for p in met - known if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
         for k in range(0, len(new), AT_ONCE):
             self.learn(new[k : k + AT_ONCE])
         out = []
