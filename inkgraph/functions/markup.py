@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import by_value
+
+by_value(__name__)
+
 # Fixed values of the canonical profile.
 FORBIDDEN = ("script", "foreignObject", "image", "animate", "animateTransform", "animateMotion", "set", "audio", "video")
 DRAWABLE = ("rect", "circle", "ellipse", "line", "polyline", "polygon", "path", "text")

@@ -72,6 +72,29 @@ def difficulty(n_elements, max_depth, path_segments, text_chars, n_groups, n_col
     return 0.25 * n_elements + 0.20 * max_depth + 0.15 * path_segments + 0.15 * F.sqrt(text_chars.cast("double")) + 0.10 * n_groups + 0.10 * n_colors + 0.05 * n_markers
 
 
+def mean_bits(pixels: Column) -> Column:
+    """A digit per grey value: 1 if it is the mean of all or above, else 0."""
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    # through arrays of one element, so that neither the values nor their sum are computed again for each digit
+    bound = F.transform(F.array(pixels), lambda p: F.struct(p.alias("p"), total(p).alias("total"), F.size(p).alias("n")))
+    digits = F.transform(bound, lambda s: F.array_join(F.transform(s["p"], lambda x: F.when(x.cast("double") * s["n"] >= s["total"], "1").otherwise("0")), ""))
+    return F.element_at(digits, 1)
+
+
+def hex_key(bits: Column, digits: int = 16) -> Column:
+    """A bit string of at most 64 bits as a hex key, in which keys of near bit strings are near."""
+    return F.lpad(F.lower(F.conv(bits, 2, 16)), digits, "0")
+
+
+def letter_cells(text: Column, letters: str, rows: int) -> Column:
+    """A text as a grid of grey values: how often each letter stands in each of its equal stretches."""
+    n = F.length(text)
+    edge = lambda k: F.floor(n * k / rows).cast("int")
+    parts = F.array(*(F.substring(text, edge(k) + 1, edge(k + 1) - edge(k)) for k in range(rows)))
+    marks = F.array(*map(F.lit, letters))
+    return F.flatten(F.transform(parts, lambda p: F.transform(marks, lambda c: F.length(p) - F.length(F.replace(p, c, F.lit(""))))))
+
+
 def average_hash_key(bits: Column) -> Column:
     """Key of a bit string: the first 16 hex digits of its sha256, so keys are near only if the bits are equal."""
     return F.substring(F.sha2(bits, 256), 1, 16)

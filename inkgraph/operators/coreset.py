@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import by_value, written
+
+by_value(__name__)
 
 REASONS = ("medoid", "complex", "rare", "reserve")
 
@@ -97,6 +101,96 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "v", max_iter:
     return model.transform(ready).drop("_f")
 
 
+def nearest(rows: DataFrame, centres, vector: str = "v") -> DataFrame:
+    """rows with `cluster`, the number of the nearest centre (the first of equally near ones), and `distance` to it. centres:
+    an array of as many vectors as there are clusters, shipped with each task; null vectors have neither."""
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        c = np.asarray(centres, dtype=np.float64)
+        for df in frames:
+            ok = df[vector].notna().to_numpy()
+            out, far = pd.array([None] * len(df), dtype="Int32"), pd.array([None] * len(df), dtype="Float64")
+            if ok.any():
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in df[vector][ok]])
+                near, d = closest(x, c)
+                out[ok], far[ok] = near, d
+            yield df.assign(cluster=out, distance=far)
+
+    extra = ", cluster int, distance double"
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + extra)
+
+
+def closest(x, centres):
+    """(numbers, distances) of the nearest centres, in blocks of rows so that memory stays bounded."""
+    import numpy as np
+
+    near, far, step = [], [], max(1, 4_000_000 // max(1, centres.size))
+    for k in range(0, len(x), step):
+        squares = ((x[k : k + step, None, :] - centres[None]) ** 2).sum(2)
+        near.append(squares.argmin(1))
+        far.append(np.sqrt(squares.min(1)))
+    return np.concatenate(near), np.concatenate(far)
+
+
+def first_centres(sample, k: int, seed: int):
+    """k rows of a sample (an array), each drawn in proportion to its squared distance from those before it."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    picked = [int(rng.integers(len(sample)))]
+    left = ((sample - sample[picked[0]]) ** 2).sum(1)
+    while len(picked) < k:
+        at = int(rng.choice(len(sample), p=left / left.sum())) if left.sum() > 0 else len(picked) % len(sample)
+        picked.append(at)
+        left = np.minimum(left, ((sample - sample[at]) ** 2).sum(1))
+    return sample[picked].copy()
+
+
+def minibatch_kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "v", key: str = "idx", batch: int = 4096, passes: int = 3):
+    """The centres (an array of k vectors) of mini-batch k-means over rows with a key and a vector.
+
+    Every row belongs to a batch by a seeded hash of its key, about `batch` rows each; the batches are written once, apart
+    from each other, and read one after another, `passes` times. A batch is assigned to the centres as they stand; tasks send
+    back a sum and a count for each centre that they met, and a centre moves to the mean of all rows that it was ever given.
+    It starts from rows of the first batch, or the first k rows if that has fewer. Null vectors are left out; fewer rows than k give repeated centres."""
+    import numpy as np
+
+    ready = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    n = ready.count()
+    if not n:
+        raise ValueError("no vectors to cluster")
+    n_batches = -(-n // batch)
+    of = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "key")), 1, 8), 16, 10).cast("long"), F.lit(n_batches)).cast("int")
+    stored = written(ready.withColumn("batch", of), "batches", by="batch")
+    sample = [r["v"] for r in stored.orderBy("batch", "key").limit(max(k, batch)).collect()]
+    centres = first_centres(np.array(sample), k, seed)
+    given = np.zeros(k)
+    for step in range(passes * n_batches):
+        now = centres.copy()
+
+        def run(frames: Iterator, now=now) -> Iterator:
+            import numpy as np
+            import pandas as pd
+
+            for df in frames:
+                x = np.stack([np.asarray(v) for v in df["v"]])
+                near, _ = closest(x, now)
+                met, at, counts = np.unique(near, return_inverse=True, return_counts=True)
+                sums = np.zeros((len(met), x.shape[1]))
+                np.add.at(sums, at, x)
+                yield pd.DataFrame({"centre": met, "n": counts, "total": list(sums)})
+
+        parts = stored.filter(F.col("batch") == step % n_batches).select("v").mapInPandas(run, "centre int, n long, total array<double>").collect()
+        for c in sorted({r["centre"] for r in parts}):  # rows of one batch at most
+            total, m = sum(np.array(r["total"]) for r in parts if r["centre"] == c), sum(r["n"] for r in parts if r["centre"] == c)
+            given[c] += m
+            centres[c] += (total - m * now[c]) / given[c]
+    return centres
+
+
 def pca2(rows: DataFrame, vector: str = "v") -> DataFrame:
     """rows with x, y: the first two principal components of centred vectors (signs are arbitrary)."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -6,9 +6,13 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import by_value, written
+
+by_value(__name__)
+
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Per key the row last in order (order has no ties), by a pre-aggregated maximum."""
@@ -64,17 +68,56 @@ def bootstrap_by(rows: DataFrame, group: str, value: str, order: str, n_boot: in
     return rows.select(group, value, order).groupBy(group).applyInPandas(run, f"{group} {rows.schema[group].dataType.simpleString()}, mean double, lo double, hi double")
 
 
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with `i`: their number from 0 within the group by order (which has no ties). The rows are sorted over all tasks,
+    numbered within each, and moved on by the rows of the group in earlier ones: no task holds a group."""
+    parts = written(rows.orderBy(group, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    here = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
+    same = parts.withColumn("_here", here).alias("r").join(starts.alias("s"), F.col(f"r.{group}").eqNullSafe(F.col(f"s.{group}")) & (F.col("r._part") == F.col("s._part")))
+    return same.select("r.*", (F.col("s._start") + F.col("r._here") - 1).alias("i")).drop("_part", "_here")
+
+
+def interval(means: DataFrame, group: str, n_boot: int, alpha: float) -> DataFrame:
+    """(group, lo, hi) of the means `m` of n_boot resamples a group at most."""
+    ordered = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # n_boot numbers a group
+    return ordered.select(group, F.element_at("ms", int(alpha / 2 * n_boot) + 1).alias("lo"), F.element_at("ms", int((1 - alpha / 2) * n_boot)).alias("hi"))
+
+
 def bootstrap_md5(rows: DataFrame, group: str, value: str, order: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Intervals from resamples that md5 draws, so any engine repeats them: (group, mean, lo, hi).
 
     Draw i of resample b is value number md5(b:i) mod n of its group. One aggregate per resample and group."""
-    from pyspark.sql import Window
-
-    kept = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    kept = numbered(rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), group, order)
     sizes = kept.groupBy(group).agg(F.count("*").alias("n"))
     spread = kept.join(sizes, group).select(group, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    drawn = spread.withColumn("pick", (F.conv(F.substring(F.md5(F.concat_ws(":", "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
+    drawn = spread.withColumn("pick", (F.conv(F.substring(F.md5(F.concat_ws(":", "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")).cast("long"))
     means = drawn.join(kept.select(group, F.col("i").alias("pick"), F.col(value).cast("double").alias("v")), [group, "pick"]).groupBy(group, "b").agg(F.round(F.avg("v"), 9).alias("m"))
-    ordered = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     mean = kept.groupBy(group).agg(F.round(F.avg(F.col(value).cast("double")), 9).alias("mean"))
-    return ordered.join(mean, group).select(group, "mean", F.element_at("ms", int(alpha / 2 * n_boot) + 1).alias("lo"), F.element_at("ms", int((1 - alpha / 2) * n_boot)).alias("hi"))
+    return mean.join(interval(means, group, n_boot, alpha), group)
+
+
+#: A draw of 32 bits reaches the first k of these with the probability that a Poisson number of mean 1 is k or more.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+
+
+def bootstrap_counts(rows: DataFrame, group: str, value: str, key: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Intervals for groups of any size: (group, mean, lo, hi), nulls and NaNs left out, null groups a group of their own.
+
+    How often a row is in a resample is a Poisson number of mean 1 that a hash of its key and the resample gives (four
+    resamples a digest), so rows need no numbers, no row meets another one, and the resamples' sums are pre-aggregated where
+    the rows are: what is shuffled is a row per task, group and resample. Resamples without a row have no mean."""
+    v = F.col(value).cast("double")
+    kept = rows.filter(v.isNotNull() & ~F.isnan(v)).select(F.col(group).alias("g"), v.alias("v"), F.col(key).alias("k"))
+    digest = kept.select("g", "v", "k", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))).alias("j")).withColumn("d", F.md5(F.concat_ws(":", F.lit(seed), "j", "k")))
+    draw = lambda at: F.conv(F.substring("d", 8 * at + 1, 8), 16, 10).cast("long")
+    counts = F.array(*(sum((draw(at) >= t).cast("int") for t in POISSON) for at in range(4)))
+    each = digest.select("g", "v", "j", F.posexplode(counts).alias("at", "n")).filter("n > 0").select("g", "v", (F.col("j") * 4 + F.col("at")).alias("b"), "n").filter(F.col("b") < n_boot)
+    means = each.groupBy("g", "b").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 9).alias("m"))
+    ms = means.groupBy("g").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # n_boot numbers a group
+    at = lambda share: F.floor(F.size("ms") * share).cast("int")
+    ends = ms.select(F.col("g").alias("of"), F.element_at("ms", at(alpha / 2) + 1).alias("lo"), F.element_at("ms", F.greatest(at(1 - alpha / 2), F.lit(1))).alias("hi"))
+    mean = kept.groupBy("g").agg(F.round(F.avg("v"), 9).alias("mean"))
+    return mean.join(ends, F.col("g").eqNullSafe(F.col("of"))).select(F.col("g").alias(group), "mean", "lo", "hi")

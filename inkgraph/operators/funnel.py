@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
+#: Keys of a bucket that are compared with each other; larger ones are split first.
+PAIRED = 1000
+
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds, null if none does; a null condition does not hold."""
@@ -48,29 +50,118 @@ def exact_dedup(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(first, [key, order], "left_semi")
 
 
+def _digits(s: Column, n: int) -> Column:
+    """The digits of s in n stretches whose sizes differ by one at most."""
+    size = F.length(s)
+    edge = lambda k: F.floor(size * k / n).cast("int")
+    return F.array(*(F.substring(s, edge(k) + 1, edge(k + 1) - edge(k)) for k in range(n)))
+
+
+def _split(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows (key, at, fixed, rest) once for each stretch of rest, which moves to what is fixed.
+
+    Two keys within threshold bits differ in at most so many of threshold + 1 stretches, so one of them is the same."""
+    parts = F.posexplode(_digits(F.col("rest"), threshold + 1)).alias("part", "same")
+    cut = rows.select("key", "at", "fixed", "rest", parts).withColumn("before", F.floor(F.length("rest") * F.col("part") / (threshold + 1)).cast("int"))
+    left = F.concat(F.substring(F.col("rest"), F.lit(1), F.col("before")), F.substring(F.col("rest"), F.col("before") + F.length("same") + 1, F.length("rest")))
+    return cut.select("key", "at", F.concat_ws("/", "fixed", "part", "same").alias("fixed"), left.alias("rest"))
+
+
+def _bits(a: Column, b: Column) -> Column:
+    """Differing bits of two hex keys of one length, eight digits at a time."""
+    at = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / 8).cast("int"))
+    word = lambda s, k: F.conv(F.substring(s, k * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    return F.aggregate(at, F.lit(0), lambda n, k: n + F.bit_count(word(a, k).bitwiseXOR(word(b, k))))
+
+
+def _buckets(rows: DataFrame, threshold: int, prefix: int) -> DataFrame:
+    """Distinct (key, at) with fixed and rest, split once where the rest has a digit for each stretch."""
+    block = F.concat_ws(":", F.length("key"), F.substring("key", 1, prefix))
+    whole = rows.select("key", "at", block.alias("fixed"), F.substring(F.col("key"), F.lit(prefix + 1), F.length("key")).alias("rest"))
+    long = F.length("rest") > threshold
+    return _split(whole.filter(long), threshold).union(whole.filter(~long)) if threshold else whole.select("key", "at", F.col("key").alias("fixed"), F.lit("").alias("rest"))
+
+
+def _led(rows: DataFrame, cut: DataFrame, threshold: int) -> DataFrame:
+    """(key, at, leads, gone) of keys not settled yet, cut being their buckets: whether no earlier one shares any bucket, so it
+    is kept whatever the others do, and whether it is near a key that leads, so it goes. One row a bucket and key: groups of
+    near copies of any size are settled by their first without pairing the others."""
+    heads = cut.groupBy("fixed").agg(F.min(F.struct("at", "key")).alias("head"))
+    met = cut.join(heads, "fixed").select("key", F.col("head.key").alias("by"))
+    leads = written(met.groupBy("key").agg(F.bool_and(F.col("by") == F.col("key")).alias("leads")), "near-heads")
+    pairs = met.filter(F.col("by") != F.col("key")).filter(_bits(F.col("key"), F.col("by")) <= threshold)
+    gone = pairs.join(leads.filter("leads").select(F.col("key").alias("by")), "by").select("key").distinct().withColumn("gone", F.lit(True))
+    return rows.join(leads, "key").join(gone, "key", "left").select("key", "at", "leads", F.coalesce("gone", F.lit(False)).alias("gone"))
+
+
+def _large(cut: DataFrame, threshold: int) -> DataFrame:
+    """Buckets of more than PAIRED keys that can be split once more."""
+    sizes = cut.groupBy("fixed").agg(F.count("*").alias("n"), F.max(F.length("rest")).alias("digits"))
+    return sizes.filter((F.col("n") > PAIRED) & (F.col("digits") > threshold)).select("fixed")
+
+
+def near_pairs(rows: DataFrame, threshold: int = 3, prefix: int = 4) -> DataFrame:
+    """(u, v): distinct keys of rows (key, at) with one prefix, v later than u, within threshold bits.
+
+    Keys meet where a stretch of digits is the same. What more than PAIRED keys share is split by another stretch, and again
+    while there are digits, so no bucket of more than that is paired unless its keys differ in threshold digits at most."""
+    return _paired(written(_buckets(rows, threshold, prefix), "near-level"), threshold)
+
+
+def _paired(left: DataFrame, threshold: int) -> DataFrame:
+    found = None
+    while True:
+        large = written(_large(left, threshold), "near-large")
+        more = bool(threshold) and not large.isEmpty()
+        cold = left.join(large, "fixed", "left_anti") if more else left
+        a, b = (cold.select("fixed", F.col("key").alias(k), F.col("at").alias(f"at_{k}")) for k in "uv")
+        pairs = a.join(b, "fixed").filter(F.col("at_u") < F.col("at_v")).filter(_bits(F.col("u"), F.col("v")) <= threshold).select("u", "v")
+        found = pairs if found is None else found.union(pairs)
+        if not more:
+            return found.distinct()
+        left = written(_split(left.join(large, "fixed", "left_semi"), threshold), "near-level")
+
+
+def _later(edges: DataFrame) -> list[DataFrame]:
+    """Keys that go, when each key of edges (u, v) is kept unless an earlier one that is kept is near.
+
+    Settled in rounds: what no earlier key is near is kept, what is near a kept key goes, and both leave."""
+    gone = []
+    while not edges.isEmpty():
+        free = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")), "u", "left_anti")
+        lost = written(edges.join(free, "u", "left_semi").select("v").distinct(), "near-gone")
+        gone.append(lost.select(F.col("v").alias("key")))
+        edges = written(edges.join(lost, "v", "left_anti").join(lost.select(F.col("v").alias("u")), "u", "left_anti"), "near-edges")
+    return gone
+
+
 def near_dedup(rows: DataFrame, key: str, order: str, threshold: int = 3, prefix: int = 4) -> DataFrame:
-    """rows with `kept`, greedy in order: a row goes if a kept row whose key has the same prefix lies within threshold bits.
-
-    Null and empty keys are always kept. Rows equal in key are settled first, so a block only sees distinct keys; a pair
-    whose prefixes differ is never compared, by definition. Blocks are streamed in order, with the kept keys in memory."""
-    own = rows.filter(F.coalesce(F.length(key), F.lit(0)) > 0).groupBy(key).agg(F.min(order).alias("_first")).withColumn("_block", F.substring(key, 1, prefix))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, kept = None, []
-        for df in frames:
-            out = []
-            for b, k in zip(df["_block"], df[key], strict=True):
-                if b != block:
-                    block, kept = b, []
-                near = any(len(x) == len(k) and (int(x, 16) ^ int(k, 16)).bit_count() <= threshold for x in kept)
-                out.append(not near)
-                if not near:
-                    kept.append(k)
-            yield pd.DataFrame({key: df[key], "_keep": out})
-
-    settled = own.repartition("_block").sortWithinPartitions("_block", "_first").select("_block", key).mapInPandas(run, f"{key} string, _keep boolean")
-    joined = rows.join(own.select(key, "_first").join(settled, key), key, "left")
-    return joined.withColumn("kept", F.coalesce(F.col("_keep") & (F.col(order) == F.col("_first")), F.lit(True))).drop("_first", "_keep")
+    """rows with `kept`, greedy in order: a row goes if a kept row whose key (hex digits) has the same prefix and length lies
+    within threshold bits.
+
+    Null and empty keys are always kept; of rows equal in key the first by order is judged and the others go, so order has no
+    ties; a pair whose prefixes differ is never compared, by definition. No group is read by one task: while a bucket is too
+    large to be paired, the keys that lead all of theirs settle what is near them, as long as that settles a tenth of what is
+    left; then the near pairs among the rest are settled in rounds. An empty table stays empty."""
+    firsts = rows.filter(F.coalesce(F.length(key), F.lit(0)) > 0).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("at"))
+    own, gone = written(firsts, "near-keys"), []
+    if threshold:
+        left, cut = own, written(_buckets(own, threshold, prefix), "near-level")
+        while not _large(cut, threshold).isEmpty():
+            led = written(_led(left, cut, threshold), "near-led")
+            gone.append(led.filter("gone").select("key"))
+            before, left = left.count(), led.filter("not gone and not leads").select("key", "at")
+            cut = written(_buckets(left, threshold, prefix), "near-level")
+            if left.count() > 0.9 * before:
+                break
+        gone += _later(written(_paired(cut, threshold), "near-edges"))
+    lost = own.select("key").limit(0)
+    for g in gone:
+        lost = lost.union(g)
+    first = own.join(lost.withColumn("_gone", F.lit(True)), "key", "left").filter("_gone is null").select(F.col("key").alias(key), F.col("at").alias("_first"), F.lit(True).alias("_keep"))
+    joined = rows.join(first, key, "left")
+    usable = F.coalesce(F.length(key), F.lit(0)) > 0
+    return joined.withColumn("kept", ~usable | F.coalesce(F.col("_keep") & (F.col(order) == F.col("_first")), F.lit(False))).select(*rows.columns, "kept")
 
 
 def top(rows: DataFrame, n: int, *order) -> DataFrame:

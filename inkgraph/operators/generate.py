@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import canonical, parse
+from ..sources.tables import by_value
+
+by_value(__name__)
 
 # What a drawing is made of.
 LABELS = ("Start", "Ingest", "Validate", "Transform", "Branch", "Merge", "Store", "Notify", "End", "Review", "Compute", "Filter")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.native import match_key
+from ..sources.tables import by_value
+
+by_value(__name__)
 
 ENTITIES = "array<struct<id:string,type:string,label:string,bbox:array<double>,attrs:map<string,string>>>"
 RELATIONS = "array<struct<src:string,dst:string,type:string,label:string>>"

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import SCENE, embedded_scene, with_report, with_scene
-from ..sources.tables import written
+from ..sources.tables import by_value, written
 from .analysis import gate
 from .evaluate import gold_with_predictions, in_split, safe_mean
 from .graphs import entity_keys, from_json, relation_keys, set_scores, spatial
 
+by_value(__name__)
+
 METRICS = ("validity", "entity_f1", "relation_f1", "spatial")
 PROMPT = 'Reconstruct the diagram as a single canonical SVG. Use viewBox="0 0 512 512". Output only SVG markup.'
 

@@ -106,6 +106,60 @@ def hash_hamming(spark, d):
     return pairs.select(F.col("doc_id").alias("left_id"), "right_id", native.hamming(F.col("key"), F.col("right_key")).alias("bits"))
 
 
+# A text as 4 rows of 16 grey values, the counts of these letters in its quarters: near copies have near keys.
+_LETTERS = "aeiotnsrhdlwbgmf"
+_KEYS = f"""
+WITH RECURSIVE p AS (SELECT doc_id, [substr(text, 1 + length(text) * i // 4, length(text) * (i + 1) // 4 - length(text) * i // 4) FOR i IN range(4)] AS part FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, [length(part[1 + i // 16]) - length(replace(part[1 + i // 16], substr('{_LETTERS}', 1 + i % 16, 1), '')) FOR i IN range(64)] AS cells FROM p),
+b AS (SELECT doc_id, [CASE WHEN 64 * x >= list_sum(cells) THEN 1 ELSE 0 END FOR x IN cells] AS bits FROM c),
+k AS (SELECT doc_id, array_to_string([substr('0123456789abcdef', 1 + 8 * bits[4 * i + 1] + 4 * bits[4 * i + 2] + 2 * bits[4 * i + 3] + bits[4 * i + 4], 1) FOR i IN range(16)], '') AS key FROM b)"""
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL for the differing bits of two keys of 16 digits."""
+    return " + ".join(f"bit_count(xor(('0x' || substr({a}, {k}, 8))::BIGINT, ('0x' || substr({b}, {k}, 8))::BIGINT))" for k in (1, 9))
+
+
+def _greedy(rows: str, block: str) -> str:
+    """SQL of greedy near dedup at 3 bits over a relation (key, pos) with distinct keys, as relation `g` (key, keeps)."""
+    return f"""o AS (SELECT key, {block} AS block, row_number() OVER (PARTITION BY {block} ORDER BY pos) AS n FROM {rows}),
+g AS (SELECT block, 0::BIGINT AS n, ''::VARCHAR AS key, false AS keeps, []::VARCHAR[] AS kept FROM (SELECT DISTINCT block FROM o)
+      UNION ALL
+      SELECT o.block, o.n, o.key, len([x FOR x IN g.kept IF {_apart('x', 'o.key')} <= 3]) = 0,
+             CASE WHEN len([x FOR x IN g.kept IF {_apart('x', 'o.key')} <= 3]) = 0 THEN list_append(g.kept, o.key) ELSE g.kept END
+      FROM g JOIN o ON o.block = g.block AND o.n = g.n + 1)"""
+
+
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents").filter("text is not null")
+    return texts.select("doc_id", native.hex_key(native.mean_bits(native.letter_cells(F.col("text"), _LETTERS, 4))).alias("key"))
+
+
+@query(_KEYS + " SELECT doc_id, key FROM k")
+def profile_keys(spark, d):
+    return profiled(spark, d)
+
+
+@query(_KEYS + f""", f AS (SELECT key, min(doc_id) AS pos FROM k GROUP BY key), {_greedy('f', 'left(key, 4)')}
+SELECT doc_id, coalesce(keeps AND doc_id = pos, false) AS kept FROM k JOIN f USING (key) JOIN g USING (key)""")
+def near_dedup_profiles(spark, d):
+    return funnel.near_dedup(profiled(spark, d), "key", "doc_id").select("doc_id", "kept")
+
+
+@query(_KEYS + f""", f AS (SELECT key, min(doc_id) AS pos FROM k GROUP BY key)
+SELECT a.key AS u, b.key AS v FROM f a JOIN f b ON left(a.key, 4) = left(b.key, 4) AND a.pos < b.pos AND {_apart('a.key', 'b.key')} <= 3""")
+def near_pairs(spark, d):
+    return funnel.near_pairs(profiled(spark, d).groupBy("key").agg(F.min("doc_id").alias("at")))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+b AS (SELECT vec_id, array_to_string([CASE WHEN x * len(e) >= list_reduce(e, lambda a, y: a + y, 0.0::DOUBLE) THEN '1' ELSE '0' END FOR x IN e], '') AS bits FROM v)
+SELECT vec_id, left(sha256(bits), 16) AS phash FROM b""")
+def average_hash(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", native.average_hash_key(native.mean_bits(F.col("embedding"))).alias("phash"))
+
+
 # --- markup scalars on pages ---------------------------------------------------------------------------------------
 
 
@@ -260,6 +314,23 @@ def kmeans_clusters(spark, d):
     return coreset.kmeans(rows, 10).select("idx", "cluster")
 
 
+@query("""
+WITH e AS (SELECT vec_id AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), u AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e WHERE label IS NOT NULL),
+m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL), c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cluster, list(x ORDER BY i) AS c FROM m GROUP BY label),
+p AS (SELECT idx, cluster, sqrt(list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, len(v) + 1)])) AS distance FROM e, c)
+SELECT idx, arg_min(cluster, (distance, cluster))::INTEGER AS cluster, round(min(distance), 6) AS distance FROM p GROUP BY idx""")
+def nearest_centroid(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v"), "label")
+    centres = [r["centre"] for r in coreset.centroids(rows.filter("label is not null"), "label").orderBy("label").collect()]  # a row a label
+    return coreset.nearest(rows.select("idx", "v"), centres).select("idx", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def minibatch_clusters(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
+    return coreset.nearest(rows, coreset.minibatch_kmeans(rows, 10, batch=500)).select("idx", "cluster", "distance")
+
+
 @query()
 def pca2(spark, d):
     return coreset.pca2(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))).select("vec_id", "x", "y")
@@ -321,6 +392,19 @@ def bootstrap_md5(spark, d):
     return evaluate.bootstrap_md5(table(spark, d, "labels").filter("quality is not null"), "quality", "toxic", "doc_id")
 
 
+@query(f"""
+WITH v AS (SELECT source AS g, doc_id AS k, round(1e0 * n_chars / 1000, 3)::DOUBLE AS v FROM documents WHERE n_chars IS NOT NULL),
+t AS (SELECT g, v, md5('7:' || j || ':' || k) AS d, j FROM v, (SELECT unnest(range(50)) AS j)),
+n AS (SELECT g, 4 * j + i AS b, v, len([x FOR x IN {evaluate.POISSON} IF ('0x' || substr(d, 8 * i + 1, 8))::BIGINT >= x]) AS n FROM t, (SELECT unnest(range(4)) AS i)),
+m AS (SELECT g, b, round(sum(v * n) / sum(n), 9) AS m FROM n WHERE n > 0 GROUP BY ALL),
+l AS (SELECT g, list_sort(list(m)) AS ms FROM m GROUP BY g)
+SELECT v.g AS source, round(avg(v), 6) AS mean, round(any_value(ms[floor(len(ms) * 0.025)::INTEGER + 1]), 6) AS lo, round(any_value(ms[greatest(floor(len(ms) * 0.975)::INTEGER, 1)]), 6) AS hi FROM v JOIN l ON v.g IS NOT DISTINCT FROM l.g GROUP BY v.g""")
+def bootstrap_counts(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", F.round(F.col("n_chars") / 1000, 3).alias("v"))
+    found = evaluate.bootstrap_counts(docs, "source", "v", "doc_id", 200, seed=7)
+    return found.select("source", *(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+
+
 @query()
 def bootstrap_exact(spark, d):
     rows = table(spark, d, "labels").select("quality", F.col("toxic").cast("double").alias("v"), "doc_id")

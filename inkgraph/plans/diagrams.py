@@ -10,7 +10,7 @@ from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
 from ..operators import curate, graphs, materialize, scoring
 from ..sources.tables import table
-from .catalog import query
+from .catalog import _KEYS, _greedy, profiled, query
 
 
 def _if(cond: Column, text: str) -> Column:
@@ -279,6 +279,16 @@ def dedup_backfill(spark, d):
     return materialize.backfilled(pool, picks, 150, threshold=0)
 
 
+@query(_KEYS + f""", r AS (SELECT doc_id, key, CASE WHEN doc_id % 10 = 0 THEN doc_id // 10 + 1 END AS rank FROM k),
+s AS (SELECT *, row_number() OVER (ORDER BY rank IS NULL, rank, CASE WHEN rank IS NULL THEN md5('42:' || doc_id) END, doc_id) AS pos FROM r),
+f AS (SELECT key, min(pos) AS pos FROM s GROUP BY key), {_greedy('f', 'left(key, 4)')}
+SELECT doc_id AS pool_idx, CASE WHEN rank IS NULL THEN 'backfill' ELSE 'medoid' END AS reason, row_number() OVER (ORDER BY s.pos)::INTEGER AS place FROM s JOIN f USING (key, pos) JOIN g USING (key) WHERE keeps QUALIFY place <= 150""")
+def dedup_backfill_near(spark, d):
+    pool = profiled(spark, d).select(F.col("doc_id").alias("pool_idx"), F.col("key").alias("phash"))
+    picks = pool.filter("pool_idx % 10 = 0").select("pool_idx", F.lit("medoid").alias("reason"), F.expr("pool_idx div 10 + 1").alias("rank"))
+    return materialize.backfilled(pool, picks, 150)
+
+
 @query("WITH a AS (SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100), b AS (SELECT doc_id FROM documents WHERE doc_id % 25 = 0) SELECT doc_id AS pool_idx, doc_id % 25 = 0 AS selected FROM (FROM a UNION FROM b)")
 def pool_subsample(spark, d):
     pool = pool_of(spark, d)

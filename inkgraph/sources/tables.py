@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import json
 import shutil
+import sys
 import tempfile
 import time
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +32,31 @@ def json_lines(spark: SparkSession, path: str, schema: str, trusted: bool = True
     return spark.read.schema(schema).option("mode", "FAILFAST" if trusted else "PERMISSIVE").json(path)
 
 
-def written(rows: DataFrame, label: str) -> DataFrame:
+def by_value(module: str) -> None:
+    """Ship this module's functions inside the task, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Only in local mode, where all run on one machine, is a
+    temporary folder made if the session names none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="inkgraph-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found, True)
+    return found.rstrip("/")
+
+
+def written(rows: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """rows written in the folder that all executors share and read again, so that what is dear is done once and survives a
-    lost executor. A temporary folder serves only where the session names none (spark.checkpoint.dir), as in tests."""
-    spark = rows.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="inkgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root, True)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    lost executor; in a folder for each value of `by` if that is given, so a filter on it reads these alone."""
+    path = f"{shared_root(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
+    schema = rows.select(*(c for c in rows.columns if c != by), *([by] if by else [])).schema
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
