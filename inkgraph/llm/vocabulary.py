@@ -6,6 +6,7 @@ texts for which a cut is not certain are encoded whole. Both ways give equal ids
 
 from __future__ import annotations
 
+import string
 import sys
 
 from .common import by_value
@@ -21,7 +22,6 @@ BLANK = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
 
-
 def content(name: str, path: str | None = None) -> bytes:
     """A vocabulary file as bytes, so executors need no copy: the one at path, else the installed one of this name."""
     if path is None:
@@ -47,6 +47,9 @@ class ByteLevel:
         self.ids: dict[str, bytes] = {}  # by piece: those of a space and the piece, or of the piece if a line feed begins it
         self.again: set[str] = set()  # pieces met in more than one batch
         self.characters = 0
+        # marks that may be cut off after a letter; no special token ends with one
+        self.marks = "".join(sorted(set(string.punctuation) - {t.content[-1] for t in self.library.get_added_tokens_decoder().values()}))
+        self.tails: dict[str, bytes] = {}
         self.bytes = self.token_bytes()
         self.begins = np.array([b[:1] in (b" ", b"\n") for b in self.bytes])
 
@@ -65,6 +68,21 @@ class ByteLevel:
         self.ids.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(pieces, starts, starts[1:] + [len(ids)], strict=True))
         self.characters += sum(map(len, pieces))
 
+    def stem(self, piece: str) -> str:
+        """A piece without the marks at its end, if a letter or digit of the Latin blocks stands before them: there a token
+        ends for certain."""
+        stem = piece.rstrip(self.marks)
+        return stem if stem and stem[-1] < "\u0250" and stem[-1].isalnum() else piece
+
+    def tail(self, marks: str) -> bytes:
+        """The ids of marks that follow a letter."""
+        found = self.tails.get(marks)
+        if found is None:
+            found = pack(self.whole("a" + marks)[len(self.whole("a")) :])
+            if len(marks) < 8 and len(self.tails) < 10_000:
+                self.tails[marks] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of four an id."""
         if len(self.ids) > REMEMBERED or self.characters > CHARACTERS:
@@ -76,8 +94,11 @@ class ByteLevel:
         known = met & self.ids.keys()
         self.again |= known
         new = [p for p in met - known if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
-        for k in range(0, len(new), AT_ONCE):
-            self.learn(new[k : k + AT_ONCE])
+        stems = {p: stem for p in new if (stem := self.stem(p)) != p}
+        plain = list({p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids))
+        for k in range(0, len(plain), AT_ONCE):
+            self.learn(plain[k : k + AT_ONCE])
+        self.ids.update((p, self.ids[stem] + self.tail(p[len(stem) :])) for p, stem in stems.items())
         out = []
         for text, (first, *rest) in zip(texts, cut, strict=True):
             try:
