@@ -129,9 +129,13 @@ def aspect(root: ElementTree.Element) -> float:
     return 1.0 if found is None else found
 
 
-def inspect(text: str | None, max_elements: int = 200, min_drawable: int = 2, strict_href: bool = False) -> dict:
-    """The whole report on one text: errors, warnings, counts, canonical form, its sha256, groups and features."""
-    root, why = parse(text, strict_href=strict_href)
+Parsed = tuple[ElementTree.Element | None, str | None]
+
+
+def inspect(text: str | None, max_elements: int = 200, min_drawable: int = 2, strict_href: bool = False, parsed: Parsed | None = None) -> dict:
+    """The whole report on one text: errors, warnings, counts, canonical form, its sha256, groups and features. parsed: what
+    parse() gives for this text, where it has been called already."""
+    root, why = parsed or parse(text, strict_href=strict_href)
     out = {"parse_ok": root is not None, "errors": [], "warnings": [], "n_elements": 0, "n_drawable": 0, "normalized": None, "sha256": None, "groups": None, "features": None}
     if root is None:
         return out | {"errors": [why], "ok": False}
@@ -195,9 +199,9 @@ def _scene(grammar: str, entities: list[dict], relations: list[dict], meta: dict
     return {"grammar": grammar, "entities": entities, "relations": relations, "meta": {k: v if isinstance(v, str) else json.dumps(v) for k, v in (meta or {}).items()}}
 
 
-def embedded_scene(text: str | None) -> dict | None:
+def embedded_scene(text: str | None, parsed: Parsed | None = None) -> dict | None:
     """The scene graph that a text carries: its JSON description first, else its data attributes; None if it has none."""
-    root, _ = parse(text)
+    root, _ = parsed or parse(text)
     if root is None:
         return None
     for n in root.iter("desc"):
@@ -218,11 +222,11 @@ def embedded_scene(text: str | None) -> dict | None:
     return _scene(root.get("data-grammar", "workflow"), ents, rels) if ents or rels else None
 
 
-def guessed_scene(text: str | None, radius: float = 80.0) -> dict:
+def guessed_scene(text: str | None, radius: float = 80.0, parsed: Parsed | None = None) -> dict:
     """A workflow graph read from geometry alone: texts and boxes are entities, lines join the nearest boxes.
 
     A box takes the nearest text before it within the radius; the first wins a tie. Bad numbers raise ValueError."""
-    root, _ = parse(text)
+    root, _ = parsed or parse(text)
     ents, boxes, texts, rels = [], [], [], []
     value = lambda n, k: float(n.get(k, 0))
     for n in root.iter() if root is not None else ():
@@ -243,10 +247,11 @@ def guessed_scene(text: str | None, radius: float = 80.0) -> dict:
     return _scene("workflow", ents, rels)
 
 
-def scene_of(text: str | None) -> dict:
+def scene_of(text: str | None, parsed: Parsed | None = None) -> dict:
     """Embedded, else guessed, with `error` set instead of an exception for texts with bad numbers or fields."""
+    parsed = parsed or parse(text)
     try:
-        return (embedded_scene(text) or guessed_scene(text)) | {"error": None}
+        return (embedded_scene(text, parsed) or guessed_scene(text, parsed=parsed)) | {"error": None}
     except (ValueError, KeyError, TypeError) as e:
         return _scene("workflow", [], []) | {"error": f"{type(e).__name__}: {e}"[:500]}
 
@@ -258,6 +263,27 @@ REPORT = (
 SCENE = "struct<grammar:string,entities:array<struct<id:string,type:string,label:string,bbox:array<double>,attrs:map<string,string>>>,relations:array<struct<src:string,dst:string,type:string,label:string>>,meta:map<string,string>,error:string>"
 
 
+JUDGED = ("ok", "parse_ok", "n_drawable", "errors")
+
+
+def judge(predicted: str, markup: str | None, gold: str | None) -> dict:
+    """What scoring reads of a prediction: its scene, the report on its markup, and whether the gold markup parses, with one
+    parse of each text."""
+    parsed = parse(predicted)
+    scene = scene_of(predicted, parsed)
+    report = inspect(markup, parsed=parsed if markup == predicted else None)
+    return {"predicted": scene, "own": {k: report[k] for k in JUDGED}, "gold_ok": None if gold is None else parse(gold)[0] is not None}
+
+
+def with_judgement(rows: DataFrame, predicted: str, markup: str, gold: str) -> DataFrame:
+    """rows with `predicted`, `own` and `gold_ok` of judge(), by one function over each batch."""
+    @F.udf(f"struct<predicted:{SCENE},own:struct<ok:boolean,parse_ok:boolean,n_drawable:int,errors:array<string>>,gold_ok:boolean>", useArrow=True)
+    def run(p, m, g):
+        return judge(p, m, g)
+
+    return rows.withColumn("_judged", run.asNondeterministic()(predicted, markup, gold)).select(*rows.columns, "_judged.*")
+
+
 def with_report(rows: DataFrame, text: str = "svg", **limits) -> DataFrame:
     """rows with `report`. The function is marked nondeterministic so that a later filter does not run it twice."""
     @F.udf(REPORT, useArrow=True)

@@ -95,6 +95,13 @@ def letter_cells(text: Column, letters: str, rows: int) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.transform(marks, lambda c: F.length(p) - F.length(F.replace(p, c, F.lit(""))))))
 
 
+def png_size(content: Column) -> Column:
+    """(width, height) from a PNG's first bytes; null for anything else."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    is_png = (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(content, 13, 4)) == "49484452")
+    return F.when(is_png & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
 def average_hash_key(bits: Column) -> Column:
     """Key of a bit string: the first 16 hex digits of its sha256, so keys are near only if the bits are equal."""
     return F.substring(F.sha2(bits, 256), 1, 16)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import by_value, written
+from .analysis import gate
 
 by_value(__name__)
 
@@ -35,6 +36,40 @@ def combined(visual: Column, structural: Column, alpha: float = 2.0) -> Column:
     return F.concat(visual, F.transform(structural, lambda x: x * alpha))
 
 
+def with_vectors(pool: DataFrame, vectors: DataFrame, dim: int, key: str = "pool_idx", vector: str = "v") -> DataFrame:
+    """Every pool row with its vector, and `missing`: rows without one, or with a null one, have zeros. Vectors without a row
+    are left out; a key has one vector."""
+    joined = pool.join(vectors.select(key, F.col(vector).alias("_v")), key, "left")
+    return joined.select(*pool.columns, F.coalesce("_v", F.array_repeat(F.lit(0.0), dim)).alias(vector), F.col("_v").isNull().alias("missing"))
+
+
+def vectors_gate(rows: DataFrame, dim: int, most_missing: int = 0, vector: str = "v", stage: str = "vectors") -> DataFrame:
+    """A gate on with_vectors(): rows, one size of vectors, and no more missing ones than allowed."""
+    sizes = (F.count_if(F.size(vector) != dim) == 0, f"not {dim} numbers")
+    return rows.agg(*gate(stage, (F.count("*") > 0, "empty"), sizes, (F.count_if("missing") <= most_missing, f"more than {most_missing} missing")))
+
+
+def half(vector: str):
+    """A column of vectors as little-endian numbers of 16 bits, and back as doubles: half of a float's room, three digits."""
+    @F.udf("binary", useArrow=True)
+    def pack(v):
+        import numpy as np
+
+        return None if v is None else np.array(v, dtype="<f2").tobytes()
+
+    return pack(F.col(vector))
+
+
+def from_half(packed: str):
+    @F.udf("array<double>", useArrow=True)
+    def unpack(b):
+        import numpy as np
+
+        return None if b is None else np.frombuffer(b, dtype="<f2").astype(float).tolist()
+
+    return unpack(F.col(packed))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

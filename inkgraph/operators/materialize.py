@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import with_report
+from ..sources.tables import asset_path, assets, plain_path
 from .analysis import BUCKETS, gate
 from .funnel import near_dedup
 
@@ -103,3 +104,26 @@ def run_gates(spark: SparkSession, checks: dict[str, DataFrame], stage: str = "a
 def least_rows(stage: str, rows: DataFrame, least: int) -> DataFrame:
     """A gate on a stage's number of rows; an empty stage fails by name."""
     return rows.agg(*gate(stage, (F.count("*") > 0, "empty"), (F.count("*") >= least, f"fewer than {least}")))
+
+
+def with_images(rows: DataFrame, folder: str, root: str, path: str = "image_path") -> DataFrame:
+    """rows with `image_there` and `image` (width, height; null if it is no PNG) of the file at path, under root if relative.
+    The files' first bytes are read where they lie; a path that several rows name is looked up for each."""
+    files = assets(rows.sparkSession, folder, ("png",)).select(plain_path(F.col("path")).alias("_at"), native.png_size(F.col("content")).alias("image"), F.lit(True).alias("_there"))
+    joined = rows.withColumn("_at", plain_path(asset_path(F.col(path), root))).join(files, "_at", "left")
+    return joined.select(*rows.columns, F.coalesce("_there", F.lit(False)).alias("image_there"), "image")
+
+
+def pool_gate(pool: DataFrame, kept: int, least: int, stage: str = "scan") -> DataFrame:
+    """A gate on a pool with its images: enough rows, as many as the scan kept, every image there and square."""
+    return pool.agg(*gate(stage, (F.count("*") > 0, "empty"), (F.count("*") >= least, f"fewer than {least}"), (F.count("*") == kept, f"rows are not the {kept} kept"), *_images(F.col("image.width") == F.col("image.height"), "not square")))
+
+
+def manifest_gate(manifest: DataFrame, target: int, edge: int, stage: str = "select") -> DataFrame:
+    """A gate on a manifest with its images: the rows wanted, no id twice, every image there and of the edge's size."""
+    once = F.count("*") == F.count_distinct("id")
+    return manifest.agg(*gate(stage, (F.count("*") >= target, f"fewer than {target}"), (once, "ids repeat"), *_images((F.col("image.width") == edge) & (F.col("image.height") == edge), f"not {edge} pixels")))
+
+
+def _images(right: Column, wrong: str) -> list[tuple[Column, str]]:
+    return [(F.count_if(~F.col("image_there")) == 0, "images missing"), (F.count_if(F.col("image_there") & ~F.coalesce(right, F.lit(False))) == 0, f"images {wrong}")]

@@ -3,13 +3,16 @@ must find in them: each row's key decides which elements its markup has."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
-from ..operators import curate, graphs, materialize, scoring
-from ..sources.tables import table
+from ..operators import coreset, curate, graphs, materialize, nearby, scoring
+from ..sources import runs
+from ..sources.tables import shared_root, table, written
 from .catalog import _KEYS, _greedy, profiled, query
 
 
@@ -243,6 +246,81 @@ def train_messages(spark, d):
     return rows.select("k", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.col("m")[0]["content"][0]["image"].alias("image"), F.sha2(F.col("m")[0]["content"][1]["text"], 256).alias("prompt_sha"), F.col("m")[1]["content"][0]["text"].alias("answer"))
 
 
+@query("""WITH v AS (SELECT doc_id AS pool_idx, embedding IS NULL AS missing, coalesce(embedding::DOUBLE[], [0e0 FOR i IN range(64)]) AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+SELECT pool_idx, missing, len(v)::INTEGER AS dim, round(list_sum(v), 6) AS total FROM v""")
+def vectors_or_zeros(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("pool_idx"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = coreset.with_vectors(pool_of(spark, d).select("pool_idx"), vectors, 64)
+    return rows.select("pool_idx", "missing", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("""WITH v AS (SELECT embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id), n AS (SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS m FROM v)
+SELECT 'vectors' AS stage, n > 0 AND m <= 100 AS ok, array_to_string(list_filter([CASE WHEN n = 0 THEN 'empty' END, CASE WHEN m > 100 THEN 'more than 100 missing' END], lambda x: x IS NOT NULL), ', ') AS detail FROM n""")
+def missing_vectors_gate(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("pool_idx"), F.col("embedding").cast("array<double>").alias("v"))
+    return coreset.vectors_gate(coreset.with_vectors(pool_of(spark, d).select("pool_idx"), vectors, 64), 64, 100)
+
+
+@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 16 = 3 THEN text || '!' ELSE text END) AS sha256, CASE WHEN doc_id % 16 < 8 AND doc_id % 16 <> 3 THEN 'first' ELSE 'second' END AS run FROM documents""")
+def resumed_hashes(spark, d):
+    """A run that stopped half way and is taken up after part 3 has changed: half of the parts are not computed again."""
+    docs, part, folder = table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id") % 16, f"{shared_root(spark)}/resumed-{uuid.uuid4().hex}"
+    step = lambda name: lambda rows: rows.select("doc_id", native.sha256(F.col("text")).alias("sha256"), F.lit(name).alias("run"))
+    runs.resumed(docs.filter(part < 8), part, step("first"), folder)
+    return runs.resumed(docs.withColumn("text", F.when(part == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), part, step("second"), folder)
+
+
+@query("SELECT doc_id, length(text)::INTEGER AS n FROM documents")
+def pinned_documents(spark, d):
+    """The documents as they were pinned, after others were added to their folder."""
+    folder = f"{shared_root(spark)}/pinned-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    docs.write.parquet(f"{folder}/data")
+    runs.pin(spark, f"{folder}/data", f"{folder}/pin")
+    docs.withColumn("doc_id", -F.col("doc_id") - 1).write.mode("append").parquet(f"{folder}/data")
+    return runs.pinned(spark, f"{folder}/pin")
+
+
+@query("""WITH r AS (SELECT CASE WHEN length(coalesce(text, '')) > 8000 THEN 'too_long' WHEN coalesce(text, '') = '' THEN 'no_text' WHEN source IS NULL THEN 'no_source' END AS why FROM documents)
+SELECT * FROM (SELECT coalesce(why, 'kept') AS counter, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'scanned', count(*) FROM r) WHERE n > 0""")
+def counted_reasons(spark, d):
+    """The counters of a pass that writes its rows, which are observed and not counted again."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), "source")
+    why = F.when(F.col("n") > 8000, "too_long").when(F.col("n") == 0, "no_text").when(F.col("source").isNull(), "no_source")
+    watched, seen = runs.counted(docs.withColumn("why", why), "why", ("too_long", "no_text", "no_source"))
+    written(watched, "counted")
+    return spark.createDataFrame([(k, int(n)) for k, n in seen.get.items() if n], "counter string, n long")
+
+
+# --- geometry over given rows ----------------------------------------------------------------------------------------
+
+# A vector as a shape: its first numbers are a place and a size, its label is the drawing, vec_id the order of drawing.
+_SHAPES = """WITH s AS (SELECT label AS doc, vec_id AS at, vec_id % 3 AS kind, round(400 * embedding[1]::DOUBLE, 3) AS x, round(400 * embedding[2]::DOUBLE, 3) AS y, round(100 * abs(embedding[3]::DOUBLE), 3) AS w, round(100 * abs(embedding[4]::DOUBLE), 3) AS h FROM embeddings),
+b AS (SELECT doc, at, x, y, w, h, x + w / 2 AS mx, y + h / 2 AS my FROM s WHERE kind = 0), t AS (SELECT doc, at, x, y, 't' || at AS label FROM s WHERE kind = 1), l AS (SELECT doc, at, x, y, x + w AS x2, y + h AS y2 FROM s WHERE kind = 2)
+"""
+
+
+def shapes(spark, d) -> DataFrame:
+    e = lambda k: F.col("embedding")[k].cast("double")
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("at"), *(F.round(400 * e(k), 3).alias(c) for k, c in enumerate("xy")), *(F.round(100 * F.abs(e(k)), 3).alias(c) for k, c in ((2, "width"), (3, "height"))))
+    return rows.withColumn("kind", F.col("at") % 3)
+
+
+@query(_SHAPES + """SELECT b.at AS box, coalesce((SELECT arg_min(label, ((t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my), t.at)) FROM t WHERE t.doc = b.doc AND t.at < b.at AND (t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my) < 6400), '') AS label FROM b""")
+def box_labels(spark, d):
+    s = shapes(spark, d)
+    texts = s.filter("kind = 1").select("doc", "at", "x", "y", F.concat(F.lit("t"), "at").alias("label"))
+    return nearby.labelled(s.filter("kind = 0").withColumn("box", F.col("at")), texts).select("box", "label")
+
+
+@query(_SHAPES + """SELECT line, src, dst FROM (SELECT l.at AS line, (SELECT arg_min(b.at, ((l.x - mx) * (l.x - mx) + (l.y - my) * (l.y - my), b.at)) FROM b WHERE b.doc = l.doc) AS src,
+(SELECT arg_min(b.at, ((x2 - mx) * (x2 - mx) + (y2 - my) * (y2 - my), b.at)) FROM b WHERE b.doc = l.doc) AS dst FROM l) WHERE src <> dst""")
+def line_edges(spark, d):
+    s = shapes(spark, d)
+    lines = s.filter("kind = 2").select("doc", F.col("at").alias("line"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
+    return nearby.connected(lines, s.filter("kind = 0").withColumn("box", F.col("at"))).select("line", "src", "dst")
+
+
 # --- selection end to end ------------------------------------------------------------------------------------------
 
 

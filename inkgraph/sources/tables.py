@@ -74,12 +74,27 @@ def first_rows(rows: DataFrame, order: str, n: int | None) -> DataFrame:
     return rows.orderBy(order).limit(n) if n else rows
 
 
+def plain_path(path: Column) -> Column:
+    """One form of a path, however it was given: no file scheme, no doubled or leading ./ steps, no percent escapes.
+
+    Spark names files by URI and manifests by plain paths; both sides of a join by path need this form."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"(?<=[^:/])/(\./)*/*", "/")
+    local = F.url_decode(F.replace(F.regexp_replace(bare, r"^\./+", ""), F.lit("+"), F.lit("%2B")))
+    return F.when(path.rlike("^file:/"), local).otherwise(F.regexp_replace(bare, r"^\./+", ""))
+
+
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """(path, scene): one scene graph per file."""
+    """(path, scene): one scene graph per JSON file under path, by its plain path."""
     from ..operators.graphs import from_json
 
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return whole.select(F.col("_metadata.file_path").alias("path"), from_json(F.col("value")).alias("scene"))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return whole.select(plain_path(F.col("_metadata.file_path")).alias("path"), from_json(F.col("value")).alias("scene"))
+
+
+def markup_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, svg): the whole text of each SVG file under path, by its plain path."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.svg")
+    return whole.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("svg"))
 
 
 def assets(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -128,11 +143,10 @@ def retry(f: Callable[[], X], attempts: int = 3, base_delay: float = 2.0) -> X:
 
 
 def pin(spark: SparkSession, path: str, out: str) -> str | None:
-    """Writes the newest modification time of the files under path as the revision that a run reads; None if there is none."""
-    newest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("modificationTime").cast("string")).first()[0] if exists(spark, path) else None
-    if newest is not None:
-        write_report(spark.range(1).select(F.lit(path).alias("path"), F.lit(newest).alias("revision")), out)
-    return newest
+    """Records the files under path and returns their revision; see runs.pin, and runs.pinned for reads bound to it."""
+    from .runs import pin as pin_files
+
+    return pin_files(spark, path, out)
 
 
 def ids(rows: DataFrame, key: str = "id") -> DataFrame:
