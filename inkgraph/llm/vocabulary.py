@@ -7,14 +7,15 @@ texts for which a cut is not certain are encoded whole. Both ways give equal ids
 from __future__ import annotations
 
 import string
+import struct
 import sys
 
 from .common import by_value
 
 by_value(__name__)
-#: Pieces remembered at most, and the characters in them (about 150 MB); a batch may exceed them, then those that were met
-#: once only are forgotten.
-REMEMBERED, CHARACTERS = 600_000, 12_000_000
+#: Pieces remembered at most, and the characters in them; a batch may exceed them, then they are set aside, and those set
+#: aside before are forgotten unless they were met again.
+REMEMBERED, CHARACTERS = 300_000, 6_000_000
 #: New pieces that the library encodes in one call.
 AT_ONCE = 10_000
 #: White space of any engine, and characters that some engine may take for it.
@@ -45,11 +46,14 @@ class ByteLevel:
         self.library = Tokenizer.from_buffer(model)
         self.library.encode_special_tokens = plain
         self.ids: dict[str, bytes] = {}  # by piece: those of a space and the piece, or of the piece if a line feed begins it
-        self.again: set[str] = set()  # pieces met in more than one batch
+        self.old: dict[str, bytes] = {}  # what was remembered before
         self.characters = 0
         # marks that may be cut off after a letter; no special token ends with one
         self.marks = "".join(sorted(set(string.punctuation) - {t.content[-1] for t in self.library.get_added_tokens_decoder().values()}))
         self.tails: dict[str, bytes] = {}
+        seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.visible = [chr(b) if b in seen else chr(next(hidden)) for b in range(256)]  # how the vocabulary writes a byte
         self.bytes = self.token_bytes()
         self.begins = np.array([b[:1] in (b" ", b"\n") for b in self.bytes])
 
@@ -68,6 +72,12 @@ class ByteLevel:
         self.ids.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(pieces, starts, starts[1:] + [len(ids)], strict=True))
         self.characters += sum(map(len, pieces))
 
+    def word(self, letters: str) -> bytes:
+        """The ids of a space and letters of the Latin blocks alone, which are one unit of the library's merges."""
+        shown = letters if letters.isascii() else "".join(map(self.visible.__getitem__, letters.encode("utf-8")))
+        ids = [t.id for t in self.library.model.tokenize(self.visible[32] + shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def stem(self, piece: str) -> str:
         """A piece without the marks at its end, if a letter or digit of the Latin blocks stands before them: there a token
         ends for certain."""
@@ -86,16 +96,18 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of four an id."""
         if len(self.ids) > REMEMBERED or self.characters > CHARACTERS:
-            few = self.again if len(self.again) < REMEMBERED // 2 else ()
-            self.ids, self.again = {p: self.ids[p] for p in few}, set()
-            self.characters = sum(map(len, self.ids))
+            self.old, self.ids, self.characters = self.ids, {}, 0
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        met = set().union(*(p[1:] for p in cut))
-        known = met & self.ids.keys()
-        self.again |= known
-        new = [p for p in met - known if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
+        new = set().union(*(p[1:] for p in cut)).difference(self.ids)
+        back = new & self.old.keys()
+        self.ids.update((p, self.old[p]) for p in back)
+        new = [p for p in new - back if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
         stems = {p: stem for p in new if (stem := self.stem(p)) != p}
-        plain = list({p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids))
+        plain = {p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids)
+        words = [p for p in plain if p.isalpha() and (p.isascii() or max(p) < "\u0250")]
+        self.ids.update((p, self.word(p)) for p in words)
+        self.characters += sum(map(len, words))
+        plain = list(plain.difference(words))
         for k in range(0, len(plain), AT_ONCE):
             self.learn(plain[k : k + AT_ONCE])
         self.ids.update((p, self.ids[stem] + self.tail(p[len(stem) :])) for p, stem in stems.items())
@@ -112,9 +124,7 @@ class ByteLevel:
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id: the visible characters of the vocabulary stand for one byte each."""
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in seen]
-        back = {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        back = {c: b for b, c in enumerate(self.visible)}
         out = [b""] * self.library.get_vocab_size()
         for token, i in self.library.get_vocab().items():
             out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode("utf-8")
