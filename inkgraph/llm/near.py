@@ -3,7 +3,9 @@
 A prefix join, which loses no pair: shingles have one global order, and two such texts share one of the first
 floor(n / 5) + 1 of their n. The order is by hash, with shingles that a sample of texts finds common put last; the sample
 has no bearing on the pairs found. Texts that share a prefix shingle are first compared with one of them, the hub, and
-then only those with each other that the hubs have not joined: a large group of near copies is never paired in full."""
+then only those with each other that the hubs have not joined: a large group of near copies is never paired in full. Where
+many unrelated texts share a prefix shingle that the sample has not seen, their shingles are counted exactly and they get
+prefixes of their rarest ones."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ by_value(__name__)
 WIDTH, SEED, OF, PARTS = 5, 42, 4, 5
 #: Longs of 64 bits in a text's sketch.
 LONGS = 32
+#: Texts that are compared with each other for a prefix shingle that they share; more get new prefixes first.
+HOT = 200
 #: Texts sampled for common shingles, and how many shingles at most are put last.
 SAMPLE, MOST_COMMON = 4000, 20_000
 
@@ -127,8 +131,8 @@ def _may_be(u: str, v: str) -> Column:
     return F.least(n - lacks(u, v), m - lacks(v, u)) * (OF + PARTS) >= (n + m) * OF
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the distinct pairs (u, v) of text ids that are near copies."""
+def _sets(texts: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, s, bits, n) of the texts with the given ids (written): their shingles, sketches and numbers of shingles."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +142,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
             sets = [s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "s", "bits"])
 
-    pairs = scratch.cut(pairs, f"{name}-pairs")
-    ids = scratch.cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), f"{name}-ids")
     # only texts that may be among them move, equal ones once from each part of the input
     some = maybe_in(texts, F.col("id"), ids, scratch, f"{name}-maps").filter("maybe").select("row.*").groupBy("id").agg(F.first("text").alias("text"))
-    sets = scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>, bits array<long>").withColumn("n", F.size("s")), f"{name}-sets")
+    return scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>, bits array<long>").withColumn("n", F.size("s")), f"{name}-sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the distinct pairs (u, v) of text ids that are near copies."""
+    pairs = scratch.cut(pairs, f"{name}-pairs")
+    ids = scratch.cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), f"{name}-ids")
+    sets = _sets(texts, ids, scratch, name)
     u, v = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
     pairs = scratch.cut(pairs.join(u, "u").join(v, "v").filter(_may_be("u", "v")).select("u", "v"), f"{name}-likely")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
@@ -150,26 +159,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     return scratch.cut(both.filter(same * PARTS >= (F.size("a") + F.size("b") - same) * OF).select("u", "v"), f"{name}-links")
 
 
-def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between hashes of texts: near copies only, and enough of them that their components are those of all
-    pairs of near copies. Null texts and those without words have no links."""
-    texts = _texts(docs)
+def _stars(rows: DataFrame, texts: DataFrame, before: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links between hubs and those that share a prefix shingle with them, and the rows (h, id, n, root) of shingles whose
+    texts these links and those before have not all joined."""
     at = Window.partitionBy("h")
-    rows = _prefixes(texts, _common(texts)).withColumns({"least": F.min(F.struct("id", "n")).over(at), "hi": F.max("id").over(at)})
+    rows = rows.withColumns({"least": F.min(F.struct("id", "n")).over(at), "hi": F.max("id").over(at)})
     met = rows.filter("least.id < hi").select("h", "id", "n", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n")).distinct()
-    met = scratch.cut(met, "met")
+    met = scratch.cut(met, f"{name}-met")
     # Of a text's prefix shingles, its hub may have those whose hub is the hub itself or a lesser one, and no others.
     up_to = Window.partitionBy("id").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0)
     counted = met.groupBy("id", "n", "hub", "hub_n").agg(F.count("*").alias("of_hub")).withColumn("shared", F.sum("of_hub").over(up_to))
     stars = counted.filter("id <> hub").filter(_alike("n", "hub_n") & _enough("n", "hub_n", "shared"))
-    star = _verified(stars.select(F.col("hub").alias("u"), F.col("id").alias("v")), texts, scratch, "star")
-    roots = scratch.cut(components(star, scratch), "star-roots")
+    star = _verified(stars.select(F.col("hub").alias("u"), F.col("id").alias("v")), texts, scratch, name)
+    star = star if before is None else before.union(star)
+    roots = scratch.cut(components(star, scratch), f"{name}-roots")
     left = met.filter(F.col("id") != F.col("hub")).join(roots, met["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
-    left = scratch.cut(left, "left")
+    left = scratch.cut(left, f"{name}-left")
     mixed = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    left = scratch.cut(left.join(scratch.cut(mixed, "mixed"), "h", "left_semi"), "apart")
+    return star, scratch.cut(left.join(scratch.cut(mixed, f"{name}-mixed"), "h", "left_semi"), f"{name}-apart")
+
+
+def _rare_first(texts: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, id, n): the first shingles of the texts with these ids, those first that the fewest of these texts have, so that
+    what unrelated texts share comes last; shingles of one text are left out, since they meet no other."""
+    sets = _sets(texts, ids, scratch, "hot")
+    each = sets.select("id", "n", F.explode("s").alias("h"))
+    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = F.slice("s", F.lit(1), (F.floor(F.col("n") / PARTS) + 1).cast("int"))
+    return ranked.select("id", "n", F.explode(first).alias("p")).filter("p.df > 1").select("p.h", "id", "n")
+
+
+def _met(left: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of different components that share enough of their prefixes."""
     a, b = (left.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "root"))) for s in "ab")
     pairs = a.join(b, "h").filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b"))
     # a pair that shares a shingle of which one of them is the hub counts short here, but it has been judged above
     pairs = pairs.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(_enough("n_a", "n_b", "shared"))
-    return star.union(_verified(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), texts, scratch, "rest"))
+    return pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+
+
+def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between hashes of texts: near copies only, and enough of them that their components are those of all
+    pairs of near copies. Null texts and those without words have no links.
+
+    Texts of a shingle that more than HOT of them still share get new prefixes by how many of them have each shingle. A
+    pair that shares such a shingle is judged by the new prefixes, any other by the old ones, and either count is whole."""
+    texts = _texts(docs)
+    star, left = _stars(_prefixes(texts, _common(texts)), texts, None, scratch, "star")
+    hot = scratch.cut(left.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"), "hot")
+    if hot.isEmpty():
+        return star.union(_verified(_met(left), texts, scratch, "rest"))
+    ids = scratch.cut(left.join(hot, "h", "left_semi").select("id").distinct(), "hot-ids")
+    star, again = _stars(_rare_first(texts, ids, scratch), texts, star, scratch, "rare")
+    pairs = _met(left.join(hot, "h", "left_anti")).union(_met(again)).distinct()
+    return star.union(_verified(pairs, texts, scratch, "rest"))
