@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import by_value, check_columns, read
 
 by_value(__name__)
-TOP, MAX_PER_LANG, MAX_LANGS = 300, 2_000, 1_000
+TOP, MAX_PER_LANG = 300, 2_000
 
 
 def grams(text: str | None):
@@ -83,13 +83,16 @@ class Profiles:
 def profiles(docs: DataFrame, top: int = TOP, max_per_lang: int = MAX_PER_LANG) -> dict[str, list[int]]:
     """Ranked n-gram codes by language from docs (doc_id, text, lang) with a lang.
 
-    Each language is learned from about max_per_lang of its documents, chosen by a hash of doc_id, and at most MAX_LANGS
-    languages, the most frequent, are learned; the bounds are on the profiles only. Counts are summed per task and then per language and n-gram; top codes a language reach the driver."""
+    Every language is learned, each from about max_per_lang of its documents, chosen by a hash of doc_id; the bound is on the
+    profiles only. Counts are summed per task and then per language and n-gram; a size and top codes a language reach the
+    driver. Rows without a lang or a text teach nothing, null doc_ids are chosen or left together, repeated rows count each,
+    and an empty table gives no profile."""
     rows = docs.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    limit = F.element_at(F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int((1 << 20) * min(1.0, max_per_lang / n)))))), F.col("lang"))
+    share = F.map_from_arrays(F.lit(list(sizes)), F.lit([int((1 << 20) * min(1.0, max_per_lang / n)) for n in sizes.values()]))
+    limit = F.element_at(share, F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def identify(docs: DataFrame, lists: dict[str, list[int]], top: int = TOP) -> Da
     """(doc_id, lang_pred, score) for every row of docs (doc_id, text), read whole.
 
     Null text and text without a letter give `und` with score 0; without profiles all are `und`. Equal texts get equal
-    results; other columns are not read."""
+    results, null and repeated doc_ids are predicted row by row, an empty table gives no rows; other columns are not read."""
     check_columns(docs, "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(lists)
 
