@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import sys
-import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import by_value, shared_root  # noqa: F401  by_value serves the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word character is a digit, a Latin letter or anything beyond ASCII.
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -23,11 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_value(module: str) -> None:
-    """Ship this module's functions inside the task, so executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; every other code point stays."""
     return F.translate(col, UPPER, LOWER)
@@ -39,13 +31,8 @@ def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found, True)
-    return found.rstrip("/")
+    """The folder that all executors share; only a local session may do without one."""
+    return shared_root(spark)
 
 
 class Scratch:

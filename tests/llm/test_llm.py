@@ -215,6 +215,47 @@ def test_language_id(spark, odd, empty):
     assert dict(zip(codes.tolist(), counts.tolist()))[ord("a")] == 2 and counts.sum() == 4 + 6 + 4
 
 
+@pytest.mark.parametrize("languages", [2, 1500])
+def test_every_language_is_learned(spark, languages):
+    """Letters of its own for each language; distances equal a plain count of places, term by term."""
+    letters = lambda k: chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k)
+    docs = spark.createDataFrame([(k, f"{letters(k)} {letters(k)[::-1]}", f"l{k:05d}") for k in range(languages)], "doc_id long, text string, lang string")
+    lists = langid.profiles(docs)
+    assert len(lists) == languages
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, lists).collect()}
+    assert got == {k: f"l{k:05d}" for k in range(languages)}
+
+
+def test_distances_equal_a_plain_count(spark):
+    """Out-of-place distances with dictionaries, for every document and language of the smallest tables."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    lists = langid.profiles(docs.filter(~langid.held_out()))
+
+    def plain(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        counts = Counter()
+        for w in low.split():
+            counts.update(w)
+            edged = f" {w} "
+            counts.update(edged[k : k + 2] for k in range(len(edged) - 1))
+            counts.update(edged[k : k + 3] for k in range(len(edged) - 2))
+        return counts
+
+    def code(gram):
+        p = [ord(c) for c in gram]
+        return p[0] if len(p) == 1 else (p[0] << 21 | p[1]) | 1 << 62 if len(p) == 2 else p[0] << 42 | p[1] << 21 | p[2]
+
+    want, ranks = {}, {k: {c: at for at, c in enumerate(v)} for k, v in lists.items()}
+    for r in docs.collect():
+        own = [code(g) for g, _ in sorted(plain(r["text"]).items(), key=lambda x: (-x[1], code(x[0])))[: langid.TOP]]
+        away = {k: sum(min(langid.TOP, abs(v.get(g, 10**6) - at)) for at, g in enumerate(own)) for k, v in ranks.items()}
+        best = min(away, key=lambda k: (away[k], k)) if own else "und"
+        want[r["doc_id"]] = (best, 1 - away[best] / (langid.TOP * len(own)) if own else 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, lists).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
 # 4
 
 def test_mix_targets_and_nearness(spark, odd, empty):
@@ -333,12 +374,38 @@ def test_keep_one_judges_a_repeated_id_in_each_component(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [docs[0], docs[2], docs[6]]))
 
 
-def test_near_copies_against_brute_force(spark):
+def test_unrelated_texts_with_one_passage_are_not_paired(spark, monkeypatch):
+    """400 texts share a passage that no sample has seen, and ten of them have a near copy: few pairs are looked at."""
+    import random
+
+    from inkgraph.llm import near
+
+    monkeypatch.setattr(near, "MOST_COMMON", 0)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, texts = [word() for _ in range(12)], []
+    for k in range(400):
+        own = [word() for _ in range(90)]
+        texts.append(own + passage)
+        if k < 10:
+            texts.append([*own[:-1], word(), *passage][1:])
+    looked = []
+    monkeypatch.setattr(near, "_verified", lambda pairs, *a, f=near._verified: looked.append(pairs.count()) or f(pairs, *a))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = sum(5 * len(a & b) >= 4 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert near.near_links(df, Scratch(spark, "t")).distinct().count() == want > 0
+    assert sum(looked) < 2000
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_near_copies_against_brute_force(spark, monkeypatch, hot):
     """Texts with changed words, a large group, a common passage and copies: all components by five-word Jaccard >= 4/5."""
     import random
 
     from inkgraph.llm import near
 
+    monkeypatch.setattr(near, "HOT", hot)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     common = [word() for _ in range(30)]
@@ -376,6 +443,22 @@ def test_near_copies_against_brute_force(spark):
     assert len(near.shingles("a b c")) == 1 and len(near.shingles("")) == 0
 
 
+def test_fingerprint_equals_the_plain_rule(spark):
+    """Bit by bit over every shingle, repeats included, for whole texts."""
+    import xxhash
+
+    def plain(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
+        if not words:
+            return 0
+        parts = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or [" ".join(words)]
+        h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()] + [t for _, t, _ in ODD] + ["A b", "a\u00a0b c d", "x " * 700, "ÀB c d e"]
+    assert [simhash.fingerprint(t) for t in texts] == [plain(t) for t in texts]
+
+
 # 8
 
 def test_embeddings_against_brute_force(spark):
