@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 BUCKETS = ("workflow_like", "geometry_like", "labeled", "other")
 
 
@@ -66,7 +68,7 @@ def quantiles(rows: DataFrame, value: str, at: tuple[float, ...] = (0.25, 0.5, 0
     Selection by counts, in a few passes over the values (see order_statistics), which are done when this is called."""
     v, inf = F.col(value), float("inf")
     finite = ~F.isnan(v) & (v > -inf) & (v < inf)
-    rows = rows.select(v.cast("double").alias(value))
+    rows = written(rows.select(v.cast("double").alias(value)), "quantiles")  # computed once, read by each pass
     low, mid, high, total, least, greatest = rows.agg(F.count_if(v == -inf), F.count_if(finite), F.count_if((v == inf) & ~F.isnan(v)), F.count(v), F.min(F.when(finite, v)), F.max(F.when(finite, v))).first()
     places = [q * (total - 1) for q in at]
     ranks = {int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places}

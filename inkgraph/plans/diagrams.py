@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
-from ..operators import coreset, curate, graphs, materialize, nearby, scoring
+from ..operators import coreset, curate, funnel, graphs, materialize, nearby, scoring
 from ..sources import runs
 from ..sources.tables import shared_root, table, written
 from .catalog import _KEYS, _greedy, profiled, query
@@ -124,6 +124,41 @@ def train_manifest(spark, d):
     return materialize.materialized(pool, picks, 120)[0]
 
 
+_KINDS = """WITH r AS (SELECT p_partkey AS k, p_name, p_partkey % 4 AS m, CASE WHEN p_partkey % 19 = 0 THEN 205 ELSE 1 + p_partkey % 3 END AS rects, p_partkey % 2 AS circles, (p_partkey % 3 = 1)::INT AS ellipses, p_partkey % 4 AS lines,
+  (p_partkey % 5 = 0)::INT AS polylines, (p_partkey % 7 = 0)::INT AS polygons, 1 - p_partkey % 2 AS paths, (p_partkey % 3 = 0)::INT AS markers FROM part),
+n AS (SELECT *, 2 + m + rects + circles + ellipses + lines + polylines + polygons + paths + 2 * markers AS n FROM r)
+"""
+
+
+def kinds(spark, d) -> DataFrame:
+    """(k, svg): every kind of shape in numbers that k gives, inside k % 4 groups, with 1 to 7 colors; k % 19 = 0 has 205 boxes."""
+    k = F.col("p_partkey")
+    rects = F.when(k % 19 == 0, 205).otherwise(1 + k % 3).cast("int")
+    boxes = F.transform(F.sequence(F.lit(1), rects), lambda i: F.concat(F.lit('<rect width="1" height="1" fill="#c0'), ((i - 1) % (1 + k % 5)).cast("int"), F.lit('"/>')))
+    path = F.concat(F.lit('<path d="M0 0'), F.repeat(F.lit("L1 1"), (k % 6).cast("int")), F.lit('"/>'))
+    svg = F.concat(
+        F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 400 100">'), _if(k % 3 == 0, '<defs><marker id="a"/></defs>'), F.repeat(F.lit("<g>"), (k % 4).cast("int")), F.array_join(boxes, ""),
+        _if(k % 2 == 1, '<circle r="2" fill="none" stroke="blue"/>'), _if(k % 3 == 1, "<ellipse/>"), F.repeat(F.lit('<line stroke="blue"/>'), (k % 4).cast("int")), _if(k % 5 == 0, "<polyline/>"), _if(k % 7 == 0, '<polygon fill="transparent"/>'),
+        F.when(k % 2 == 0, path).otherwise(""), F.lit("<text> "), "p_name", F.lit(" </text>"), F.repeat(F.lit("</g>"), (k % 4).cast("int")), F.lit("</svg>"),
+    )
+    return table(spark, d, "part").select(k.alias("k"), svg.alias("svg"))
+
+
+@query(_KINDS + """SELECT k, paths::DOUBLE AS n_path, rects::DOUBLE AS n_rect, circles::DOUBLE AS n_circle, ellipses::DOUBLE AS n_ellipse, lines::DOUBLE AS n_line, polylines::DOUBLE AS n_polyline, polygons::DOUBLE AS n_polygon, 1e0 AS n_text, m::DOUBLE AS n_g, n::DOUBLE AS n_elements,
+greatest(m + 1, 2 * markers)::DOUBLE AS max_depth, (least(rects, 1 + k % 5) + (circles + lines > 0)::INT)::DOUBLE AS n_colors, length(trim(p_name))::DOUBLE AS text_chars, (CASE WHEN paths = 1 THEN 1 + k % 6 ELSE 0 END)::DOUBLE AS path_segments, 4e0 AS aspect_ratio, m::DOUBLE AS n_groups, markers::DOUBLE AS n_markers,
+(rects + circles + ellipses)::INTEGER AS b, (lines + polylines)::INTEGER AS k_group, (paths + polygons)::INTEGER AS c, 1 AS t, CASE WHEN n > 200 THEN 'too many elements: ' || n ELSE '' END AS errors FROM n""")
+def all_features(spark, d):
+    r = with_report(kinds(spark, d))
+    names = [f.name for f in r.schema["report"].dataType["features"].dataType]
+    g = F.col("report.groups")
+    return r.select("k", *(F.col(f"report.features.{n}").alias(n) for n in names), g["B"].alias("b"), g["K"].alias("k_group"), g["C"].alias("c"), g["T"].alias("t"), F.array_join("report.errors", "; ").alias("errors"))
+
+
+@query(_SCANNED + "SELECT error_type, count(*) AS n FROM (SELECT reject_reason AS error_type FROM z WHERE reject_reason IS NOT NULL) GROUP BY 1")
+def reason_histogram(spark, d):
+    return funnel.histogram(curate.error_rows(scanned(spark, d), "scan"), "error_type")
+
+
 # --- scene graphs in markup ----------------------------------------------------------------------------------------
 
 
@@ -161,6 +196,28 @@ def scene_relations(spark, d):
     return whole.select("k", F.explode("scene.relations").alias("r")).select("k", "r.src", "r.dst", "r.type", "r.label")
 
 
+@query("""SELECT p_partkey AS k, e.id, e.box FROM part, (SELECT unnest([{'id': 'c', 'box': [p_partkey % 50 - 5, 15, 10, 10]::DOUBLE[]::VARCHAR}, {'id': 't', 'box': '[3.0, 18.0, 40.0, 16.0]'}, {'id': 'x', 'box': NULL}, {'id': 'p', 'box': NULL}, {'id': 'd', 'box': '[0.0, 0.0, 7.0, 0.0]'}]) AS e)""")
+def entity_boxes(spark, d):
+    """Boxes of a circle, a text, a box with a bad number, a path, and a box without a place or height."""
+    body = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><circle data-entity-id="c" r="5" cy="20" cx="'), F.col("p_partkey") % 50, F.lit('"/><text data-entity-id="t" x="3" y="30">a</text><rect data-entity-id="x" x="bad"/><path data-entity-id="p"/><rect data-entity-id="d" width="7"/></svg>'))
+    rows = with_scene(table(spark, d, "part").select(F.col("p_partkey").alias("k"), body.alias("svg"))).select("k", F.explode("scene.entities").alias("e"))
+    box = F.concat(F.lit("["), F.array_join(F.transform("e.bbox", lambda x: x.cast("string")), ", "), F.lit("]"))
+    return rows.select("k", "e.id", box.alias("box"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 1 THEN round(((p_partkey % 3 <> 0)::INT + ((p_partkey + 1) % 3 <> 0)::INT + ((p_partkey + 2) % 3 <> 0)::INT) / 3e0, 9) ELSE ((p_partkey + 2) % 3 <> 0)::INT::DOUBLE END AS spatial FROM part")
+def spatial_branches(spark, d):
+    """Gold drawings of both grammars against predictions that lack one of three relations: recall of relations in geometry,
+    paths of linking relations in workflows."""
+    k = F.col("p_partkey")
+    boxes = F.concat(*(F.concat(F.lit(f'<rect data-entity-id="n{i}" data-entity-type="node" data-label="'), "p_name", F.lit(f' {i}"/>')) for i in range(3)))
+    edges = [F.lit(f'<line data-edge="n{a}>n{b}:{kind}:"/>') for a, b, kind in ((0, 1, "parallel"), (1, 2, "touches"), (0, 2, "edge"))]
+    whole = lambda parts: F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" data-grammar="'), F.when(k % 2 == 1, "geometry").otherwise("workflow"), F.lit('">'), boxes, *parts, F.lit("</svg>"))
+    rows = table(spark, d, "part").select(k.alias("graph"), whole(edges).alias("g"), whole([F.when((k + i) % 3 != 0, e).otherwise("") for i, e in enumerate(edges)]).alias("p"))
+    both = written(with_scene(with_scene(rows, "g", "gold"), "p", "predicted"), "spatial")
+    return graphs.spatial(both).select(F.col("graph").alias("k"), F.round("spatial", 9).alias("spatial"))
+
+
 # --- evaluation end to end -----------------------------------------------------------------------------------------
 
 
@@ -295,8 +352,8 @@ def counted_reasons(spark, d):
 # --- geometry over given rows ----------------------------------------------------------------------------------------
 
 # A vector as a shape: its first numbers are a place and a size, its label is the drawing, vec_id the order of drawing.
-_SHAPES = """WITH s AS (SELECT label AS doc, vec_id AS at, vec_id % 3 AS kind, round(400 * embedding[1]::DOUBLE, 3) AS x, round(400 * embedding[2]::DOUBLE, 3) AS y, round(100 * abs(embedding[3]::DOUBLE), 3) AS w, round(100 * abs(embedding[4]::DOUBLE), 3) AS h FROM embeddings),
-b AS (SELECT doc, at, x, y, w, h, x + w / 2 AS mx, y + h / 2 AS my FROM s WHERE kind = 0), t AS (SELECT doc, at, x, y, 't' || at AS label FROM s WHERE kind = 1), l AS (SELECT doc, at, x, y, x + w AS x2, y + h AS y2 FROM s WHERE kind = 2)
+_SHAPES = """WITH s AS (SELECT label AS doc, vec_id AS pos, vec_id % 3 AS kind, round(400 * embedding[1]::DOUBLE, 3) AS x, round(400 * embedding[2]::DOUBLE, 3) AS y, round(100 * abs(embedding[3]::DOUBLE), 3) AS w, round(100 * abs(embedding[4]::DOUBLE), 3) AS h FROM embeddings),
+b AS (SELECT doc, pos, x, y, w, h, x + w / 2 AS mx, y + h / 2 AS my FROM s WHERE kind = 0), t AS (SELECT doc, pos, x, y, 't' || pos AS label FROM s WHERE kind = 1), l AS (SELECT doc, pos, x, y, x + w AS x2, y + h AS y2 FROM s WHERE kind = 2)
 """
 
 
@@ -306,15 +363,15 @@ def shapes(spark, d) -> DataFrame:
     return rows.withColumn("kind", F.col("at") % 3)
 
 
-@query(_SHAPES + """SELECT b.at AS box, coalesce((SELECT arg_min(label, ((t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my), t.at)) FROM t WHERE t.doc = b.doc AND t.at < b.at AND (t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my) < 6400), '') AS label FROM b""")
+@query(_SHAPES + """SELECT b.pos AS box, coalesce((SELECT arg_min(label, ((t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my), t.pos)) FROM t WHERE t.doc = b.doc AND t.pos < b.pos AND (t.x - mx) * (t.x - mx) + (t.y - my) * (t.y - my) < 6400), '') AS label FROM b""")
 def box_labels(spark, d):
     s = shapes(spark, d)
     texts = s.filter("kind = 1").select("doc", "at", "x", "y", F.concat(F.lit("t"), "at").alias("label"))
     return nearby.labelled(s.filter("kind = 0").withColumn("box", F.col("at")), texts).select("box", "label")
 
 
-@query(_SHAPES + """SELECT line, src, dst FROM (SELECT l.at AS line, (SELECT arg_min(b.at, ((l.x - mx) * (l.x - mx) + (l.y - my) * (l.y - my), b.at)) FROM b WHERE b.doc = l.doc) AS src,
-(SELECT arg_min(b.at, ((x2 - mx) * (x2 - mx) + (y2 - my) * (y2 - my), b.at)) FROM b WHERE b.doc = l.doc) AS dst FROM l) WHERE src <> dst""")
+@query(_SHAPES + """SELECT line, src, dst FROM (SELECT l.pos AS line, (SELECT arg_min(b.pos, ((l.x - mx) * (l.x - mx) + (l.y - my) * (l.y - my), b.pos)) FROM b WHERE b.doc = l.doc) AS src,
+(SELECT arg_min(b.pos, ((x2 - mx) * (x2 - mx) + (y2 - my) * (y2 - my), b.pos)) FROM b WHERE b.doc = l.doc) AS dst FROM l) WHERE src <> dst""")
 def line_edges(spark, d):
     s = shapes(spark, d)
     lines = s.filter("kind = 2").select("doc", F.col("at").alias("line"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
