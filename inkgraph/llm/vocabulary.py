@@ -7,7 +7,6 @@ texts for which a cut is not certain are encoded whole. Both ways give equal ids
 from __future__ import annotations
 
 import string
-import struct
 import sys
 
 from .common import by_value
@@ -15,7 +14,7 @@ from .common import by_value
 by_value(__name__)
 #: Pieces remembered at most, and the characters in them; a batch may exceed them, then they are set aside, and those set
 #: aside before are forgotten unless they were met again.
-REMEMBERED, CHARACTERS = 300_000, 6_000_000
+REMEMBERED, CHARACTERS = 450_000, 8_000_000
 #: New pieces that the library encodes in one call.
 AT_ONCE = 10_000
 #: White space of any engine, and characters that some engine may take for it.
@@ -72,12 +71,6 @@ class ByteLevel:
         self.ids.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(pieces, starts, starts[1:] + [len(ids)], strict=True))
         self.characters += sum(map(len, pieces))
 
-    def word(self, letters: str) -> bytes:
-        """The ids of a space and letters of the Latin blocks alone, which are one unit of the library's merges."""
-        shown = letters if letters.isascii() else "".join(map(self.visible.__getitem__, letters.encode("utf-8")))
-        ids = [t.id for t in self.library.model.tokenize(self.visible[32] + shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def stem(self, piece: str) -> str:
         """A piece without the marks at its end, if a letter or digit of the Latin blocks stands before them: there a token
         ends for certain."""
@@ -98,25 +91,23 @@ class ByteLevel:
         if len(self.ids) > REMEMBERED or self.characters > CHARACTERS:
             self.old, self.ids, self.characters = self.ids, {}, 0
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in cut)).difference(self.ids)
+        rests = [p[1:] for p in cut]
+        known = [list(map(self.ids.get, p)) for p in rests]
+        new = {p for rest, ids in zip(rests, known, strict=True) for p, i in zip(rest, ids, strict=True) if i is None}
         back = new & self.old.keys()
         self.ids.update((p, self.old[p]) for p in back)
         new = [p for p in new - back if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
         stems = {p: stem for p in new if (stem := self.stem(p)) != p}
-        plain = {p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids)
-        words = [p for p in plain if p.isalpha() and (p.isascii() or max(p) < "\u0250")]
-        self.ids.update((p, self.word(p)) for p in words)
-        self.characters += sum(map(len, words))
-        plain = list(plain.difference(words))
+        plain = list({p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids))
         for k in range(0, len(plain), AT_ONCE):
             self.learn(plain[k : k + AT_ONCE])
         self.ids.update((p, self.ids[stem] + self.tail(p[len(stem) :])) for p, stem in stems.items())
         out = []
-        for text, (first, *rest) in zip(texts, cut, strict=True):
+        for text, first, rest, ids in zip(texts, (p[0] for p in cut), rests, known, strict=True):
             try:
                 if first and first[-1] in BLANK:
                     raise KeyError(first)
-                body = b"".join(map(self.ids.__getitem__, rest))
+                body = b"".join([self.ids[p] if i is None else i for p, i in zip(rest, ids, strict=True)])
                 out.append(pack(self.whole(first)) + body if first else body)
             except KeyError:  # a piece that is empty or ends with white space: the cut is not certain
                 out.append(pack(self.whole(text)))
