@@ -95,6 +95,15 @@ def letter_cells(text: Column, letters: str, rows: int) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.transform(marks, lambda c: F.length(p) - F.length(F.replace(p, c, F.lit(""))))))
 
 
+def letterbox(width: Column, height: Column, edge: int) -> Column:
+    """(width, height, left, top) of an image scaled into a square of this edge and centred; halves go to even numbers, as the
+    renderer rounds them, and no side is under one. Null for sides that are not positive."""
+    scale = F.least(F.lit(float(edge)) / width, F.lit(float(edge)) / height)
+    side = lambda n: F.greatest(F.lit(1), F.bround(n * scale, 0).cast("int"))
+    placed = lambda n: F.floor((F.lit(edge) - side(n)) / 2).cast("int")
+    return F.when((width > 0) & (height > 0), F.struct(side(width).alias("width"), side(height).alias("height"), placed(width).alias("left"), placed(height).alias("top")))
+
+
 def png_size(content: Column) -> Column:
     """(width, height) from a PNG's first bytes; null for anything else."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")

@@ -12,7 +12,7 @@ from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
 from ..operators import coreset, curate, funnel, graphs, materialize, nearby, scoring
 from ..sources import runs
-from ..sources.tables import shared_root, table, written
+from ..sources.tables import first_rows, shared_root, table, written
 from .catalog import _KEYS, _greedy, profiled, query
 
 
@@ -349,6 +349,23 @@ def counted_reasons(spark, d):
     return spark.createDataFrame([(k, int(n)) for k, n in seen.get.items() if n], "counter string, n long")
 
 
+@query("""WITH s AS (SELECT doc_id, length(text) AS w, length(text) - length(replace(text, 'e', '')) AS h FROM documents), f AS (SELECT *, least(448e0 / w, 448e0 / h) AS scale FROM s WHERE w > 0 AND h > 0),
+r AS (SELECT doc_id, greatest(1, round_even(w * scale, 0)::INTEGER) AS width, greatest(1, round_even(h * scale, 0)::INTEGER) AS height FROM f)
+SELECT s.doc_id, width, height, (448 - width) // 2 AS left_edge, (448 - height) // 2 AS top_edge FROM s LEFT JOIN r USING (doc_id)""")
+def letterboxed(spark, d):
+    """Documents as pictures as wide as they have characters and as high as they have e's, in squares of 448."""
+    n = F.length("text")
+    box = native.letterbox(n, n - F.length(F.replace("text", F.lit("e"), F.lit(""))), 448)
+    return table(spark, d, "documents").select("doc_id", box.alias("b")).select("doc_id", "b.width", "b.height", F.col("b.left").alias("left_edge"), F.col("b.top").alias("top_edge"))
+
+
+@query(_DRAWN + "SELECT k, length(normalized)::INTEGER AS svg_len, (n_elements > 2) AS drawn FROM f WHERE n_drawable >= 2 ORDER BY k LIMIT 8")
+def data_preview(spark, d):
+    """The first eight rows of the training data, as a run looks at them before it starts."""
+    rows = reported(spark, d).filter("report.n_drawable >= 2").select("k", F.length("report.normalized").alias("svg_len"), (F.col("report.n_elements") > 2).alias("drawn"))
+    return first_rows(rows, "k", 8)
+
+
 # --- geometry over given rows ----------------------------------------------------------------------------------------
 
 # A vector as a shape: its first numbers are a place and a size, its label is the drawing, vec_id the order of drawing.

@@ -94,3 +94,26 @@ def test_minibatch_kmeans_equals_the_plain_one(spark):
     assert len(coreset.minibatch_kmeans(frame.filter("idx < 2"), 4)) == 4
     with pytest.raises(ValueError):
         coreset.minibatch_kmeans(frame.filter("false"), 4)
+
+
+def test_principal_components_hold_the_most_variance(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5)) @ np.diag([5.0, 3.0, 1.0, 0.5, 0.1]) + 7
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    got = np.array([(r["x"], r["y"]) for r in coreset.pca2(rows).orderBy("k").collect()])
+    centred = x - x.mean(0)
+    best = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs(got), np.abs(best))
+
+
+def test_a_renderer_that_fails_marks_its_row(spark):
+    from inkgraph.functions import markup
+
+    def draw(text):
+        if "bad" in text:
+            raise ValueError(text)
+        return text.encode() if "none" not in text else None
+
+    rows = spark.createDataFrame([(1, '<a fill="red"/>'), (2, "bad"), (3, "none")], "k long, normalized string")
+    got = {r["k"]: (r["png"], r["render_ok"]) for r in markup.with_render(rows, draw).collect()}
+    assert got[2] == got[3] == (None, False) and got[1][1] and b"#ff0000" in got[1][0]
