@@ -9,20 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import by_value, written
+from ..sources.tables import by_value, spread, written
 
 by_value(__name__)
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Per key the row last in order (order has no ties), by a pre-aggregated maximum."""
-    return rows.join(rows.groupBy(key).agg(F.max(order).alias(order)), [key, order], "left_semi")
+    return rows.join(rows.groupBy(key).agg(F.max(order).alias(order)).hint("merge"), [key, order], "left_semi")
 
 
 def gold_with_predictions(gold: DataFrame, predictions: DataFrame, key: str = "id", order: str = "pos", strict: bool = False) -> DataFrame:
-    """Inner join after last-wins on both sides; strict keeps gold rows without a prediction."""
-    p = last_wins(predictions, key, order).drop(order)
-    return last_wins(gold, key, order).join(p, key, "left" if strict else "inner")
+    """Inner join after last-wins on both sides; strict keeps gold rows without a prediction. Its joins are merge joins at every
+    size, since markup in files may be a hundredth of what a broadcast of it holds; both sides are dealt by key once."""
+    p = last_wins(spread(predictions, key), key, order).drop(order)
+    return last_wins(spread(gold, key), key, order).join(p.hint("merge"), key, "left" if strict else "inner")
 
 
 def in_split(col: str, split: str) -> Column:

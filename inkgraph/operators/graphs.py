@@ -1,4 +1,6 @@
-"""Scene graphs as rows: set scores and bounded paths by joins, from exploded entities and relations."""
+"""Scene graphs as rows: set scores and bounded paths by joins, from exploded entities and relations.
+
+These are merge joins at every size: files of graphs that are much alike hold a small part of what a broadcast would."""
 
 from __future__ import annotations
 
@@ -67,7 +69,7 @@ def paths(edges: DataFrame, hops: int = 3) -> DataFrame:
     now = edges.filter("src <> dst").select("graph", F.array("src", "dst").alias("trail"))
     out = now
     for _ in range(hops - 1):
-        step = now.withColumn("src", F.element_at("trail", -1)).join(edges, ["graph", "src"])
+        step = now.withColumn("src", F.element_at("trail", -1)).join(edges.hint("merge"), ["graph", "src"])
         now = step.filter(~F.array_contains("trail", F.col("dst"))).select("graph", F.concat("trail", F.array("dst")).alias("trail"))
         out = out.unionByName(now)
     return out
@@ -76,9 +78,9 @@ def paths(edges: DataFrame, hops: int = 3) -> DataFrame:
 def reachability(predicted: DataFrame, gold: DataFrame, graphs: DataFrame, hops: int = 3) -> DataFrame:
     """(graph, n_gold, n_hit, reach): the share of gold paths that are predicted; 1 for a graph without gold paths."""
     p, g = paths(predicted, hops).distinct().withColumn("hit", F.lit(1)), paths(gold, hops).distinct()
-    per = g.join(p, ["graph", "trail"], "left").groupBy("graph").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_hit"))
+    per = g.join(p.hint("merge"), ["graph", "trail"], "left").groupBy("graph").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_hit"))
     zero = F.lit(0).cast("long")
-    return graphs.select("graph").distinct().join(per, "graph", "left").select("graph", F.coalesce("n_gold", zero).alias("n_gold"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.col("n_hit") / F.col("n_gold"), F.lit(1.0)).alias("reach"))
+    return graphs.select("graph").distinct().join(per.hint("merge"), "graph", "left").select("graph", F.coalesce("n_gold", zero).alias("n_gold"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.col("n_hit") / F.col("n_gold"), F.lit(1.0)).alias("reach"))
 
 
 def linking_edges(df: DataFrame, graph: str = "graph", col: str = "scene") -> DataFrame:
@@ -93,4 +95,4 @@ def spatial(scored: DataFrame) -> DataFrame:
     reach = reachability(linking_edges(scored, col="predicted"), linking_edges(scored, col="gold"), scored)
     g = relation_keys(F.col("gold"))
     recall = F.when(F.size(g) == 0, 1.0).otherwise(F.size(F.array_intersect(relation_keys(F.col("predicted")), g)) / F.size(g))
-    return scored.withColumn("_recall", recall).join(reach.select("graph", "reach"), "graph").withColumn("spatial", F.when(F.col("gold.grammar") == "workflow", F.col("reach")).otherwise(F.col("_recall"))).drop("_recall", "reach")
+    return scored.withColumn("_recall", recall).join(reach.select("graph", "reach").hint("merge"), "graph").withColumn("spatial", F.when(F.col("gold.grammar") == "workflow", F.col("reach")).otherwise(F.col("_recall"))).drop("_recall", "reach")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.markup import SCENE, embedded_scene, with_judgement
-from ..sources.tables import PREDICTIONS, asset_path, by_value, json_lines, markup_files, plain_path, sidecars, written
+from ..sources.tables import PREDICTIONS, asset_path, by_value, json_lines, markup_files, plain_path, sidecars, spread, written
 from .analysis import gate
 from .evaluate import bootstrap_counts, gold_with_predictions, in_split, safe_mean
 from .graphs import entity_keys, from_json, relation_keys, set_scores, spatial
@@ -40,8 +40,10 @@ def resolve_gold(rows: DataFrame, sidecars: DataFrame | None = None, root: str =
     if sidecars is None:
         rows = rows.withColumn("_side", F.lit(None).cast(rows.schema["_inline"].dataType))
     else:
-        rows = rows.withColumn("_at", under(F.col("scene_graph_path"), root))
-        rows = rows.join(sidecars.select(plain_path(F.col("path")).alias("_at"), F.col("scene").alias("_side")), "_at", "left").drop("_at")
+        none = F.concat(F.lit("\0"), F.monotonically_increasing_id())  # a path of its own, so that rows without one are not one group
+        rows = rows.withColumn("_at", F.coalesce(under(F.col("scene_graph_path"), root), none))
+        sides = sidecars.select(plain_path(F.col("path")).alias("_at"), F.col("scene").alias("_side"))
+        rows = spread(rows, "_at").join(spread(sides, "_at").hint("merge"), "_at", "left").drop("_at")
     known = F.coalesce("_inline", "_side")
     markup = F.when(known.isNull(), F.col("svg"))  # parsed only where nothing else is known
     rows = rows.withColumn("_carried", carried.asNondeterministic()(markup))
@@ -66,7 +68,7 @@ def score(gold: DataFrame, predictions: DataFrame, split: str = "all", sidecars:
     there = spatial(both.filter("gold is not null")).select("id", f1(entity_keys).alias("entity_f1"), f1(relation_keys).alias("relation_f1"), "spatial")
     o = F.col("own")
     base = both.select("id", o["parse_ok"].alias("parse_ok"), o["ok"].cast("double").alias("validity"), o["n_drawable"].alias("n_drawable"), o["errors"].alias("errors"), "gold_ok")
-    return base.join(there, "id", "left")
+    return base.join(there.hint("merge"), "id", "left")
 
 
 def placed(lines: DataFrame) -> DataFrame:

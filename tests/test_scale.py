@@ -117,3 +117,15 @@ def test_a_renderer_that_fails_marks_its_row(spark):
     rows = spark.createDataFrame([(1, '<a fill="red"/>'), (2, "bad"), (3, "none")], "k long, normalized string")
     got = {r["k"]: (r["png"], r["render_ok"]) for r in markup.with_render(rows, draw).collect()}
     assert got[2] == got[3] == (None, False) and got[1][1] and b"#ff0000" in got[1][0]
+
+
+def test_scores_are_joined_without_broadcasts(spark, tmp_path):
+    """Markup in files is a small part of what it is in memory, so no join of it may rest on the size of files."""
+    from inkgraph.plans import diagrams
+
+    rows = diagrams.scored(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    gold, predictions, _ = diagrams.gold_and_predictions(spark, "/root/testdata/sf0.001")
+    met = evaluate.gold_with_predictions(gold, predictions)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
