@@ -51,7 +51,7 @@ def materialized(pool: DataFrame, picks: DataFrame, target: int, seed: int = 42,
     """The manifest and the failures: picks in order, then the rest in seeded order (reason unknown), each valid row taken
     until target. Rows: pool_idx, id, text; picks: pool_idx, reason, place."""
     order = F.concat(F.lpad(F.coalesce("place", F.lit(10**9)).cast("string"), 12, "0"), F.when(F.col("place").isNull(), shuffled(F.col("pool_idx").cast("string"), seed)).otherwise(""), F.lpad(F.col("pool_idx").cast("string"), 19, "0"))
-    rows = with_report(pool.join(picks.select("pool_idx", "reason", "place"), "pool_idx", "left").withColumn("_order", order), text)
+    rows = with_report(pool.join(picks.select("pool_idx", "reason", "place").hint("merge"), "pool_idx", "left").withColumn("_order", order), text)
     row_id = F.substring(F.concat(F.lit("broad_"), "id"), 1, 64)
     good = rows.filter("report.ok").orderBy("_order").limit(target)
     manifest = good.select(row_id.alias("id"), "report.sha256", native.bucket(F.col("report.normalized")).alias("bucket"), "report.n_drawable", "report.n_elements", F.coalesce("reason", F.lit("unknown")).alias("selection_reason"), F.col("pool_idx").alias("cluster_pool_idx"),

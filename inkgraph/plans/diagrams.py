@@ -12,7 +12,7 @@ from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
 from ..operators import coreset, curate, funnel, graphs, materialize, nearby, scoring
 from ..sources import runs
-from ..sources.tables import first_rows, shared_root, table, written
+from ..sources.tables import first_rows, shared_root, spread, table, written
 from .catalog import _KEYS, _greedy, profiled, query
 
 
@@ -20,6 +20,11 @@ def _if(cond: Column, text: str) -> Column:
     return F.when(cond, text).otherwise("")
 
 
+def parts(spark, d) -> DataFrame:
+    """The rows that diagrams are written from, dealt over the tasks before their markup is, so that little is moved."""
+    return spread(table(spark, d, "part"), "p_partkey")
+
+
 def drawings(spark, d) -> DataFrame:
     """(k, svg): boxes by k % 4, a text unless k % 3 = 0, and by other remainders a script, a link, embedded data, no view box,
     no markup at all, or a very long text."""
@@ -32,7 +37,7 @@ def drawings(spark, d) -> DataFrame:
         F.when(k % 3 != 0, F.concat(F.lit('<text x="5" y="12"> '), label, F.lit(" </text>"))).otherwise(""),
         _if(k % 7 == 0, "<script>1</script>"), _if(k % 5 == 0, '<a href="http://x"/>'), _if(k % 11 == 0, '<path d="M0 0L1 1" style="url(data:base64,AA)"/>'), F.lit("</svg>"),
     )
-    return table(spark, d, "part").select(k.alias("k"), F.when(k % 13 != 1, svg).alias("svg"))
+    return parts(spark, d).select(k.alias("k"), F.when(k % 13 != 1, svg).alias("svg"))
 
 
 _DRAWN = """
@@ -141,7 +146,7 @@ def kinds(spark, d) -> DataFrame:
         _if(k % 2 == 1, '<circle r="2" fill="none" stroke="blue"/>'), _if(k % 3 == 1, "<ellipse/>"), F.repeat(F.lit('<line stroke="blue"/>'), (k % 4).cast("int")), _if(k % 5 == 0, "<polyline/>"), _if(k % 7 == 0, '<polygon fill="transparent"/>'),
         F.when(k % 2 == 0, path).otherwise(""), F.lit("<text> "), "p_name", F.lit(" </text>"), F.repeat(F.lit("</g>"), (k % 4).cast("int")), F.lit("</svg>"),
     )
-    return table(spark, d, "part").select(k.alias("k"), svg.alias("svg"))
+    return parts(spark, d).select(k.alias("k"), svg.alias("svg"))
 
 
 @query(_KINDS + """SELECT k, paths::DOUBLE AS n_path, rects::DOUBLE AS n_rect, circles::DOUBLE AS n_circle, ellipses::DOUBLE AS n_ellipse, lines::DOUBLE AS n_line, polylines::DOUBLE AS n_polyline, polygons::DOUBLE AS n_polygon, 1e0 AS n_text, m::DOUBLE AS n_g, n::DOUBLE AS n_elements,
@@ -172,7 +177,7 @@ def scenes(spark, d) -> DataFrame:
     line = lambda a, b: F.concat(F.lit('<line x1="'), x(a) + 80, F.lit('" y1="40" x2="'), x(b), F.lit('" y2="40"/>'))
     carried, drawn = F.concat(*(box(i) for i in range(3)), edge(0, 1, ""), edge(1, 2, "flow")), F.concat(*(plain(i) for i in range(3)), line(0, 1), line(1, 2))
     body = F.when(k % 3 == 0, drawn).otherwise(carried)
-    return table(spark, d, "part").select(k.alias("k"), F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" data-grammar="workflow">'), body, F.lit("</svg>")).alias("svg"))
+    return parts(spark, d).select(k.alias("k"), F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" data-grammar="workflow">'), body, F.lit("</svg>")).alias("svg"))
 
 
 _ENTITIES = """
@@ -200,7 +205,7 @@ def scene_relations(spark, d):
 def entity_boxes(spark, d):
     """Boxes of a circle, a text, a box with a bad number, a path, and a box without a place or height."""
     body = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><circle data-entity-id="c" r="5" cy="20" cx="'), F.col("p_partkey") % 50, F.lit('"/><text data-entity-id="t" x="3" y="30">a</text><rect data-entity-id="x" x="bad"/><path data-entity-id="p"/><rect data-entity-id="d" width="7"/></svg>'))
-    rows = with_scene(table(spark, d, "part").select(F.col("p_partkey").alias("k"), body.alias("svg"))).select("k", F.explode("scene.entities").alias("e"))
+    rows = with_scene(parts(spark, d).select(F.col("p_partkey").alias("k"), body.alias("svg"))).select("k", F.explode("scene.entities").alias("e"))
     box = F.concat(F.lit("["), F.array_join(F.transform("e.bbox", lambda x: x.cast("string")), ", "), F.lit("]"))
     return rows.select("k", "e.id", box.alias("box"))
 
@@ -213,7 +218,7 @@ def spatial_branches(spark, d):
     boxes = F.concat(*(F.concat(F.lit(f'<rect data-entity-id="n{i}" data-entity-type="node" data-label="'), "p_name", F.lit(f' {i}"/>')) for i in range(3)))
     edges = [F.lit(f'<line data-edge="n{a}>n{b}:{kind}:"/>') for a, b, kind in ((0, 1, "parallel"), (1, 2, "touches"), (0, 2, "edge"))]
     whole = lambda parts: F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" data-grammar="'), F.when(k % 2 == 1, "geometry").otherwise("workflow"), F.lit('">'), boxes, *parts, F.lit("</svg>"))
-    rows = table(spark, d, "part").select(k.alias("graph"), whole(edges).alias("g"), whole([F.when((k + i) % 3 != 0, e).otherwise("") for i, e in enumerate(edges)]).alias("p"))
+    rows = parts(spark, d).select(k.alias("graph"), whole(edges).alias("g"), whole([F.when((k + i) % 3 != 0, e).otherwise("") for i, e in enumerate(edges)]).alias("p"))
     both = written(with_scene(with_scene(rows, "g", "gold"), "p", "predicted"), "spatial")
     return graphs.spatial(both).select(F.col("graph").alias("k"), F.round("spatial", 9).alias("spatial"))
 
@@ -234,7 +239,7 @@ def gold_and_predictions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     entity = F.array(*(F.struct(F.lit(f"n{i}").alias("id"), F.lit("node").alias("type"), c.alias("label")) for i, c in enumerate(names)))
     edges = F.array(*(F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit("edge").alias("type")) for a, b in (("n0", "n1"), ("n1", "n2"))))
     graph = F.to_json(F.struct(F.lit("workflow").alias("grammar"), entity.alias("entities"), edges.alias("relations")))
-    part = table(spark, d, "part").select("p_name", k.alias("id"), k.alias("pos"), F.when(k % 2 == 0, "id").otherwise("ood").alias("split"), svg.alias("svg"), graph.alias("graph"),
+    part = parts(spark, d).select("p_name", k.alias("id"), k.alias("pos"), F.when(k % 2 == 0, "id").otherwise("ood").alias("split"), svg.alias("svg"), graph.alias("graph"),
         F.when(k % 4 == 0, svg).when(k % 4 == 1, wrap(*nodes, first)).when(k % 4 == 2, wrap(nodes[0], nodes[1], node(2, F.lit("X")), first, last)).otherwise("no markup").alias("pred"))
     way = F.col("id") % 3
     path = F.concat(F.lit("s/"), "id", F.lit(".json"))

@@ -129,3 +129,12 @@ def test_scores_are_joined_without_broadcasts(spark, tmp_path):
     gold, predictions, _ = diagrams.gold_and_predictions(spark, "/root/testdata/sf0.001")
     met = evaluate.gold_with_predictions(gold, predictions)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markup_of_a_small_file_is_parsed_by_many_tasks(spark):
+    from inkgraph.plans import diagrams
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for make in (diagrams.drawings, diagrams.kinds, diagrams.scenes, diagrams.parts):
+        sizes = [len(p) for p in make(spark, "/root/testdata/sf0.01").select("*").rdd.glom().collect()]
+        assert len(sizes) >= n and max(sizes) < 2 * sum(sizes) / len(sizes)
