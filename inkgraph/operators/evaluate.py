@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +90,66 @@ def interval(means: DataFrame, group: str, n_boot: int, alpha: float) -> DataFra
     return ordered.select(group, F.element_at("ms", int(alpha / 2 * n_boot) + 1).alias("lo"), F.element_at("ms", int((1 - alpha / 2) * n_boot)).alias("hi"))
 
 
+#: Positions of a block of values, 65,536 at most; draws that are made at once.
+BLOCK, DRAWS = 32_768, 1_000_000
+
+
+def _drawn(sizes: DataFrame, n_boot: int) -> DataFrame:
+    """(g, block, counts, picks) of sizes (g, n): the draws of DRAWS / n_boot positions and all resamples that fall into a block
+    of values, as two bytes each: their places in the block by resample, and how many each resample has."""
+    step = min(max(1, DRAWS // n_boot), 65_535)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for rows in batches:
+            for k, (n, at) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)):
+                places = [b"%d" % i for i in range(at * step, min(n, (at + 1) * step))]
+                raw = b"".join([hashlib.md5(head + i).digest() for head in (b"%d:" % b for b in range(n_boot)) for i in places])
+                pick = np.frombuffer(raw, ">u4")[::4].astype(np.int64) % n
+                block = pick // BLOCK
+                by = np.argsort(block, kind="stable")
+                found, first = np.unique(block[by], return_index=True)
+                parts = np.split(by, first[1:])
+                counts = [np.bincount(x // len(places), minlength=n_boot).astype(np.uint16).tobytes() for x in parts]
+                picks = [(pick[x] % BLOCK).astype(np.uint16).tobytes() for x in parts]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([k] * len(parts))), pa.array(found), pa.array(counts, pa.binary()), pa.array(picks, pa.binary())], names=["g", "block", "counts", "picks"])
+
+    spark = sizes.sparkSession
+    chunks = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step))).alias("at"))
+    dealt = chunks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return dealt.mapInArrow(run, f"g {sizes.schema['g'].dataType.simpleString()}, block long, counts binary, picks binary")
+
+
+def _totals(drawn: DataFrame, kept: DataFrame, n_boot: int) -> DataFrame:
+    """(g, b, total): what the draws of each resample add up to, a row for each block of values as well. A block is met by about
+    n_boot draws for each of its values, however large its group is."""
+
+    def run(draws: pa.Table, values: pa.Table) -> pa.Table:
+        import numpy as np
+
+        v = values.sort_by("i")["v"].to_numpy()
+        total, every = np.zeros(n_boot), np.arange(n_boot)
+        for counts, picks in zip(draws["counts"].to_pylist(), draws["picks"].to_pylist(), strict=True):
+            of = np.repeat(every, np.frombuffer(counts, np.uint16))
+            total += np.bincount(of, weights=v[np.frombuffer(picks, np.uint16)], minlength=n_boot)
+        return pa.table({"g": values["g"].take(pa.array([0] * n_boot)), "b": pa.array(every), "total": pa.array(total)})
+
+    blocks = kept.withColumn("block", F.floor(F.col("i") / BLOCK))
+    return drawn.groupBy("g", "block").cogroup(blocks.groupBy("g", "block")).applyInArrow(run, f"g {kept.schema['g'].dataType.simpleString()}, b long, total double")
+
+
 def bootstrap_md5(rows: DataFrame, group: str, value: str, order: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Intervals from resamples that md5 draws, so any engine repeats them: (group, mean, lo, hi).
 
-    Draw i of resample b is value number md5(b:i) mod n of its group. One aggregate per resample and group."""
-    kept = numbered(rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), group, order)
-    sizes = kept.groupBy(group).agg(F.count("*").alias("n"))
-    spread = kept.join(sizes, group).select(group, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    drawn = spread.withColumn("pick", (F.conv(F.substring(F.md5(F.concat_ws(":", "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")).cast("long"))
-    means = drawn.join(kept.select(group, F.col("i").alias("pick"), F.col(value).cast("double").alias("v")), [group, "pick"]).groupBy(group, "b").agg(F.round(F.avg("v"), 9).alias("m"))
-    mean = kept.groupBy(group).agg(F.round(F.avg(F.col(value).cast("double")), 9).alias("mean"))
-    return mean.join(interval(means, group, n_boot, alpha), group)
+    Draw i of resample b is value number md5(b:i) mod n of its group. Draws are made where Spark deals their positions, and
+    meet the values in blocks, so neither a group nor a row per draw is moved as a row."""
+    some = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    kept = written(numbered(some, group, order).select(F.col(group).alias("g"), "i", F.col(value).cast("double").alias("v")), "resampled")
+    of = kept.groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+    totals = _totals(_drawn(of.select("g", "n"), n_boot), kept, n_boot).groupBy("g", "b").agg(F.sum("total").alias("total"))
+    means = totals.join(of, "g").select("g", F.round(F.col("total") / F.col("n"), 9).alias("m"))
+    return of.join(interval(means, "g", n_boot, alpha), "g").select(F.col("g").alias(group), "mean", "lo", "hi")
 
 
 #: A draw of 32 bits reaches the first k of these with the probability that a Poisson number of mean 1 is k or more.

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkgraph.operators import analysis, coreset, evaluate
 
@@ -138,3 +139,28 @@ def test_markup_of_a_small_file_is_parsed_by_many_tasks(spark):
     for make in (diagrams.drawings, diagrams.kinds, diagrams.scenes, diagrams.parts):
         sizes = [len(p) for p in make(spark, "/root/testdata/sf0.01").select("*").rdd.glom().collect()]
         assert len(sizes) >= n and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize(("block", "draws"), [(32_768, 1_000_000), (7, 60)])
+def test_md5_resamples_equal_a_plain_loop(spark, monkeypatch, block, draws):
+    import hashlib
+
+    monkeypatch.setattr(evaluate, "BLOCK", block)
+    monkeypatch.setattr(evaluate, "DRAWS", draws)
+    rng = random.Random(8)
+    rows = [("a", k, rng.gauss(0, 1)) for k in range(50)] + [("b", k, float(k)) for k in range(3)] + [("c", 1, 2.5), ("d", 1, None), (None, 1, 1.0)]
+    frame = spark.createDataFrame(rows, "g string, k long, v double").repartition(3)
+    got = {r["g"]: tuple(r)[1:] for r in evaluate.bootstrap_md5(frame, "g", "v", "k", n_boot=40).collect()}
+    want = {}
+    for g in "abc":
+        v = [x for h, _, x in rows if h == g]
+        pick = lambda b, i, n=len(v): int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:8], 16) % n
+        ms = sorted(sum(v[pick(b, i)] for i in range(len(v))) / len(v) for b in range(40))
+        want[g] = (sum(v) / len(v), ms[1], ms[38])
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], abs=2e-9) for g in want)
+
+
+def test_md5_resamples_move_no_row_a_draw(spark):
+    frame = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    plan = evaluate.bootstrap_md5(frame, "g", "v", "k", n_boot=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "pick" not in plan.replace("picks", "")
