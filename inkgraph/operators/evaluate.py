@@ -183,9 +183,10 @@ def bootstrap_counts(rows: DataFrame, group: str, value: str, key: str, n_boot:
     v = F.col(value).cast("double")
     kept = rows.filter(v.isNotNull() & ~F.isnan(v)).select(F.col(group).alias("g"), v.alias("v"), F.col(key).alias("k"))
     digest = kept.select("g", "v", "k", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))).alias("j")).withColumn("d", F.md5(F.concat_ws(":", F.lit(seed), "j", "k")))
-    draw = lambda at: F.conv(F.substring("d", 8 * at + 1, 8), 16, 10).cast("long")
-    counts = F.array(*(sum((draw(at) >= t).cast("int") for t in POISSON) for at in range(4)))
-    each = digest.select("g", "v", "j", F.posexplode(counts).alias("at", "n")).filter("n > 0").select("g", "v", (F.col("j") * 4 + F.col("at")).alias("b"), "n").filter(F.col("b") < n_boot)
+    draws = F.array(*(F.conv(F.substring("d", 8 * at + 1, 8), 16, 10).cast("long") for at in range(4)))
+    x = digest.select("g", "v", "j", F.posexplode(draws).alias("at", "x")).filter(F.col("x") >= POISSON[0])  # the others draw none
+    many = sum((F.col("x") >= t).cast("int") for t in POISSON)  # of a column, so that each draw is read from its digits once
+    each = x.select("g", "v", (F.col("j") * 4 + F.col("at")).alias("b"), many.alias("n")).filter(F.col("b") < n_boot)
     means = each.groupBy("g", "b").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 9).alias("m"))
     ms = means.groupBy("g").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # n_boot numbers a group
     at = lambda share: F.floor(F.size("ms") * share).cast("int")

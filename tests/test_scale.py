@@ -180,3 +180,9 @@ def test_exact_resamples_of_a_large_group_are_drawn_in_arrays():
     got = evaluate.bootstrap([float(k % 2) for k in range(20_000)], 1000)
     assert got["mean"] == 0.5 and 0.49 < got["lo"] < 0.5 < got["hi"] < 0.51
     assert time.process_time() - began < 6
+
+
+def test_each_draw_of_counted_resamples_is_read_once(spark):
+    frame = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    plan = evaluate.bootstrap_counts(frame, "g", "v", "k", n_boot=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("conv(") <= 8
