@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import by_value, written
+
+by_value(__name__)
 
 #: Keys of a bucket that are compared with each other; larger ones are split first.
 PAIRED = 1000
@@ -135,6 +138,31 @@ def _later(edges: DataFrame) -> list[DataFrame]:
     return gone
 
 
+def _by_heads(own: DataFrame, threshold: int, prefix: int) -> list[DataFrame]:
+    """Keys (key) of rows (key, at) that go, where blocks can't be split because the threshold has more stretches than digits.
+
+    The first PAIRED keys of each block are settled among themselves, since no later one has a say; what is near those that
+    are kept goes, and the same again with what is left. So a key meets kept ones only, of which such a threshold leaves few."""
+    def greedy(df: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for k in df.sort_values("nr")["key"]:
+            x = int(k, 16)
+            if all((x ^ y).bit_count() > threshold for _, y in kept):
+                kept.append((k, x))
+        return pd.DataFrame({"block": df["block"].iloc[0], "keeps": [[k for k, _ in kept]]})
+
+    left, gone = own.withColumn("block", F.concat_ws(":", F.length("key"), F.substring("key", 1, prefix))), []
+    nr = F.row_number().over(Window.partitionBy("block").orderBy("at"))
+    while not left.isEmpty():
+        heads = written(left.withColumn("nr", nr).filter(F.col("nr") <= PAIRED), "near-heads")
+        kept = written(heads.groupBy("block").applyInPandas(greedy, "block string, keeps array<string>"), "near-kept")
+        met = left.join(kept, "block").withColumn("near", F.exists("keeps", lambda k: (k != F.col("key")) & (_bits(F.col("key"), k) <= threshold)))
+        met = written(met.select("key", "at", "block", "near", F.array_contains("keeps", F.col("key")).alias("keeps")), "near-met")
+        gone.append(met.filter("near and not keeps").select("key"))
+        left = met.filter("not near and not keeps").select("key", "at", "block")
+    return gone
+
+
 def near_dedup(rows: DataFrame, key: str, order: str, threshold: int = 3, prefix: int = 4) -> DataFrame:
     """rows with `kept`, greedy in order: a row goes if a kept row whose key (hex digits) has the same prefix and length lies
     within threshold bits.
@@ -142,11 +170,15 @@ def near_dedup(rows: DataFrame, key: str, order: str, threshold: int = 3, prefix
     Null and empty keys are always kept; of rows equal in key the first by order is judged and the others go, so order has no
     ties; a pair whose prefixes differ is never compared, by definition. No group is read by one task: while a bucket is too
     large to be paired, the keys that lead all of theirs settle what is near them, as long as that settles a tenth of what is
-    left; then the near pairs among the rest are settled in rounds. An empty table stays empty."""
+    left; then the near pairs among the rest are settled in rounds. Keys with
+    fewer digits than the threshold has stretches are settled by the first ones of each block. An empty table stays empty."""
     firsts = rows.filter(F.coalesce(F.length(key), F.lit(0)) > 0).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("at"))
     own, gone = written(firsts, "near-keys"), []
     if threshold:
-        left, cut = own, written(_buckets(own, threshold, prefix), "near-level")
+        short = F.length("key") - prefix <= threshold
+        gone += _by_heads(own.filter(short), threshold, prefix)
+        left = own.filter(~short)
+        cut = written(_buckets(left, threshold, prefix), "near-level")
         while not _large(cut, threshold).isEmpty():
             led = written(_led(left, cut, threshold), "near-led")
             gone.append(led.filter("gone").select("key"))

@@ -78,3 +78,16 @@ def test_pairs_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(funnel, "PAIRED", paired)
         got = funnel.near_pairs(spark.createDataFrame([(k, i) for k, i in first.items()], "key string, at long")).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+
+
+@pytest.mark.parametrize(("paired", "prefix"), [(1000, 2), (7, 0), (1, 1)])
+def test_blocks_that_cannot_be_split_are_not_paired(spark, monkeypatch, paired, prefix):
+    """Random keys at a threshold of more stretches than digits: each meets the kept ones of its block alone."""
+    monkeypatch.setattr(funnel, "PAIRED", paired)
+    rng = random.Random(9)
+    rows = [(k, f"{rng.getrandbits(64):016x}") for k in range(300)]
+    made = []
+    monkeypatch.setattr(funnel, "_paired", lambda cut, t, f=funnel._paired: made.append(f(cut, t)) or made[-1])
+    got = funnel.near_dedup(spark.createDataFrame(rows, SCHEMA), "k", "i", 24, prefix)
+    assert {r["i"] for r in got.filter("kept").collect()} == greedy(rows, 24, prefix)
+    assert all(pairs.count() == 0 for pairs in made)
