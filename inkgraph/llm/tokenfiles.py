@@ -26,8 +26,8 @@ by_value(__name__)
 END = 2
 #: Ids in a frame: a frame ends with the first document that reaches them; longer documents go over several frames.
 FRAME_IDS = 1 << 16
-#: Bytes of text encoded at a time.
-AT_A_TIME = 1_000_000
+#: Bytes of text encoded at a time, and of ids handed on.
+AT_A_TIME, HANDED = 4_000_000, 1_000_000
 SKIPPABLE, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part long, file string, width int, documents long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, file string, width int, at long"
@@ -164,8 +164,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
                 fs.create_dir(path, recursive=True)
                 stream = fs.open_output_stream(f"{path}/{name}", compression=None)
                 writer = Writer(stream, width, frame_ids)
-            for a, z in slices(texts):
-                for doc_id, found in zip(ids[a:z], tokens.encode(texts[a:z].to_pylist()), strict=True):
+            for a, z in slices(texts, AT_A_TIME):
+                for doc_id, found in zip(ids[a:z], tokens.encode(texts[a:z]), strict=True):
                     writer.add(doc_id, np.frombuffer(found + last, dtype="<u4"))
         if writer:
             writer.close()
@@ -179,13 +179,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
     return manifest(spark, folder)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Stretches of texts with AT_A_TIME bytes or one text."""
+def slices(texts: pa.Array, size: int = HANDED) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with so many bytes or one text."""
     import pyarrow.compute as pc
 
     a, total = 0, 0
     for k, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if total and total + (n or 0) > AT_A_TIME:
+        if total and total + (n or 0) > size:
             yield a, k
             a, total = k, 0
         total += n or 0
@@ -236,7 +236,7 @@ def fetch(rows: DataFrame) -> DataFrame:
                     reader = Reader(stream, width)
                 found.append(reader.ids(at, n).tobytes())
                 size += len(found[-1])
-                if size > AT_A_TIME or k == b.num_rows - 1:
+                if size > HANDED or k == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([*(b.column(c).slice(a, k + 1 - a) for c in range(3)), pa.array(found, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                     found, size, a = [], 0, k + 1
         if stream:

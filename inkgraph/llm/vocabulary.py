@@ -9,12 +9,14 @@ from __future__ import annotations
 import string
 import sys
 
+import pyarrow as pa
+
 from .common import by_value
 
 by_value(__name__)
 #: Pieces remembered at most, and the characters in them; a batch may exceed them, then they are set aside, and those set
 #: aside before are forgotten unless they were met again.
-REMEMBERED, CHARACTERS = 450_000, 8_000_000
+REMEMBERED, CHARACTERS = 250_000, 4_500_000
 #: New pieces that the library encodes in one call.
 AT_ONCE = 10_000
 #: White space of any engine, and characters that some engine may take for it.
@@ -86,31 +88,65 @@ class ByteLevel:
                 self.tails[marks] = found
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes of four an id."""
+    def remember(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, looked up or learned; none for a piece that is empty or next to white space, where the
+        cut is not certain."""
         if len(self.ids) > REMEMBERED or self.characters > CHARACTERS:
             self.old, self.ids, self.characters = self.ids, {}, 0
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        rests = [p[1:] for p in cut]
-        known = [list(map(self.ids.get, p)) for p in rests]
-        new = {p for rest, ids in zip(rests, known, strict=True) for p, i in zip(rest, ids, strict=True) if i is None}
-        back = new & self.old.keys()
-        self.ids.update((p, self.old[p]) for p in back)
-        new = [p for p in new - back if p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK)]
-        stems = {p: stem for p in new if (stem := self.stem(p)) != p}
-        plain = list({p for p in new if p not in stems}.union(s for s in stems.values() if s not in self.ids))
+        found = list(map(self.ids.get, pieces))
+        gaps = [k for k, i in enumerate(found) if i is None]
+        plain, stems = [], {}
+        for p in map(pieces.__getitem__, gaps):
+            if (i := self.old.get(p)) is not None:
+                self.ids[p] = i
+                self.characters += len(p)
+            elif p and p[-1] not in BLANK and not (p[0] == "\n" and p[1] in BLANK):
+                if p[-1] not in self.marks or (stem := self.stem(p)) == p:
+                    plain.append(p)
+                else:
+                    stems[p] = stem
+        plain = list(set(plain).union(s for s in stems.values() if s not in self.ids))
         for k in range(0, len(plain), AT_ONCE):
             self.learn(plain[k : k + AT_ONCE])
-        self.ids.update((p, self.ids[stem] + self.tail(p[len(stem) :])) for p, stem in stems.items())
+        for p, stem in stems.items():
+            self.ids[p] = self.ids[stem] + self.tail(p[len(stem) :])
+            self.characters += len(p)
+        for k in gaps:
+            found[k] = self.ids.get(pieces[k], b"")
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian bytes of four an id. Arrow cuts the texts and tells the distinct pieces, so
+        Python handles each of these once, and the ids of all places are picked from theirs as one array."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends, flat = np.cumsum(pc.list_value_length(cut).to_numpy()), cut.flatten()
+        heads = np.concatenate([[0], ends[:-1]])
+        rest = np.ones(len(flat), dtype=bool)
+        rest[heads] = False
+        coded = flat.filter(pa.array(rest)).dictionary_encode()
+        found, at = self.remember(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        every, firsts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = every[np.repeat(firsts[at] - before[:-1], n) + np.arange(before[-1])]
+        doubts = np.concatenate([[0], np.cumsum(n == 0)])
+        stops = ends - np.arange(1, len(ends) + 1)  # without the first pieces
+        starts = np.concatenate([[0], stops[:-1]])
+        unsure, a, z = (doubts[stops] > doubts[starts]).tolist(), before[starts].tolist(), before[stops].tolist()
         out = []
-        for text, first, rest, ids in zip(texts, (p[0] for p in cut), rests, known, strict=True):
-            try:
-                if first and first[-1] in BLANK:
-                    raise KeyError(first)
-                body = b"".join([self.ids[p] if i is None else i for p, i in zip(rest, ids, strict=True)])
+        for k, first in enumerate(flat.take(pa.array(heads)).to_pylist()):
+            if unsure[k] or (first and first[-1] in BLANK):
+                out.append(pack(self.whole(texts[k].as_py())))
+            else:
+                body = ids[a[k] : z[k]].tobytes()
                 out.append(pack(self.whole(first)) + body if first else body)
-            except KeyError:  # a piece that is empty or ends with white space: the cut is not certain
-                out.append(pack(self.whole(text)))
         return out
 
     def token_bytes(self) -> list[bytes]:

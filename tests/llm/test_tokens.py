@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -56,6 +57,13 @@ def test_pieces_of_odd_texts_and_a_full_memory(library, monkeypatch):
     assert b"".join(library[0].bytes[i] for i in np.frombuffer(library[0].encode(["naïve 中文\n"])[0], "<u4")).decode() == "naïve 中文\n"
 
 
+def test_pieces_of_arrow_texts_and_all_characters_remembered():
+    tool = ByteLevel(content(BYTE_VOCABULARY))
+    texts = pa.array([f"word{k} again{k}, again{k}!\nline{k} 中{k}" for k in range(500)] + ["", "one", " two  three "])[3:]
+    assert tool.encode(texts) == [pack(tool.whole(t)) for t in texts.to_pylist()]
+    assert tool.characters == sum(map(len, tool.ids))  # those cut from marks count, so the memory has its bound
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 
