@@ -12,7 +12,7 @@ from ..functions import native
 from ..functions.markup import report_columns, with_report, with_scene
 from ..operators import coreset, curate, funnel, graphs, materialize, nearby, scoring
 from ..sources import runs
-from ..sources.tables import first_rows, shared_root, spread, table, written
+from ..sources.tables import first_passing, shared_root, spread, table, written
 from .catalog import _KEYS, _greedy, profiled, query
 
 
@@ -367,8 +367,8 @@ def letterboxed(spark, d):
 @query(_DRAWN + "SELECT k, length(normalized)::INTEGER AS svg_len, (n_elements > 2) AS drawn FROM f WHERE n_drawable >= 2 ORDER BY k LIMIT 8")
 def data_preview(spark, d):
     """The first eight rows of the training data, as a run looks at them before it starts."""
-    rows = reported(spark, d).filter("report.n_drawable >= 2").select("k", F.length("report.normalized").alias("svg_len"), (F.col("report.n_elements") > 2).alias("drawn"))
-    return first_rows(rows, "k", 8)
+    drawn = lambda rows: with_report(rows).filter("report.n_drawable >= 2").select("k", F.length("report.normalized").alias("svg_len"), (F.col("report.n_elements") > 2).alias("drawn"))
+    return first_passing(drawings(spark, d).filter("svg is not null"), "k", 8, drawn)
 
 
 # --- geometry over given rows ----------------------------------------------------------------------------------------

@@ -222,3 +222,13 @@ def test_nearest_equals_all_pairs(spark):
         got = nearby.nearest(*frames, cell, radius, earlier).collect()
         assert {(r["doc"], r["q"], r["p"]) for r in got} == want and len(got) == len(want)
     assert nearby.nearest(frames[0], frames[1].filter("false"), 20.0).count() == 0
+
+
+def test_first_passing_makes_only_the_rows_it_needs(spark):
+    rows = spark.range(2000).select((F.col("id") % 1990).alias("k"), "id").unionByName(spark.createDataFrame([(None, 5000)], "k long, id long"))
+    for passes, most in (("k % 3 = 1", 11), ("k > 100", 1000), ("k >= 1985", 2001), ("k is null or k = 1989", 2001), ("false", 2001)):
+        seen = []
+        made = lambda r, p=passes, s=seen: (s.append(r.count()), r.filter(p))[1]
+        found = [r["k"] for r in tables.first_passing(rows, "k", 3, made, stretch=10).collect()]
+        assert found == [r["k"] for r in tables.first_rows(rows.filter(passes), "k", 3).collect()]
+        assert 0 < sum(seen) <= most + 20 and sum(seen) <= 2001
