@@ -64,6 +64,16 @@ def test_pieces_of_arrow_texts_and_all_characters_remembered():
     assert tool.characters == sum(map(len, tool.ids))  # those cut from marks count, so the memory has its bound
 
 
+def test_marks_after_a_word_take_no_room_in_memory(monkeypatch):
+    monkeypatch.setattr("inkgraph.llm.vocabulary.REMEMBERED", 50)
+    tool = ByteLevel(content(BYTE_VOCABULARY))
+    first, second = ([f" {a}{k} {a}{k}, {a}{k}! {a}{k}?" for k in range(20)] for a in ("left", "right"))
+    found, _ = tool.encode(first), tool.encode(second)
+    assert found == [pack(tool.whole(t)) for t in first]
+    monkeypatch.setattr(tool, "whole", None)  # all 20 words are known, so the library is not called again
+    assert tool.encode(first) == found
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 
