@@ -149,6 +149,15 @@ def test_line_dedup_against_brute_force(spark, odd, empty):
     assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in lines.summary(odd).collect()) == [("1", 0), ("2", 0), ("3", 0), ("3", 0), ("5", 0), ("6", 0), ("6", 1), ("None", 0)]
 
 
+def test_blank_lines_are_told_without_rewriting_lines(spark, capsys):
+    blank = [" ", "\t", "\r", "\f", "\u000b", "", " \t\r\f\u000b "]
+    df = spark.createDataFrame([(1, "\n".join([*blank, "\u00a0", " x ", "\ty"])), (2, None)], "doc_id long, text string")
+    filled = lines._filled(df)
+    assert [(r["pos"], r["line"]) for r in filled.collect()] == [(7, "\u00a0"), (8, " x "), (9, "\ty")]
+    filled.explain()
+    assert "translate(" not in capsys.readouterr().out  # it takes every character of every line to a new string
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_edit_classes_equal_brute_force(spark, edits):
     """Random lines with edits, short and long ones, and four hundred lines that are all near each other."""
