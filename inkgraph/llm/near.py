@@ -10,6 +10,7 @@ prefixes of their rarest ones."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,10 @@ from .graph import components
 
 by_value(__name__)
 WIDTH, SEED, OF, PARTS = 5, 42, 4, 5
-#: Longs of 64 bits in a text's sketch.
-LONGS = 32
+#: Longs of 64 bits in a text's sketch, and in the short one that each row carries into the join of prefixes.
+LONGS, SHORT = 32, 8
+#: Earlier shingles that are compared where two texts meet.
+BEFORE = 3
 #: Texts that are compared with each other for a prefix shingle that they share; more get new prefixes first.
 HOT = 200
 #: Texts sampled for common shingles, and how many shingles at most are put last.
@@ -68,7 +71,7 @@ def _common(texts: DataFrame) -> list[int]:
 
 
 def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
-    """(h, id, n): the first shingles of every text, in the common order, n being the number of all."""
+    """(h, id, n, p): the first shingles of every text, numbered from 0 in the common order, n being the number of all."""
     import numpy as np
 
     last = np.array(common, dtype=np.int64).view(np.uint64)
@@ -77,7 +80,7 @@ def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ids, ns = [], [], []
+            hs, ids, ns, ps = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(t.as_py())
                 take = len(s) // PARTS + 1
@@ -91,10 +94,11 @@ def _prefixes(texts: DataFrame, common: list[int]) -> DataFrame:
                 hs.append(first.view(np.int64))
                 ids.append(np.full(len(first), i, dtype=np.int64))
                 ns.append(np.full(len(first), len(s), dtype=np.int32))
+                ps.append(np.arange(len(first), dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns)], names=["h", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns, ps)], names=["h", "id", "n", "p"])
 
-    return texts.mapInArrow(run, "h long, id long, n int")
+    return texts.mapInArrow(run, "h long, id long, n int, p int")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -111,12 +115,12 @@ def _enough(a: str, b: str, shared: str) -> Column:
     return (F.col(shared) + F.greatest(rest(a), rest(b))) * (OF + PARTS) >= (F.col(a) + F.col(b)) * OF
 
 
-def _bits(s):
-    """A set of hashes as one bit each in LONGS longs."""
+def _bits(s, longs: int = LONGS):
+    """A set of hashes as one bit each in so many longs."""
     import numpy as np
 
-    on = np.zeros(LONGS * 64, dtype=np.uint8)
-    on[(s % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+    on = np.zeros(longs * 64, dtype=np.uint8)
+    on[(s % np.uint64(longs * 64)).astype(np.int64)] = 1
     return np.packbits(on).view(np.int64)
 
 
@@ -131,20 +135,41 @@ def _may_be(u: str, v: str) -> Column:
     return F.least(n - lacks(u, v), m - lacks(v, u)) * (OF + PARTS) >= (n + m) * OF
 
 
+def _some(texts: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, text) of the texts with the given ids (written)."""
+    # only texts that may be among them move, equal ones once from each part of the input
+    some = maybe_in(texts, F.col("id"), ids, scratch, f"{name}-maps").filter("maybe").select("row.*").groupBy("id").agg(F.first("text").alias("text"))
+    return some.join(ids, "id", "left_semi")
+
+
 def _sets(texts: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, s, bits, n) of the texts with the given ids (written): their shingles, sketches and numbers of shingles."""
-    import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             bits = [_bits(s) for s in sets]
             sets = [s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "s", "bits"])
 
-    # only texts that may be among them move, equal ones once from each part of the input
-    some = maybe_in(texts, F.col("id"), ids, scratch, f"{name}-maps").filter("maybe").select("row.*").groupBy("id").agg(F.first("text").alias("text"))
-    return scratch.cut(some.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>, bits array<long>").withColumn("n", F.size("s")), f"{name}-sets")
+    return scratch.cut(_some(texts, ids, scratch, name).mapInArrow(run, "id long, s array<long>, bits array<long>").withColumn("n", F.size("s")), f"{name}-sets")
+
+
+def _short(texts: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, ones, b0, b1, ...) of the texts with the given ids (written): their short sketches and how many bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            if b.num_rows:
+                bits = np.array([_bits(shingles(t.as_py()), SHORT) for t in b.column(1)])
+                ones = np.bitwise_count(bits.view(np.uint64)).sum(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ones), *(pa.array(bits[:, k]) for k in range(SHORT))], names=["id", "ones", *(f"b{k}" for k in range(SHORT))])
+
+    return scratch.cut(_some(texts, ids, scratch, name).mapInArrow(run, "id long, ones int" + "".join(f", b{k} long" for k in range(SHORT))), f"{name}-short")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -160,11 +185,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
 
 
 def _stars(rows: DataFrame, texts: DataFrame, before: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Links between hubs and those that share a prefix shingle with them, and the rows (h, id, n, root) of shingles whose
+    """Links between hubs and those that share a prefix shingle with them, and the rows (h, id, n, p, root) of shingles whose
     texts these links and those before have not all joined."""
     at = Window.partitionBy("h")
     rows = rows.withColumns({"least": F.min(F.struct("id", "n")).over(at), "hi": F.max("id").over(at)})
-    met = rows.filter("least.id < hi").select("h", "id", "n", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n")).distinct()
+    met = rows.filter("least.id < hi").select("h", "id", "n", "p", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n")).distinct()
     met = scratch.cut(met, f"{name}-met")
     # Of a text's prefix shingles, its hub may have those whose hub is the hub itself or a lesser one, and no others.
     up_to = Window.partitionBy("id").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0)
@@ -173,29 +198,40 @@ def _stars(rows: DataFrame, texts: DataFrame, before: DataFrame | None, scratch:
     star = _verified(stars.select(F.col("hub").alias("u"), F.col("id").alias("v")), texts, scratch, name)
     star = star if before is None else before.union(star)
     roots = scratch.cut(components(star, scratch), f"{name}-roots")
-    left = met.filter(F.col("id") != F.col("hub")).join(roots, met["id"] == roots["node"], "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
+    left = met.filter(F.col("id") != F.col("hub")).join(roots, met["id"] == roots["node"], "left").select("h", "id", "n", "p", F.coalesce("root", "id").alias("root"))
     left = scratch.cut(left, f"{name}-left")
     mixed = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     return star, scratch.cut(left.join(scratch.cut(mixed, f"{name}-mixed"), "h", "left_semi"), f"{name}-apart")
 
 
 def _rare_first(texts: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, id, n): the first shingles of the texts with these ids, those first that the fewest of these texts have, so that
+    """(h, id, n, p): the first shingles of the texts with these ids, those first that the fewest of these texts have, so that
     what unrelated texts share comes last; shingles of one text are left out, since they meet no other."""
     sets = _sets(texts, ids, scratch, "hot")
     each = sets.select("id", "n", F.explode("s").alias("h"))
     ranked = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     first = F.slice("s", F.lit(1), (F.floor(F.col("n") / PARTS) + 1).cast("int"))
-    return ranked.select("id", "n", F.explode(first).alias("p")).filter("p.df > 1").select("p.h", "id", "n")
+    return ranked.select("id", "n", F.posexplode(first).alias("p", "s")).filter("s.df > 1").select("s.h", "id", "n", "p")
+
 
+def _met(left: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (u, v), some of them repeated, of different components that can be near copies, from their first common shingle in the common order.
 
-def _met(left: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of different components that share enough of their prefixes."""
-    a, b = (left.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "root"))) for s in "ab")
-    pairs = a.join(b, "h").filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b"))
-    # a pair that shares a shingle of which one of them is the hub counts short here, but it has been judged above
-    pairs = pairs.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(_enough("n_a", "n_b", "shared"))
-    return pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    There, what is left of either text holds all that they share; and no shingle of these rows that comes before is common to
+    both, of which the last few are compared. Both are certain of near copies at that shingle, and short sketches are
+    compared within the join too, so few pairs that can't be near copies leave a row."""
+    ids = scratch.cut(left.select("id").distinct(), f"{name}-ids")
+    before = {f"before{k}": F.lag("h", k).over(Window.partitionBy("id").orderBy("p")) for k in range(1, BEFORE + 1)}
+    rows = left.withColumns(before).join(_short(texts, ids, scratch, name), "id")
+    rows = scratch.cut(rows, f"{name}-rows")
+    a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "h")) for s in "ab")
+    least = (F.col("n_a") + F.col("n_b")) * OF
+    long = lambda s: (F.col(f"n_{s}") - F.col(f"p_{s}")) * (OF + PARTS) >= least
+    met = reduce(Column.__or__, (F.coalesce(F.col(f"{x}_a") == F.col(f"{y}_b"), F.lit(False)) for x in before for y in before))
+    both = reduce(Column.__add__, (F.bit_count(F.col(f"b{k}_a").bitwiseAND(F.col(f"b{k}_b"))) for k in range(SHORT)))
+    likely = (F.least(F.col("n_a") - F.col("ones_a"), F.col("n_b") - F.col("ones_b")) + both) * (OF + PARTS) >= least  # as _may_be
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
+    return a.join(b, "h").filter(apart & _alike("n_a", "n_b") & long("a") & long("b") & ~met & likely).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
 
 
 def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -208,8 +244,8 @@ def near_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     star, left = _stars(_prefixes(texts, _common(texts)), texts, None, scratch, "star")
     hot = scratch.cut(left.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"), "hot")
     if hot.isEmpty():
-        return star.union(_verified(_met(left), texts, scratch, "rest"))
+        return star.union(_verified(_met(left, texts, scratch, "met").distinct(), texts, scratch, "rest"))
     ids = scratch.cut(left.join(hot, "h", "left_semi").select("id").distinct(), "hot-ids")
     star, again = _stars(_rare_first(texts, ids, scratch), texts, star, scratch, "rare")
-    pairs = _met(left.join(hot, "h", "left_anti")).union(_met(again)).distinct()
+    pairs = _met(left.join(hot, "h", "left_anti"), texts, scratch, "met").union(_met(again, texts, scratch, "met-again")).distinct()
     return star.union(_verified(pairs, texts, scratch, "rest"))

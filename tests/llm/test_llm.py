@@ -407,6 +407,25 @@ def test_unrelated_texts_with_one_passage_are_not_paired(spark, monkeypatch):
     assert sum(looked) < 2000
 
 
+def test_pairs_meet_once_and_only_if_they_may_be_near(spark):
+    """Of 30 texts with 40 of 120 words changed in one and two near copies, which share many prefix shingles, few pairs are made."""
+    import random
+
+    from inkgraph.llm import near
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = [base[:60] + [word() for _ in range(40)] + base[100:] for _ in range(30)]
+    texts += [[*texts[0][:-1], word()], [word(), *texts[1][1:]]]
+    scratch = Scratch(spark, "t")
+    df = near._texts(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    left = near._prefixes(df, []).withColumn("root", F.col("id"))
+    pairs = [tuple(sorted(r)) for r in near._met(left, df, scratch, "met").collect()]
+    ids = [r["id"] for r in df.collect()]
+    assert {tuple(sorted((ids[0], ids[30]))), tuple(sorted((ids[1], ids[31])))} <= set(pairs) and len(pairs) < 20
+
+
 @pytest.mark.parametrize("hot", [200, 1])
 def test_near_copies_against_brute_force(spark, monkeypatch, hot):
     """Texts with changed words, a large group, a common passage and copies: all components by five-word Jaccard >= 4/5."""
