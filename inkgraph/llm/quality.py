@@ -77,19 +77,21 @@ def fit(rows: list[tuple[list[int], int]], bits: int = BITS, grades: int = 3, st
     w, cuts = np.zeros(size), np.linspace(-1.0, 1.0, grades - 1)
     if not rows:
         return Ordinal(w, cuts.tolist())
-    idx = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    own = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     y = np.asarray([g for _, g in rows])
-    pairs = np.unique(own * np.int64(size) + idx)
-    n = np.bincount(pairs % size, minlength=size)
+    n, below = np.zeros(size), np.zeros((grades - 1, size))
+    for f, g in rows:  # counted row by row: the driver holds no array of all features but that of the telling ones
+        own = np.unique(np.asarray(f, np.int64))
+        n[own] += 1
+        below[g:, own] += 1
     telling = np.zeros(size, bool)
     for k in range(grades - 1):
-        below = (y <= k).astype(float)
-        apart = np.abs(np.bincount(pairs % size, weights=(below - below.mean())[pairs // size], minlength=size))
-        telling |= apart >= SIGNAL * max(float(below.std()), 1e-9) * np.sqrt(n)
+        under = (y <= k).astype(float)
+        telling |= np.abs(below[k] - n * under.mean()) >= SIGNAL * max(float(under.std()), 1e-9) * np.sqrt(n)
     common = (n >= min_docs) & telling
-    keep = common[idx]
-    idx, own = idx[keep], own[keep]
+    del n, below, telling
+    kept = [f[common[f]] for f in (np.asarray(f, np.int64) for f, _ in rows)]
+    idx, own = np.concatenate(kept), np.repeat(np.arange(len(rows)), [len(f) for f in kept])
+    del kept
     per = np.bincount(y, minlength=grades)
     weight = np.sqrt(len(rows) / (grades * np.maximum(per, 1)))[y]
     weight /= weight.sum()

@@ -512,6 +512,22 @@ def test_embeddings_against_brute_force(spark):
 
 # 9
 
+def test_quality_fit_holds_little_beside_its_rows():
+    """Features that tell nothing are counted and left: no array of all of them is made on the driver."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(np.append(rng.integers(16, 1 << 10, 400), 7 - 2 * (k % 2)).astype(np.int32), 2 * (k % 2)) for k in range(1500)]
+    tracemalloc.start()
+    model = quality.fit(rows, bits=10, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(len(f) for f, _ in rows), "less than one long for each feature of the rows"
+    assert model.weights[7] < 0 < model.weights[5] and not model.weights[:5].any()
+
+
 def test_quality_separates_held_out_grades(spark, odd, empty):
     import random
 
