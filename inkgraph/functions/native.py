@@ -92,7 +92,9 @@ def letter_cells(text: Column, letters: str, rows: int) -> Column:
     edge = lambda k: F.floor(n * k / rows).cast("int")
     parts = F.array(*(F.substring(text, edge(k) + 1, edge(k + 1) - edge(k)) for k in range(rows)))
     marks = F.array(*map(F.lit, letters))
-    return F.flatten(F.transform(parts, lambda p: F.transform(marks, lambda c: F.length(p) - F.length(F.replace(p, c, F.lit(""))))))
+    # counted in bytes, which a text knows without being read
+    times = lambda p, c: ((F.octet_length(p) - F.octet_length(F.replace(p, c, F.lit("")))) / F.octet_length(c)).cast("int")
+    return F.flatten(F.transform(parts, lambda p: F.transform(marks, lambda c: times(p, c))))
 
 
 def letterbox(width: Column, height: Column, edge: int) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import by_value, written
+from ..sources.tables import by_value, spread, written
 
 by_value(__name__)
 
@@ -111,18 +111,29 @@ def near_pairs(rows: DataFrame, threshold: int = 3, prefix: int = 4) -> DataFram
     return _paired(written(_buckets(rows, threshold, prefix), "near-level"), threshold)
 
 
+def _words(key: Column) -> Column:
+    """A hex key as numbers of eight digits each."""
+    at = F.sequence(F.lit(0), F.floor((F.length(key) - 1) / 8).cast("int"))
+    return F.transform(at, lambda k: F.conv(F.substring(key, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+
+
 def _paired(left: DataFrame, threshold: int) -> DataFrame:
-    found = None
+    """Near pairs (u, v) of buckets. Keys are read as numbers once each, not for each pair; buckets are dealt over all tasks,
+    since few bytes may make many pairs."""
+    digits, cold = left.agg(F.max(F.length("key"))).first()[0] or 0, None
     while True:
         large = written(_large(left, threshold), "near-large")
         more = bool(threshold) and not large.isEmpty()
-        cold = left.join(large, "fixed", "left_anti") if more else left
-        a, b = (cold.select("fixed", F.col("key").alias(k), F.col("at").alias(f"at_{k}")) for k in "uv")
-        pairs = a.join(b, "fixed").filter(F.col("at_u") < F.col("at_v")).filter(_bits(F.col("u"), F.col("v")) <= threshold).select("u", "v")
-        found = pairs if found is None else found.union(pairs)
+        few = (left.join(large, "fixed", "left_anti") if more else left).select("key", "at", "fixed")
+        cold = few if cold is None else cold.union(few)  # buckets of different levels have different names
         if not more:
-            return found.distinct()
+            break
         left = written(_split(left.join(large, "fixed", "left_semi"), threshold), "near-level")
+    none = F.lit(0).cast("long")
+    word = lambda c, k: F.coalesce(F.get(c, F.lit(k)), none)
+    bits = sum((F.bit_count(word("words_u", k).bitwiseXOR(word("words_v", k))) for k in range(-(-digits // 8))), F.lit(0))
+    a, b = (spread(cold.select("fixed", F.col("key").alias(k), F.col("at").alias(f"at_{k}"), _words(F.col("key")).alias(f"words_{k}")), "fixed") for k in "uv")
+    return a.join(b.hint("merge"), "fixed").filter((F.col("at_u") < F.col("at_v")) & (bits <= threshold)).select("u", "v").distinct()
 
 
 def _later(edges: DataFrame) -> list[DataFrame]:
@@ -172,6 +183,7 @@ def near_dedup(rows: DataFrame, key: str, order: str, threshold: int = 3, prefix
     large to be paired, the keys that lead all of theirs settle what is near them, as long as that settles a tenth of what is
     left; then the near pairs among the rest are settled in rounds. Keys with
     fewer digits than the threshold has stretches are settled by the first ones of each block. An empty table stays empty."""
+    rows = written(rows, "near-rows")  # keys may be dear: they are read three times below
     firsts = rows.filter(F.coalesce(F.length(key), F.lit(0)) > 0).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("at"))
     own, gone = written(firsts, "near-keys"), []
     if threshold:

@@ -60,6 +60,22 @@ def test_a_large_group_of_near_copies_is_not_paired(spark, monkeypatch):
     assert made[0].count() == 0
 
 
+def test_keys_are_computed_once(spark):
+    """A key may be dear, such as the profile of a text; the calls are counted as the result is made and read."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(i):
+        calls.add(1)
+        return f"{i * 7919 % 2**60:016x}"
+
+    rows = spark.range(0, 300, 1, 2).select(F.col("id").alias("i"), key("id").alias("k"))
+    got = {r["i"] for r in funnel.near_dedup(rows, "k", "i").filter("kept").collect()}
+    assert calls.value == 300 and got == greedy([(i, f"{i * 7919 % 2**60:016x}") for i in range(300)], 3, 4)
+
+
 def test_chains_and_empty_tables(spark):
     """Of a chain in which each is near the next alone, every second key stays."""
     chain = [(k, f"{(1 << 3 * k) - 1:016x}") for k in range(12)]
