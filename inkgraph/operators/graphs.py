@@ -4,6 +4,8 @@ These are merge joins at every size: files of graphs that are much alike hold a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,19 @@ LINKING = ("edge", "flow", "connects")
 
 def from_json(text: Column) -> Column:
     """A scene graph from JSON, with absent fields at their defaults."""
-    g = F.from_json(text, SCENE)
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    entities = F.transform(none(g["entities"], ENTITIES), lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.coalesce(e["label"], F.lit("")).alias("label"), e["bbox"].alias("bbox"), F.coalesce(e["attrs"], F.create_map().cast("map<string,string>")).alias("attrs")))
-    relations = F.transform(none(g["relations"], RELATIONS), lambda r: F.struct(r["src"].alias("src"), r["dst"].alias("dst"), r["type"].alias("type"), F.coalesce(r["label"], F.lit("")).alias("label")))
-    return F.when(g["grammar"].isNotNull(), F.struct(g["grammar"].alias("grammar"), entities.alias("entities"), relations.alias("relations"), F.coalesce(g["meta"], F.create_map().cast("map<string,string>")).alias("meta")))
+
+    def filled(g: Column) -> Column:
+        entities = F.transform(none(g["entities"], ENTITIES), lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.coalesce(e["label"], F.lit("")).alias("label"), e["bbox"].alias("bbox"), F.coalesce(e["attrs"], F.create_map().cast("map<string,string>")).alias("attrs")))
+        relations = F.transform(none(g["relations"], RELATIONS), lambda r: F.struct(r["src"].alias("src"), r["dst"].alias("dst"), r["type"].alias("type"), F.coalesce(r["label"], F.lit("")).alias("label")))
+        return F.when(g["grammar"].isNotNull(), F.struct(g["grammar"].alias("grammar"), entities.alias("entities"), relations.alias("relations"), F.coalesce(g["meta"], F.create_map().cast("map<string,string>")).alias("meta")))
+
+    return once(F.from_json(text, SCENE), filled)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once a row, however often then reads it: through an array of one element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def from_triplets(t: Column) -> Column:
@@ -45,8 +55,8 @@ def relation_keys(graph: Column) -> Column:
     """(source key, type, target key); an end without an entity is ("?", ""), of repeated ids the last counts."""
     def end(id_: Column) -> Column:
         found = F.filter(graph["entities"], lambda e: e["id"] == id_)
-        last = F.try_element_at(found, F.lit(-1))
-        return F.coalesce(F.when(last.isNotNull(), match_key(last["type"], last["label"])), F.struct(F.lit("?").alias("type"), F.lit("").alias("label")))
+        known = lambda last: F.coalesce(F.when(last.isNotNull(), match_key(last["type"], last["label"])), F.struct(F.lit("?").alias("type"), F.lit("").alias("label")))
+        return once(F.try_element_at(found, F.lit(-1)), known)
 
     return F.array_distinct(F.transform(graph["relations"], lambda r: F.struct(end(r["src"]).alias("src"), F.lower(r["type"]).alias("type"), end(r["dst"]).alias("dst"))))
 
@@ -85,14 +95,25 @@ def reachability(predicted: DataFrame, gold: DataFrame, graphs: DataFrame, hops:
 
 def linking_edges(df: DataFrame, graph: str = "graph", col: str = "scene") -> DataFrame:
     """Edges between entity keys of linking relations whose ends both exist."""
-    keyed = df.select(F.col(graph).alias("graph"), F.explode(relation_keys(F.col(col))).alias("r"))
-    real = (F.col("r.src.type") != "?") & (F.col("r.dst.type") != "?")
-    return keyed.filter(F.col("r.type").isin(*LINKING) & real).select("graph", F.col("r.src").alias("src"), F.col("r.dst").alias("dst")).distinct()
+    return key_edges(df.select(F.col(graph).alias("graph"), relation_keys(F.col(col)).alias("keys")), "keys")
 
 
 def spatial(scored: DataFrame) -> DataFrame:
     """Rows (graph, predicted, gold) with `spatial`: reachability for gold workflows, else recall of gold relations."""
-    reach = reachability(linking_edges(scored, col="predicted"), linking_edges(scored, col="gold"), scored)
-    g = relation_keys(F.col("gold"))
-    recall = F.when(F.size(g) == 0, 1.0).otherwise(F.size(F.array_intersect(relation_keys(F.col("predicted")), g)) / F.size(g))
-    return scored.withColumn("_recall", recall).join(reach.select("graph", "reach").hint("merge"), "graph").withColumn("spatial", F.when(F.col("gold.grammar") == "workflow", F.col("reach")).otherwise(F.col("_recall"))).drop("_recall", "reach")
+    rows = scored.filter("graph is not null").withColumns({"_predicted": relation_keys(F.col("predicted")), "_gold": relation_keys(F.col("gold")), "_grammar": F.col("gold.grammar")})
+    return spatial_of(rows, "_predicted", "_gold", "_grammar").drop("_predicted", "_gold", "_grammar")
+
+
+def key_edges(rows: DataFrame, col: str) -> DataFrame:
+    """Edges (graph, src, dst) of the linking ones among a column's relation keys whose ends both exist."""
+    keyed = rows.select("graph", F.explode(col).alias("r"))
+    real = (F.col("r.src.type") != "?") & (F.col("r.dst.type") != "?")
+    return keyed.filter(F.col("r.type").isin(*LINKING) & real).select("graph", F.col("r.src").alias("src"), F.col("r.dst").alias("dst")).distinct()
+
+
+def spatial_of(rows: DataFrame, predicted: str, gold: str, grammar: str) -> DataFrame:
+    """rows (graph, relation keys of both sides, the gold grammar; null without a gold graph) with `spatial`. Only keys are
+    joined and sorted, never markup or scenes."""
+    reach = reachability(key_edges(rows, predicted), key_edges(rows, gold), rows).select("graph", "reach")
+    recall = F.when(F.size(gold) == 0, 1.0).otherwise(F.size(F.array_intersect(predicted, gold)) / F.size(gold))
+    return rows.join(reach.hint("merge"), "graph").withColumn("spatial", F.when(F.col(grammar) == "workflow", F.col("reach")).when(F.col(gold).isNotNull(), recall)).drop("reach")

@@ -12,7 +12,7 @@ from ..functions.markup import SCENE, embedded_scene, with_judgement
 from ..sources.tables import PREDICTIONS, asset_path, by_value, json_lines, markup_files, plain_path, sidecars, spread, written
 from .analysis import gate
 from .evaluate import bootstrap_counts, gold_with_predictions, in_split, safe_mean
-from .graphs import entity_keys, from_json, relation_keys, set_scores, spatial
+from .graphs import entity_keys, from_json, relation_keys, set_scores, spatial_of
 
 by_value(__name__)
 
@@ -63,12 +63,15 @@ def score(gold: DataFrame, predictions: DataFrame, split: str = "all", sidecars:
     both = gold_with_predictions(gold.filter(in_split("split", split)), predictions)
     both = resolve_gold(both, sidecars, root).withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
     both = with_judgement(both.withColumn("blob", native.blob_or_raw(F.col("pred_text"))), "pred_text", "blob", "svg").withColumn("graph", F.col("id"))
-    both = written(both, "scored")  # parsed once, read for each measure
-    f1 = lambda keys: set_scores(keys(F.col("predicted")), keys(F.col("gold")))["f1"]
-    there = spatial(both.filter("gold is not null")).select("id", f1(entity_keys).alias("entity_f1"), f1(relation_keys).alias("relation_f1"), "spatial")
-    o = F.col("own")
-    base = both.select("id", o["parse_ok"].alias("parse_ok"), o["ok"].cast("double").alias("validity"), o["n_drawable"].alias("n_drawable"), o["errors"].alias("errors"), "gold_ok")
-    return base.join(there.hint("merge"), "id", "left")
+    there, o = F.col("gold").isNotNull(), F.col("own")
+    own = (o["parse_ok"].alias("parse_ok"), o["ok"].cast("double").alias("validity"), o["n_drawable"].alias("n_drawable"), o["errors"].alias("errors"), "gold_ok")
+    keys = (F.when(there, of(F.col(c))).alias(f"{c}_{name}") for name, of in (("entities", entity_keys), ("relations", relation_keys)) for c in ("predicted", "gold"))
+    keyed = both.select("id", "graph", *own, F.col("gold.grammar").alias("grammar"), *keys)
+    f1 = lambda name: F.when(F.col(f"gold_{name}").isNotNull(), set_scores(F.col(f"predicted_{name}"), F.col(f"gold_{name}"))["f1"])
+    # parsed and scored once; what is written, joined and sorted below has keys only, no markup and no scenes
+    both = written(keyed.withColumns({"entity_f1": f1("entities"), "relation_f1": f1("relations")}).drop("predicted_entities", "gold_entities"), "scored")
+    found = spatial_of(both, "predicted_relations", "gold_relations", "grammar")
+    return found.select("id", "parse_ok", "validity", "n_drawable", "errors", "gold_ok", "entity_f1", "relation_f1", "spatial")
 
 
 def placed(lines: DataFrame) -> DataFrame:
