@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.native import match_key
-from ..sources.tables import by_value
+from ..sources.tables import by_value, spread
 
 by_value(__name__)
 
@@ -75,7 +75,7 @@ def set_scores(predicted: Column, gold: Column) -> Column:
 
 def paths(edges: DataFrame, hops: int = 3) -> DataFrame:
     """(graph, trail): all simple paths of 1 to hops edges of each graph's distinct edges (graph, src, dst)."""
-    edges = edges.select("graph", "src", "dst").distinct()
+    edges = spread(edges.select("graph", "src", "dst"), "graph", "src").distinct()
     now = edges.filter("src <> dst").select("graph", F.array("src", "dst").alias("trail"))
     out = now
     for _ in range(hops - 1):
@@ -87,10 +87,11 @@ def paths(edges: DataFrame, hops: int = 3) -> DataFrame:
 
 def reachability(predicted: DataFrame, gold: DataFrame, graphs: DataFrame, hops: int = 3) -> DataFrame:
     """(graph, n_gold, n_hit, reach): the share of gold paths that are predicted; 1 for a graph without gold paths."""
-    p, g = paths(predicted, hops).distinct().withColumn("hit", F.lit(1)), paths(gold, hops).distinct()
+    p, g = (spread(paths(edges, hops), "graph", "trail").distinct() for edges in (predicted, gold))
+    p = p.withColumn("hit", F.lit(1))
     per = g.join(p.hint("merge"), ["graph", "trail"], "left").groupBy("graph").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_hit"))
     zero = F.lit(0).cast("long")
-    return graphs.select("graph").distinct().join(per.hint("merge"), "graph", "left").select("graph", F.coalesce("n_gold", zero).alias("n_gold"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.col("n_hit") / F.col("n_gold"), F.lit(1.0)).alias("reach"))
+    return spread(graphs.select("graph"), "graph").distinct().join(per.hint("merge"), "graph", "left").select("graph", F.coalesce("n_gold", zero).alias("n_gold"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.col("n_hit") / F.col("n_gold"), F.lit(1.0)).alias("reach"))
 
 
 def linking_edges(df: DataFrame, graph: str = "graph", col: str = "scene") -> DataFrame:
@@ -116,4 +117,4 @@ def spatial_of(rows: DataFrame, predicted: str, gold: str, grammar: str) -> Data
     joined and sorted, never markup or scenes."""
     reach = reachability(key_edges(rows, predicted), key_edges(rows, gold), rows).select("graph", "reach")
     recall = F.when(F.size(gold) == 0, 1.0).otherwise(F.size(F.array_intersect(predicted, gold)) / F.size(gold))
-    return rows.join(reach.hint("merge"), "graph").withColumn("spatial", F.when(F.col(grammar) == "workflow", F.col("reach")).when(F.col(gold).isNotNull(), recall)).drop("reach")
+    return spread(rows, "graph").join(reach.hint("merge"), "graph").withColumn("spatial", F.when(F.col(grammar) == "workflow", F.col("reach")).when(F.col(gold).isNotNull(), recall)).drop("reach")

@@ -71,7 +71,8 @@ def score(gold: DataFrame, predictions: DataFrame, split: str = "all", sidecars:
     # parsed and scored once; what is written, joined and sorted below has keys only, no markup and no scenes
     both = written(keyed.withColumns({"entity_f1": f1("entities"), "relation_f1": f1("relations")}).drop("predicted_entities", "gold_entities"), "scored")
     found = spatial_of(both, "predicted_relations", "gold_relations", "grammar")
-    return found.select("id", "parse_ok", "validity", "n_drawable", "errors", "gold_ok", "entity_f1", "relation_f1", "spatial")
+    found = found.select("id", "parse_ok", "validity", "n_drawable", "errors", "gold_ok", "entity_f1", "relation_f1", "spatial")
+    return written(found, "scores")  # reports and controls read it several times
 
 
 def placed(lines: DataFrame) -> DataFrame:

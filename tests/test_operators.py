@@ -210,3 +210,26 @@ def test_readers_and_writers_end_to_end(spark, tmp_path):
     good, failed = materialize.materialized(bad, bad.select("pool_idx", F.lit("medoid").alias("reason"), F.col("pool_idx").alias("place")).limit(1), 5)
     assert [(r["id"], r["selection_reason"]) for r in good.collect()] == [("broad_y", "unknown")] and [r["row_id"] for r in failed.collect()] == ["broad_x"]
     assert materialize.run_gates(spark, {}, "nope").first()["detail"] == "unknown stage"
+
+
+def test_last_of_each_id_reads_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def drawn(i):
+        calls.add(1)
+        return f"<svg>{i}</svg>"
+
+    rows = spark.range(0, 90, 1, 2).select((F.col("id") % 30).alias("id"), F.col("id").alias("pos"), drawn("id").alias("svg")).unionByName(spark.createDataFrame([(None, 5, "x"), (3, None, "y")], "id long, pos long, svg string"))
+    got = evaluate.last_wins(rows, "id", "pos")
+    assert got.columns == rows.columns
+    assert {tuple(r) for r in got.collect()} == {(i, 60 + i, f"<svg>{60 + i}</svg>") for i in range(30)} and calls.value == 90
+
+
+def test_joins_of_graphs_keep_their_tasks(spark):
+    """Rows that are much alike take few bytes in a shuffle and many in a task, so their tasks must not be merged by bytes."""
+    tasks = lambda rows: rows.select(F.spark_partition_id().alias("task")).distinct().count()
+    edges = spark.range(40).select(F.col("id").alias("graph"), F.explode(F.array(F.struct(F.lit("a").alias("src"), F.lit("b").alias("dst")), F.struct(F.lit("b").alias("src"), F.lit("c").alias("dst")))).alias("e")).select("graph", "e.*")
+    assert tasks(graphs.paths(edges).filter(F.size("trail") == 3)) > 1
+    reach = graphs.reachability(edges, edges.filter("graph % 2 = 0"), spark.range(40).withColumnRenamed("id", "graph"))
+    assert tasks(reach) > 1 and {tuple(r)[1:] for r in reach.collect()} == {(3, 3, 1.0), (0, 0, 1.0)}
