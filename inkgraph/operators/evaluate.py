@@ -19,8 +19,8 @@ by_value(__name__)
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Per key the row last in order (order has no ties), by an aggregate that reads the rows once; null keys have none."""
-    named = rows.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
-    return named.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+    last = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    return last.filter("_row is not null").select("_row.*")  # null where no order is known
 
 
 def gold_with_predictions(gold: DataFrame, predictions: DataFrame, key: str = "id", order: str = "pos", strict: bool = False) -> DataFrame:

@@ -215,12 +215,13 @@ def test_readers_and_writers_end_to_end(spark, tmp_path):
 def test_last_of_each_id_reads_rows_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
-    @F.udf("string")
-    def drawn(i):
+    @F.udf("long")
+    def place(i):
         calls.add(1)
-        return f"<svg>{i}</svg>"
+        return i
 
-    rows = spark.range(0, 90, 1, 2).select((F.col("id") % 30).alias("id"), F.col("id").alias("pos"), drawn("id").alias("svg")).unionByName(spark.createDataFrame([(None, 5, "x"), (3, None, "y")], "id long, pos long, svg string"))
+    text = F.concat(F.lit("<svg>"), "id", F.lit("</svg>"))
+    rows = spark.range(0, 90, 1, 2).select((F.col("id") % 30).alias("id"), place("id").alias("pos"), text.alias("svg")).unionByName(spark.createDataFrame([(None, 5, "x"), (3, None, "y")], "id long, pos long, svg string"))
     got = evaluate.last_wins(rows, "id", "pos")
     assert got.columns == rows.columns
     assert {tuple(r) for r in got.collect()} == {(i, 60 + i, f"<svg>{60 + i}</svg>") for i in range(30)} and calls.value == 90
